@@ -231,8 +231,9 @@ def other_watch(spark, d):
 
 
 def actions_weekly(spark, d):
-    t = B.tickets(spark, d)
-    return G.actions(digest_sections(spark, d), K.created_week_figures(t), P.weekly_pairs(P.repeat_pairs(t)))
+    t = G.settled(_assigned(spark, d))
+    return G.actions(G.sections(TH.count_themes(t)), K.created_week_figures(t),
+                     P.weekly_pairs(P.repeat_pairs(t)))
 
 
 def kpi_record(spark, d):
@@ -329,19 +330,34 @@ def label_override(spark, d):
     return B.labelled(spark, d).select("item_id", "stratum", "predicted", "human_label", "notes")
 
 
-def stratified_sample(spark, d):
+def _theme_picks(spark, d):
+    """Picks from a small written table of (ticket, theme, method, disagrees)."""
+    from .. import scale
     t = B.tickets(spark, d)
-    picks = S.theme_picks(TH.assign(t), TH.disagreements(TH.explain(t)))
-    return picks.select("theme", "method", "ticket_id")
+    judged = TH.explain(t).select("ticket_id", "taxonomy_theme", "rule_theme", "agree")
+    table = scale.settle(_assigned(spark, d).select("ticket_id", "theme", "method"))
+    return S.theme_picks(table, scale.settle(TH.disagreements(judged).select("ticket_id")))
+
+
+def stratified_sample(spark, d):
+    return _theme_picks(spark, d).select("theme", "method", "ticket_id")
 
 
 def review_sample(spark, d):
-    """The whole review sample: themes, pairs and refunds, with texts."""
-    t = B.tickets(spark, d)
-    picks = S.theme_picks(TH.assign(t), TH.disagreements(TH.explain(t)))
-    return (S.theme_items(t, picks)
-            .unionByName(S.pair_items(t, S.pair_picks(P.repeat_pairs(t))))
-            .unionByName(S.refund_items(t)))
+    """The whole review sample: themes, pairs and refunds, with texts.
+
+    Picks are made on narrow tables; texts are read for the picked ids only.
+    """
+    from .. import scale
+    t = G.settled(B.tickets(spark, d))
+    themes = scale.settle(_theme_picks(spark, d))
+    pairs = scale.settle(S.pair_picks(P.repeat_pairs(t)))
+    ids = themes.select("ticket_id").unionByName(pairs.select(F.explode(
+        F.array("prior_ticket_id", "repeat_ticket_id")).alias("ticket_id"))).distinct()
+    raw = B.raw_tickets(spark, d).join(F.broadcast(ids), "ticket_id", "left_semi")
+    texts = scale.settle(D.typed(D.canonical(raw)))
+    return (S.theme_items(texts, themes).unionByName(S.pair_items(texts, pairs))
+            .unionByName(S.refund_items(B.tickets(spark, d))))
 
 
 def sample_pairs(spark, d):

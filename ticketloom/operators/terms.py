@@ -55,6 +55,17 @@ def bags(docs: DataFrame, text: str, stop_words: list[str], low: int = 1, high:
     ))).drop("_sorted", "_starts")
 
 
+def unpack(df: DataFrame, array: str, name: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain ``explode`` lets the optimizer infer a not-empty filter and push it below the
+    projections that build the array, which would build it again inside each lambda. The outer
+    form infers nothing; its row for an empty array is dropped afterwards.
+    """
+    kept = [c for c in df.columns if c != array]
+    return df.select(*kept, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def group_sizes(docs: DataFrame, group: str, min_docs: int = 3) -> DataFrame:
     """Documents per group, and whether the group is large enough to score."""
     return docs.groupBy(group).agg(F.count(F.lit(1)).alias("docs")).withColumn(
@@ -84,7 +95,7 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str, text: str,
     chosen = scale.lookup(docs.select(doc_id, group, text), sizes, [group], [doc_id], "inner",
                           bound, groups)
     counted = bags(chosen, text, stop, pattern=pattern)
-    occurrences = counted.select(doc_id, group, "docs", F.explode("bag").alias("b")).select(
+    occurrences = unpack(counted, "bag", "b").select(
         doc_id, group, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
 
     corpus = occurrences.groupBy(group, "term").agg(
@@ -137,7 +148,7 @@ def emerging_terms(docs: DataFrame, period: str, text: str, step: int,
     ).where(F.col("n_before") >= min_previous)
 
     counts = (
-        terms(dated, text, stop, pattern=pattern).select(period, F.explode("terms").alias("term"))
+        unpack(terms(dated, text, stop, pattern=pattern), "terms", "term")
         .groupBy(period, "term").agg(F.count(F.lit(1)).alias("c"))
     )
     sided = counts.select("term", F.explode(F.array(

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .. import scale
 from ..functions import clean as C
 from ..functions.text import hits, ticket_text
 from ..policy import DEFAULT_RULES, ThemeRules
@@ -29,7 +30,7 @@ def theme_scores(tickets: DataFrame, rules: ThemeRules = DEFAULT_RULES) -> DataF
     text = ticket_text("customer_message", "agent_notes")
     return (
         tickets.select("ticket_id", score_array(text, rules).alias("s"))
-        .select("ticket_id", F.explode("s").alias("s"))
+        .select("ticket_id", F.explode_outer("s").alias("s"))
         .select("ticket_id", F.col("s.theme").alias("theme"), F.col("s.hits").alias("hits"))
     )
 
@@ -41,11 +42,11 @@ def explain(tickets: DataFrame, rules: ThemeRules = DEFAULT_RULES) -> DataFrame:
     first theme while ``rule_theme`` is NULL.
     """
     text = ticket_text("customer_message", "agent_notes")
-    scored = tickets.select(
+    keyed = tickets.select(
         "ticket_id", C.strip("category").alias("category"),
-        stored_theme("category", rules).alias("taxonomy_theme"),
-        score_array(text, rules).alias("scores"))
-    won = scored.withColumn("winner", F.array_max("scores"))
+        stored_theme("category", rules).alias("taxonomy_theme"), text.alias("_text"))
+    scored = scale.once(keyed, "scores", score_array(F.col("_text"), rules))
+    won = scale.once(scored, "winner", F.array_max("scores"))
     stored = F.get(F.filter("scores", lambda s: s["theme"] == F.col("taxonomy_theme")), F.lit(0))
     return won.select(
         "ticket_id", "category", "taxonomy_theme",
@@ -64,8 +65,9 @@ def disagreements(explained: DataFrame) -> DataFrame:
 def assign(tickets: DataFrame, rules: ThemeRules = DEFAULT_RULES) -> DataFrame:
     """Add theme, confidence and method. Patterns run only where the category has no theme."""
     text = ticket_text("customer_message", "agent_notes")
-    staged = tickets.withColumn("_stored", stored_theme("category", rules)).withColumn(
-        "_winner", F.when(F.col("_stored").isNull(), F.array_max(score_array(text, rules))))
+    staged = scale.once(
+        tickets.withColumn("_stored", stored_theme("category", rules)), "_winner",
+        F.when(F.col("_stored").isNull(), F.array_max(score_array(text, rules))))
     by_rule = F.col("_winner.hits") > 0
     return (
         staged.withColumn("theme", F.when(F.col("_stored").isNotNull(), F.col("_stored"))

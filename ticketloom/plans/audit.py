@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import clean as C
 from ..operators import evaluation as E, repeat, roster as R, themes as TH, weekly as K
 from ..policy import DEFAULT_POLICY, DEFAULT_RULES, SupportPolicy, ThemeRules
-from .digest import sections
+from .digest import sections, settled
 
 
 def _check(frame: DataFrame, name: str, ok, subject=None) -> DataFrame:
@@ -40,7 +40,7 @@ def factuality_audit(tickets: DataFrame, roster: DataFrame, policy: SupportPolic
                      rules: ThemeRules = DEFAULT_RULES, top_themes: int = 5,
                      evidence: int = 10) -> DataFrame:
     """Check rows (week_start, check, subject, ok) for every week."""
-    assigned = TH.assign(tickets, rules)
+    tickets = assigned = settled(TH.assign(tickets, rules))
     section_rows = sections(TH.count_themes(assigned))
     plain = recount(tickets, policy)
     totals = section_rows.groupBy("week_start").agg(

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from .. import scale
 from ..functions import clean as C
 from ..operators import roster as R, themes as TH, weekly as K
 from ..operators.repeat import repeat_pairs, weekly_pairs
@@ -15,6 +16,22 @@ from ..policy import (
 )
 
 
+# Columns of a typed ticket frame that the figures, pairs and boards read; no texts.
+FIGURE_COLUMNS = [
+    "ticket_id", "first_seq", "week_start", "created_ts", "first_response_ts", "resolved_ts",
+    "resolved_at", "resolved_day", "resolved_week", "is_done", "sla_breach", "channel",
+    "channel_key", "status_key", "csat", "transfers", "transfer_value", "refund_amount_inr",
+    "replacement_issued", "customer_key", "agent_key", "order_id", "product_sku", "category",
+    "source_system",
+]
+
+
+def settled(tickets: DataFrame) -> DataFrame:
+    """Tickets written once for a report that reads them several times, without texts."""
+    extra = [c for c in ("theme", "method") if c in tickets.columns]
+    return scale.settle(tickets.select(*FIGURE_COLUMNS, *extra))
+
+
 def for_week(frame: DataFrame, week_start: str, column: str = "week_start") -> DataFrame:
     """Rows of one week; any day of the week may be given."""
     return frame.where(F.col(column) == C.monday_of(F.to_date(F.lit(week_start))))
@@ -76,6 +93,7 @@ def actions(section_rows: DataFrame, figures: DataFrame, pairs: DataFrame,
 def kpi_record(tickets: DataFrame, roster: DataFrame,
                policy: SupportPolicy = DEFAULT_POLICY) -> DataFrame:
     """One row of figures per week that has created or completed tickets."""
+    tickets = settled(tickets)
     figures = K.created_week_figures(tickets, policy).drop("email_breaches", "conflicts")
     repeats = weekly_pairs(repeat_pairs(tickets, policy=policy))
     days = R.daily_attendance(tickets, roster).withColumn(
@@ -97,8 +115,8 @@ def kpi_record(tickets: DataFrame, roster: DataFrame,
 def digest_rows(tickets: DataFrame, roster: DataFrame, policy: SupportPolicy = DEFAULT_POLICY,
                 rules: ThemeRules = DEFAULT_RULES, top: int = 15) -> DataFrame:
     """The digest body as rows (week_start, section, position, key, n, pct, wow)."""
-    assigned = TH.assign(tickets, rules)
-    section_rows = sections(TH.count_themes(assigned))
+    tickets = settled(TH.assign(tickets, rules))
+    section_rows = sections(TH.count_themes(tickets))
     figures = K.created_week_figures(tickets, policy)
     pairs = weekly_pairs(repeat_pairs(tickets, policy=policy))
     board = R.top_of_board(R.tier1_board(tickets, roster, policy), top)
@@ -141,6 +159,7 @@ def kpi_documents(tickets: DataFrame, roster: DataFrame,
     def packed(frame, key, value, name):
         return frame.groupBy("week_start").agg(F.map_from_entries(F.sort_array(
             F.collect_list(F.struct(key, value)))).alias(name))
+    tickets = settled(tickets)
     record = kpi_record(tickets, roster, policy)
     cost = K.contact_cost(tickets, policy).where(F.col("channel").isNotNull())
     out = record

@@ -3,14 +3,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import scale
+from ..functions import clean as C
 from ..operators import quality as Q
 from ..policy import DEFAULT_POLICY, SupportPolicy
 
 
+_TEXTS = ("customer_message", "agent_notes")
+
+
+def _without_texts(tickets: DataFrame) -> DataFrame:
+    """Tickets written once, texts reduced to whether they are blank."""
+    short = tickets.drop("priority", "assigned_team", "status", "created_at", "stable_row_key")
+    for c in _TEXTS:
+        short = short.withColumn(c, F.when(C.is_blank(c), F.lit("")).otherwise(F.lit("x")))
+    return scale.settle(short)
+
+
 def quality_report(raw: DataFrame, tickets: DataFrame, roster: DataFrame,
                    refs: dict[str, DataFrame | None] | None = None,
                    policy: SupportPolicy = DEFAULT_POLICY) -> DataFrame:
     """All checks as (check, scope, value). A reference table that is absent gives NULL."""
+    tickets = _without_texts(tickets)
     every = {c: None for c in ("order_id", "customer_id", "product_sku", "agent_id")} | (refs or {})
     crossed = Q.cross_ticket_orders(tickets).select("order_id").distinct().agg(
         F.count(F.lit(1)).alias("same_order_cross_ticket_pairs"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -80,3 +81,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="ticketloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the checkpoint folder and read it back.
+
+    For a frame that a report reads several times. The columnar copy survives lost executors,
+    is pruned by each reader, and cuts the lineage.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/ticketloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def once(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """Add an expensive column that is computed once per row.
+
+    The optimizer copies a projected expression into every filter and column that reads it; it
+    does not look through a generator, so later steps read the finished value.
+    """
+    return df.select("*", F.explode_outer(F.array(expression)).alias(name))
