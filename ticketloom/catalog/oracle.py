@@ -143,7 +143,7 @@ chain AS (
 ),
 pairs AS (
   SELECT week_start, p_id AS prior_ticket_id, ticket_id AS repeat_ticket_id, customer_id,
-    round_even((epoch_us(created_ts) - epoch_us(p_done)) / 86400000000.0, 2)::DOUBLE AS gap_days,
+    printf('%.2f', ((epoch_us(created_ts) - epoch_us(p_done))::DOUBLE / 1000000 / 86400)::DOUBLE)::DOUBLE AS gap_days,
     p_src = 'helpdesk' AS prior_trusted_gap,
     order_id <> '' AND order_id = p_order AS same_order, product_sku = p_sku AS same_product,
     category = p_cat AS same_category, channel AS repeat_channel, category AS repeat_category
@@ -205,9 +205,9 @@ counts AS (
 ),
 totals AS (SELECT week_start, sum(n)::BIGINT AS total FROM counts GROUP BY week_start),
 sections AS (
-  SELECT c.week_start, c.position, c.theme, c.n, tt.total, round_even(c.n * 100.0::DOUBLE / tt.total, 1)::DOUBLE AS pct,
+  SELECT c.week_start, c.position, c.theme, c.n, tt.total, printf('%.1f', (c.n * 100.0::DOUBLE / tt.total)::DOUBLE)::DOUBLE AS pct,
     c.n - coalesce(p.n, 0) AS wow,
-    round_even(c.n * 100.0::DOUBLE / tt.total - coalesce(p.n, 0) * 100.0::DOUBLE / greatest(coalesce(pt.total, 0), 1), 1)::DOUBLE AS wow_pp
+    printf('%.1f', (c.n * 100.0::DOUBLE / tt.total - coalesce(p.n, 0) * 100.0::DOUBLE / greatest(coalesce(pt.total, 0), 1))::DOUBLE)::DOUBLE AS wow_pp
   FROM counts c JOIN totals tt USING (week_start)
   LEFT JOIN counts p ON p.week_start = c.week_start - 7 AND p.theme = c.theme
   LEFT JOIN totals pt ON pt.week_start = c.week_start - 7
@@ -218,8 +218,8 @@ FIGURES = """
 figures AS (
   SELECT week_start, count(*) AS volume, count(*) FILTER (WHERE late) AS sla_breaches,
     count(*) FILTER (WHERE late IS NULL) AS sla_missing, count(csat) AS csat_n,
-    round_even(count(csat) * 100.0::DOUBLE / count(*), 2)::DOUBLE AS response_rate_pct,
-    round_even(avg(csat), 3)::DOUBLE AS csat_mean, sum(rate)::BIGINT AS contact_cost_inr,
+    printf('%.2f', (count(csat) * 100.0::DOUBLE / count(*))::DOUBLE)::DOUBLE AS response_rate_pct,
+    printf('%.3f', (avg(csat))::DOUBLE)::DOUBLE AS csat_mean, sum(rate)::BIGINT AS contact_cost_inr,
     coalesce(sum(moved) FILTER (WHERE moved = floor(moved)), 0)::BIGINT AS transfers,
     count(*) FILTER (WHERE late AND channel_key = 'email') AS email_breaches,
     count(*) FILTER (WHERE refund_amount_inr <> '' AND replacement_issued = 'Y') AS conflicts
@@ -360,12 +360,12 @@ vocab AS (
 weighted AS (SELECT grp, id, term, tf * idf AS w FROM tf JOIN vocab USING (grp, term)),
 norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY id),
 scored AS (
-  SELECT grp, term, round_even(sum(w / norm) / max(n), 9)::DOUBLE AS score
+  SELECT grp, term, printf('%.9f', (sum(w / norm) / max(n))::DOUBLE)::DOUBLE AS score
   FROM weighted JOIN norms USING (id) JOIN sizes USING (grp) GROUP BY grp, term
 ),
 top_terms AS (
   SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS rank, term,
-    round_even(score, 6)::DOUBLE AS score FROM scored
+    printf('%.6f', (score)::DOUBLE)::DOUBLE AS score FROM scored
   QUALIFY rank <= 5
 )"""
 
@@ -383,7 +383,7 @@ frequent AS (
   SELECT * FROM both_weeks QUALIFY row_number() OVER (PARTITION BY week_start ORDER BY now + before DESC, term) <= 1000
 ),
 gains AS (
-  SELECT f.week_start, term, round_even(f.now::DOUBLE / a.n - f.before::DOUBLE / b.n, 4)::DOUBLE AS gain
+  SELECT f.week_start, term, printf('%.4f', (f.now::DOUBLE / a.n - f.before::DOUBLE / b.n)::DOUBLE)::DOUBLE AS gain
   FROM frequent f JOIN n a USING (week_start) JOIN n b ON b.week_start = f.week_start - 7
   WHERE b.n >= 20 AND f.now::DOUBLE / a.n > f.before::DOUBLE / b.n AND f.now >= 3
 ),
@@ -449,12 +449,12 @@ cells AS (
     count(*) FILTER (WHERE predicted <> 'same-issue' AND human_label <> 'same-issue') AS tn
   FROM lab WHERE stratum = 'repeat'
 ),
-acc AS (SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS agree, round_even(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 3)::DOUBLE AS accuracy FROM th),
-acc_m AS (SELECT method, count(*) AS n, count(*) FILTER (WHERE ok) AS agree, round_even(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 3)::DOUBLE AS accuracy FROM th GROUP BY method),
+acc AS (SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS agree, printf('%.3f', (count(*) FILTER (WHERE ok)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS accuracy FROM th),
+acc_m AS (SELECT method, count(*) AS n, count(*) FILTER (WHERE ok) AS agree, printf('%.3f', (count(*) FILTER (WHERE ok)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS accuracy FROM th GROUP BY method),
 conf AS (
-  SELECT n, tp, fp, fn, tn, round_even(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 3)::DOUBLE AS precision,
-    round_even(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 3)::DOUBLE AS recall,
-    round_even(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 3)::DOUBLE AS f1 FROM cells
+  SELECT n, tp, fp, fn, tn, printf('%.3f', (CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END)::DOUBLE)::DOUBLE AS precision,
+    printf('%.3f', (CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END)::DOUBLE)::DOUBLE AS recall,
+    printf('%.3f', (CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END)::DOUBLE)::DOUBLE AS f1 FROM cells
 ),
 ref AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE human_label = 'confirmed-violation') AS same_ticket_confirmed,
@@ -546,13 +546,13 @@ def all_sql() -> dict[str, str]:
     sql["week_start"] = _q(TICKETS, """SELECT ticket_id, week_start, resolved_week,
       coalesce(created_ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14', false) AS in_week_2024_01_08 FROM t""")
     sql["response_minutes"] = _q(TICKETS, """SELECT ticket_id, (epoch_us(first_ts) - epoch_us(created_ts)) / 1000000.0::DOUBLE / 60.0::DOUBLE AS minutes,
-      round_even((epoch_us(done_ts) - epoch_us(created_ts)) / 1000000.0::DOUBLE / 86400.0::DOUBLE, 4)::DOUBLE AS days, late AS sla_breach FROM t""")
+      printf('%.4f', ((epoch_us(done_ts) - epoch_us(created_ts)) / 1000000.0::DOUBLE / 86400.0::DOUBLE)::DOUBLE)::DOUBLE AS days, late AS sla_breach FROM t""")
     sql["weekly_volume"] = _q(TICKETS, "SELECT week_start, count(*) AS volume FROM wk GROUP BY week_start")
     sql["week_slices"] = _q(TICKETS, """, v AS (SELECT week_start, count(*) AS volume FROM wk GROUP BY week_start)
       SELECT a.week_start, a.volume, coalesce(b.volume, 0) AS volume_before FROM v a LEFT JOIN v b ON b.week_start = a.week_start - 7""")
     for name, key, label in (("channel_mix_weekly", "channel_key", "channel"), ("status_mix_weekly", "status_key", "status")):
         sql[name] = _q(TICKETS, f"""SELECT week_start, {key} AS {label}, count(*) AS n,
-          round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY week_start), 2)::DOUBLE AS pct FROM wk GROUP BY week_start, {key}""")
+          printf('%.2f', (count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY week_start))::DOUBLE)::DOUBLE AS pct FROM wk GROUP BY week_start, {key}""")
     sql["sla_breaches_weekly"] = _q(TICKETS, "SELECT week_start, channel_key AS channel, count(*) AS breaches FROM wk WHERE late GROUP BY 1, 2")
     sql["sla_missing_weekly"] = _q(TICKETS, "SELECT week_start, count(*) FILTER (WHERE late IS NULL) AS sla_missing FROM wk GROUP BY 1")
     sql["csat_stats_weekly"] = _q(TICKETS + "," + FIGURES, "SELECT week_start, csat_n, response_rate_pct, csat_mean FROM figures")
@@ -562,7 +562,7 @@ def all_sql() -> dict[str, str]:
       GROUP BY GROUPING SETS ((week_start, channel_key), (week_start))""")
     sql["transfer_cost_weekly"] = _q(TICKETS + "," + FIGURES, "SELECT week_start, transfers * 305 AS transfer_cost_inr FROM figures")
     sql["sla_credit_weekly"] = _q(TICKETS + "," + FIGURES, "SELECT week_start, sla_breaches * 350 AS sla_credit_inr FROM figures")
-    sql["replacement_cost"] = "SELECT p_partkey, round_even(p_retailprice + 340, 2)::DOUBLE AS plan_cost FROM part"
+    sql["replacement_cost"] = "SELECT p_partkey, printf('%.2f', (p_retailprice + 340)::DOUBLE)::DOUBLE AS plan_cost FROM part"
     sql["conflicts_weekly"] = _q(TICKETS + "," + FIGURES, "SELECT week_start, conflicts FROM figures")
     sql["attendance_weekly"] = _q(TICKETS, "SELECT resolved_week, count(*) AS attendance FROM att GROUP BY 1")
 
@@ -606,7 +606,7 @@ def all_sql() -> dict[str, str]:
         _unpivot("dups", ["duplicate_ticket_id_groups", "duplicate_extra_rows", "duplicate_cross_system_groups"])
         + " UNION ALL " + _checks(names)
         + " UNION ALL SELECT 'same_order_cross_ticket_pairs', 'all', count(*) FROM crossed"
-        + " UNION ALL SELECT 'roster_overlaps', 'all', sum("overlaps")::BIGINT FROM overlapping UNION ALL "
+        + " UNION ALL SELECT 'roster_overlaps', 'all', sum(\"overlaps\")::BIGINT FROM overlapping UNION ALL "
         + _unpivot("lost", ["roster_unresolved_any_row", "roster_unresolved_attendance"])
         + " UNION ALL SELECT 'orphan_' || \"column\", 'all', orphans FROM orphan")
     sql["reference_key_counts"] = " UNION ALL ".join(
@@ -662,7 +662,7 @@ def all_sql() -> dict[str, str]:
     sql["response_merge"] = _q(DOC_THEMES + "," + REPLIES, """SELECT a.ticket_id, coalesce(g.theme, a.theme) AS theme, g.theme IS NOT NULL AS from_model
       FROM assigned a LEFT JOIN good g USING (ticket_id)""")
     sql["label_coverage"] = _q(REPLIES, """SELECT m.batch_id, count(*) AS asked, count(g.ticket_id) AS labelled,
-      round_even(count(g.ticket_id)::DOUBLE / count(*), 3)::DOUBLE AS coverage FROM members m LEFT JOIN good g USING (ticket_id) GROUP BY 1""")
+      printf('%.3f', (count(g.ticket_id)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS coverage FROM members m LEFT JOIN good g USING (ticket_id) GROUP BY 1""")
     sql["polish_validate"] = """WITH d AS (
         SELECT doc_id, 'TK-' || doc_id AS ticket_id, n_chars, text,
           CASE doc_id % 3 WHEN 0 THEN 'Week 2024-01-08: TK-' || doc_id || ' has ' || n_chars || ' chars, ' || doc_id % 100 || '.5% of all. ' || text
@@ -702,5 +702,5 @@ def all_sql() -> dict[str, str]:
         + measures("ref", "'refund'", ["n", "same_ticket_confirmed", "same_order_violations"])))
     sql["factuality_audit"] = _q(AUDIT, "SELECT * FROM audit")
     sql["audit_summary"] = _q(AUDIT, """SELECT week_start, count(*) AS checks, count(*) FILTER (WHERE NOT ok) AS errors,
-      round_even(count(*) FILTER (WHERE NOT ok)::DOUBLE / count(*), 3)::DOUBLE AS error_rate FROM audit GROUP BY 1""")
+      printf('%.3f', (count(*) FILTER (WHERE NOT ok)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS error_rate FROM audit GROUP BY 1""")
     return sql

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,7 +57,7 @@ def parse_cells(spark, d):
 def response_minutes(spark, d):
     t = B.tickets(spark, d)
     return t.select("ticket_id", C.minutes_between("first_response_ts", "created_ts").alias("minutes"),
-                    F.bround(C.days_between("resolved_ts", "created_ts"), 4).alias("days"), "sla_breach")
+                    C.round_exact(C.days_between("resolved_ts", "created_ts"), 4).alias("days"), "sla_breach")
 
 
 # -- weekly figures and money
@@ -188,6 +189,7 @@ def family_lookup(spark, d):
 
 
 # -- themes
+@lru_cache(maxsize=8)
 def _assigned(spark, d):
     return TH.assign(B.tickets(spark, d))
 

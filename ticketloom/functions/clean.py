@@ -111,10 +111,31 @@ def minutes_between(later: Column | str, earlier: Column | str) -> Column:
     return seconds_between(later, earlier) / F.lit(60.0)
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Round a double to ``digits`` decimals by its exact binary value, exact ties to even.
+
+    ``bround`` rounds the shortest decimal form instead, so 0.025 becomes 0.02 there although
+    the stored double lies above the tie. The scaled value is split into a product and its exact
+    rounding error; the error decides when the product falls on a tie.
+    """
+    scale = float(10 ** digits)
+
+    def rounded(v: Column) -> Column:
+        c = v * F.lit(134217729.0)
+        high = c - (c - v)
+        product = v * F.lit(scale)
+        error = (high * F.lit(scale) - product) + (v - high) * F.lit(scale)
+        tie = product - F.floor(product) == 0.5
+        nearest = (F.when(tie & (error > 0), F.floor(product) + 1)
+                   .when(tie & (error < 0), F.floor(product)).otherwise(F.rint(product)))
+        return nearest.cast("double") / F.lit(scale)
+    return F.get(F.transform(F.array(x.cast("double")), rounded), F.lit(0))
+
+
 def share(part: Column, whole: Column, digits: int = 2) -> Column:
-    """Percentage rounded half to even; 0 for an empty whole."""
-    return F.coalesce(F.bround(F.try_divide(part * F.lit(100.0), whole), digits), F.lit(0.0))
+    """Rounded percentage; 0 for an empty whole."""
+    return F.coalesce(round_exact(F.try_divide(part * F.lit(100.0), whole), digits), F.lit(0.0))
 
 
 def ratio(part: Column, whole: Column, digits: int = 3) -> Column:
-    return F.bround(F.try_divide(part.cast("double"), whole), digits)
+    return round_exact(F.try_divide(part.cast("double"), whole), digits)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.clean import ratio
+from ..functions.clean import ratio, round_exact
 
 
 def apply_labels(sample: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def confusion(labelled: DataFrame, positive: str = "same-issue") -> DataFrame:
         "_p", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), zero)
     ).withColumn("_r", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), zero))
     f1 = F.coalesce(F.try_divide(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")), zero)
-    return rates.select("n", "tp", "fp", "fn", "tn", F.bround("_p", 3).alias("precision"),
-                        F.bround("_r", 3).alias("recall"), F.bround(f1, 3).alias("f1"))
+    return rates.select("n", "tp", "fp", "fn", "tn", round_exact(F.col("_p"), 3).alias("precision"),
+                        round_exact(F.col("_r"), 3).alias("recall"), round_exact(f1, 3).alias("f1"))
 
 
 def confusion_errors(labelled: DataFrame, positive: str = "same-issue") -> DataFrame:

@@ -45,7 +45,7 @@ def repeat_pairs(tickets: DataFrame, window_days: int = 30, drop_blank_keys: boo
             F.col("prior.ticket_id").alias("prior_ticket_id"),
             F.col("ticket_id").alias("repeat_ticket_id"),
             F.col("customer_key").alias("customer_id"),
-            F.bround("_gap", 2).alias("gap_days"),
+            C.round_exact(F.col("_gap"), 2).alias("gap_days"),
             F.col("prior.trusted").alias("prior_trusted_gap"),
             ((F.col("order_key") != "") & (F.col("order_key") == F.col("prior.order_key")))
             .alias("same_order"),

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import text as X
+from ..functions.clean import ratio
 
 # Characters of each text that a request carries.
 MESSAGE_CUT = 800
@@ -106,7 +107,7 @@ def label_coverage(members: DataFrame, labels: DataFrame) -> DataFrame:
     got = labels.groupBy("batch_id").agg(F.count(F.lit(1)).alias("labelled"))
     return asked.join(got, "batch_id", "left").select(
         "batch_id", "asked", F.coalesce("labelled", F.lit(0).cast("long")).alias("labelled"),
-        F.bround(F.coalesce("labelled", F.lit(0)) / F.col("asked"), 3).alias("coverage"))
+        ratio(F.coalesce("labelled", F.lit(0)), F.col("asked")).alias("coverage"))
 
 
 def check_polished(drafts: DataFrame, draft: str = "draft", polished: str = "polished") -> DataFrame:

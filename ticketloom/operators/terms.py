@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.ml.feature import StopWordsRemover
 
 from .. import scale
+from ..functions.clean import round_exact
 from ..functions.text import TOKEN, tokens
 
 
@@ -163,7 +164,7 @@ def emerging_terms(docs: DataFrame, period: str, text: str, step: int,
         (F.col("now") / F.col("n_now")).alias("rate_now"),
         (F.col("before") / F.col("n_before")).alias("rate_before"),
     ).where((F.col("rate_now") > F.col("rate_before")) & (F.col("now") >= min_count))
-    gains = rated.withColumn("gain", F.bround(F.col("rate_now") - F.col("rate_before"), 4))
+    gains = rated.withColumn("gain", round_exact(F.col("rate_now") - F.col("rate_before"), 4))
     best = W.partitionBy(period).orderBy(F.desc("gain"), "term")
     return gains.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         period, "rank", "term", "gain")

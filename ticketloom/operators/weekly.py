@@ -44,7 +44,7 @@ def csat_aggregates() -> list[Column]:
     return [
         answered.alias("csat_n"),
         C.share(answered, F.count(F.lit(1))).alias("response_rate_pct"),
-        F.bround(F.avg("csat"), 3).alias("csat_mean"),
+        C.round_exact(F.avg("csat"), 3).alias("csat_mean"),
     ]
 
 

@@ -93,7 +93,7 @@ def audit_summary(audit: DataFrame) -> DataFrame:
     """Checks, errors and error rate per week."""
     n, bad = F.count(F.lit(1)), F.count_if(~F.col("ok"))
     return audit.groupBy("week_start").agg(
-        n.alias("checks"), bad.alias("errors"), F.bround(bad / n, 3).alias("error_rate"))
+        n.alias("checks"), bad.alias("errors"), C.ratio(bad, n).alias("error_rate"))
 
 
 def evaluation_report(labelled: DataFrame) -> DataFrame:

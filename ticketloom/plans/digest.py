@@ -58,7 +58,7 @@ def sections(counts: DataFrame) -> DataFrame:
         "week_start", "position", "theme", "n", "total",
         C.share(F.col("n"), F.col("total"), 1).alias("pct"),
         (F.col("n") - n_before).alias("wow"),
-        F.bround(growth, 1).alias("wow_pp"),
+        C.round_exact(growth, 1).alias("wow_pp"),
     )
 
 
