@@ -52,26 +52,24 @@ def previous_row(df: DataFrame, group: str, bucket: Column, order: list[str],
 
     ``bucket`` must never decrease along ``order``. Rows are compared inside (group, bucket)
     first; only the first and last row of each bucket meet again per group. The widest task is
-    therefore one bucket, or two rows per bucket, never a whole group.
+    therefore one bucket, or two rows per bucket, never a whole group. Both halves read the same
+    shuffle: the payload travels as one struct, so that neither half prunes it differently.
     """
+    rest = [c for c in df.columns if c not in payload]
     inner = W.partitionBy(group, "_bucket").orderBy(*order)
+    across = W.partitionBy(group).orderBy("_bucket", *order)
+    packed = df.select(*rest, bucket.alias("_bucket"), F.struct(*payload).alias("_row"))
     marked = (
-        df.withColumn("_bucket", bucket)
-        .withColumn("_back", F.lag(F.struct(*payload)).over(inner))
+        packed.withColumn("_back", F.lag("_row").over(inner))
         .withColumn("_first", F.row_number().over(inner) == 1)
         .withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
     )
-    across = W.partitionBy(group).orderBy("_bucket", *order)
     edges = (
         marked.where(F.col("_first") | F.col("_last"))
-        .withColumn("_back", F.lag(F.struct(*payload)).over(across))
-        .where("_first")
-    )
-    return (
-        marked.where(~F.col("_first")).unionByName(edges)
-        .withColumnRenamed("_back", out)
-        .drop("_bucket", "_first", "_last")
+        .withColumn("_back", F.lag("_row").over(across)).where("_first")
     )
+    return marked.where(~F.col("_first")).unionByName(edges).select(
+        *rest, "_row.*", F.col("_back").alias(out))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -83,6 +81,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def widen(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan over all cores when it has fewer partitions than that.
+
+    Small exports arrive as one file and would keep compute-heavy text work on one core. A large
+    scan already has more partitions than cores and passes through untouched, without a shuffle.
+    ``scan`` must be a plain read, whose partitions are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it back.
 
