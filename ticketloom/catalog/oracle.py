@@ -652,6 +652,17 @@ def all_sql() -> dict[str, str]:
     sql["emerging_terms"] = _q(DOCS + "," + _rising("docs"), "SELECT * FROM rising")
     sql["emerging_terms_tickets"] = _q(TICKETS + "," + _rising("t"), "SELECT * FROM rising")
 
+    sql["csv_round_trip"] = _q(DOCS, f"""SELECT ticket_id, category, agent_notes, md5(trim(customer_message, {_WS})) AS message_md5,
+      length(trim(customer_message, {_WS}))::BIGINT AS chars, '' AS priority FROM docs""")
+    sql["roster_intervals"] = _q(ROSTER, "SELECT agent_id AS agent_key, name, team, shift, site, lo AS valid_from, hi AS valid_to FROM roster")
+    sql["kpi_documents"] = _q(KPI, """SELECT week_start, volume,
+      (SELECT printf('%.2f', (count(*) FILTER (WHERE channel_key = 'chat') * 100.0)::DOUBLE / count(*))::DOUBLE FROM wk WHERE wk.week_start = kpi.week_start HAVING count(*) FILTER (WHERE channel_key = 'chat') > 0) AS chat_pct,
+      (SELECT count(*) FROM wk WHERE wk.week_start = kpi.week_start AND status_key = 'open' HAVING count(*) > 0) AS open_n,
+      (SELECT count(*) FROM wk WHERE wk.week_start = kpi.week_start AND late AND channel_key = 'email' HAVING count(*) > 0) AS email_breaches,
+      (SELECT sum(rate)::BIGINT FROM wk WHERE wk.week_start = kpi.week_start AND channel_key = 'voice') AS voice_cost FROM kpi""")
+    sql["quality_document"] = _q(TICKETS + "," + ORPHANS, """SELECT count(*) AS canonical_rows,
+      (SELECT orphans FROM orphan WHERE "column" = 'agent_id') AS orphan_agent_id,
+      count(*) FILTER (WHERE source_system = 'helpdesk' AND resolved_at <> '') AS resolved_helpdesk FROM t""")
     sql["excerpts"] = _q(DOCS, f"SELECT ticket_id, {_excerpt('customer_message', 'agent_notes', 300)} AS excerpt FROM docs")
     item = """to_json({'ticket_id': ticket_id, 'customer_message': substring(customer_message, 1, 800),
       'agent_notes': substring(agent_notes, 1, 400), 'category': category, 'product_family': product_family})::VARCHAR"""

@@ -13,6 +13,8 @@ from ..operators import (
     sampling as S, terms as TM, themes as TH, weekly as K,
 )
 from ..plans import audit as A, digest as G, quality_report as QR
+from ..schemas import ROSTER_COLUMNS as S_ROSTER, TICKET_COLUMNS as S_TICKETS
+from ..sources import readers as RD, writers as WR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,6 +288,51 @@ def emerging_terms_tickets(spark, d):
     return TM.emerging_terms(B.tickets(spark, d), "week_start", "customer_message", 7, B.STOP_WORDS, k=8)
 
 
+# -- files
+def _scratch(spark):
+    from uuid import uuid4
+
+    from .. import scale
+    return f"{scale.checkpoint_folder(spark)}/ticketloom-{uuid4().hex}"
+
+
+def csv_round_trip(spark, d):
+    """Whole documents written as a CSV export with line breaks and quotes, and read back."""
+    path = _scratch(spark)
+    WR.write_csv(B.text_tickets(spark, d), path, ["ticket_id", "customer_message", "agent_notes", "category"])
+    back = RD.read_csv(spark, path, S_TICKETS)
+    return back.select("ticket_id", "category", "agent_notes", F.md5("customer_message").alias("message_md5"),
+                       F.length("customer_message").cast("long").alias("chars"), "priority")
+
+
+def roster_intervals(spark, d):
+    """Roster written as CSV, read back and parsed into dated intervals."""
+    path = _scratch(spark)
+    WR.write_csv(B.roster(spark, d), path, S_ROSTER)
+    return R.intervals(RD.read_roster(spark, path)).select(
+        "agent_key", "name", "team", "shift", "site", "valid_from", "valid_to")
+
+
+def kpi_documents(spark, d):
+    """Weekly JSON documents, read back field by field."""
+    docs = G.kpi_documents(B.tickets(spark, d), B.roster(spark, d))
+
+    def field(path, kind="long"):
+        return F.get_json_object("document", path).cast(kind)
+    return docs.select(
+        "week_start", F.coalesce(field("$.volume"), F.lit(0).cast("long")).alias("volume"),
+        field("$.channel_mix.chat", "double").alias("chat_pct"), field("$.status_mix.open.n").alias("open_n"),
+        field("$.sla_by_channel.email").alias("email_breaches"), field("$.cost_by_channel.voice").alias("voice_cost"))
+
+
+def quality_document(spark, d):
+    """The quality report as one JSON document, read back."""
+    return QR.quality_document(dq_report(spark, d)).select(
+        F.get_json_object("document", "$.canonical_rows").cast("long").alias("canonical_rows"),
+        F.get_json_object("document", "$.orphan_agent_id").cast("long").alias("orphan_agent_id"),
+        F.get_json_object("document", "$['resolved_rows.helpdesk']").cast("long").alias("resolved_helpdesk"))
+
+
 # -- model requests and replies
 def excerpts(spark, d):
     return B.text_tickets(spark, d).select(
@@ -335,10 +382,8 @@ def label_override(spark, d):
 def _theme_picks(spark, d):
     """Picks from a small written table of (ticket, theme, method, disagrees)."""
     from .. import scale
-    t = B.tickets(spark, d)
-    judged = TH.explain(t).select("ticket_id", "taxonomy_theme", "rule_theme", "agree")
-    table = scale.settle(_assigned(spark, d).select("ticket_id", "theme", "method"))
-    return S.theme_picks(table, scale.settle(TH.disagreements(judged).select("ticket_id")))
+    judged = scale.settle(TH.judge(B.tickets(spark, d)))
+    return S.theme_picks(judged, judged.where("disagrees"))
 
 
 def stratified_sample(spark, d):
@@ -468,6 +513,10 @@ def all_queries() -> dict[str, Query]:
         "group_skipped": group_skipped,
         "emerging_terms": emerging_terms,
         "emerging_terms_tickets": emerging_terms_tickets,
+        "csv_round_trip": csv_round_trip,
+        "roster_intervals": roster_intervals,
+        "kpi_documents": kpi_documents,
+        "quality_document": quality_document,
         "excerpts": excerpts,
         "prompt_payload": prompt_payload,
         "prompt_batches": prompt_batches,

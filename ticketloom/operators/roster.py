@@ -170,7 +170,8 @@ def overlaps(roster: DataFrame) -> DataFrame:
     grouped = regular.groupBy("agent_key", F.col("lo").alias("a"), F.col("hi").alias("b")).agg(
         F.count(F.lit(1)).alias("w"))
     inside = (
-        reversed_spans.join(grouped, "agent_key").where("a <= hi and lo <= b")
+        scale.spread_join(grouped, reversed_spans, ["agent_key"], ["a", "b"], "inner")
+        .where("a <= hi and lo <= b")
         .groupBy("agent_key").agg(F.sum(F.col("m") * F.col("w")).alias("n"))
     )
     return pairs.unionByName(inside).groupBy(F.col("agent_key").alias("agent_id")).agg(

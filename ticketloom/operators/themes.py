@@ -57,6 +57,16 @@ def explain(tickets: DataFrame, rules: ThemeRules = DEFAULT_RULES) -> DataFrame:
     )
 
 
+def judge(tickets: DataFrame, rules: ThemeRules = DEFAULT_RULES) -> DataFrame:
+    """Theme, method and whether category and keywords disagree, from one scoring of the texts."""
+    stored, winner = F.col("taxonomy_theme"), F.col("rule_theme")
+    return explain(tickets, rules).select(
+        "ticket_id", F.coalesce(stored, winner, F.lit(rules.other)).alias("theme"),
+        F.when(stored.isNotNull(), F.lit("taxonomy")).when(winner.isNotNull(), F.lit("rule"))
+        .otherwise(F.lit("rule-fallback")).alias("method"),
+        (stored.isNotNull() & winner.isNotNull() & ~F.col("agree")).alias("disagrees"))
+
+
 def disagreements(explained: DataFrame) -> DataFrame:
     return explained.where(
         F.col("taxonomy_theme").isNotNull() & F.col("rule_theme").isNotNull() & ~F.col("agree"))

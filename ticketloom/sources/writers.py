@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 def write_csv(frame: DataFrame, path: str, columns: list[str]) -> None:
     """Folder of CSV files with exactly ``columns``; other columns are left out."""
     (frame.select(*columns).write.mode("overwrite").option("header", True).option("quote", '"')
-     .option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path))
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", "").option("nullValue", "").csv(path))
 
 
 def write_documents(documents: DataFrame, path: str, column: str = "document") -> None:
