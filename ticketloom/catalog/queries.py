@@ -65,7 +65,7 @@ def response_minutes(spark, d):
 # -- weekly figures and money
 def replacement_cost(spark, d):
     part = B.table(spark, d, "part")
-    return part.select("p_partkey", F.bround(M.replacement_cost("p_retailprice"), 2).alias("plan_cost"))
+    return part.select("p_partkey", C.round_exact(M.replacement_cost("p_retailprice"), 2).alias("plan_cost"))
 
 
 def contact_rates(spark, d):
@@ -261,7 +261,7 @@ def _grouped(spark, d):
 
 def group_top_terms(spark, d):
     return TM.group_top_terms(_grouped(spark, d), "doc_id", "grp", "text", B.STOP_WORDS, k=5).withColumn(
-        "score", F.bround("score", 6))
+        "score", C.round_exact(F.col("score"), 6))
 
 
 def group_skipped(spark, d):
@@ -277,7 +277,7 @@ def group_top_terms_tickets(spark, d):
     docs = fam.select("ticket_id", X.group_label("category", "family").alias("grp"),
                       X.ticket_text("customer_message", "agent_notes").alias("text"))
     return TM.group_top_terms(docs, "ticket_id", "grp", "text", B.STOP_WORDS, k=5).withColumn(
-        "score", F.bround("score", 6))
+        "score", C.round_exact(F.col("score"), 6))
 
 
 def emerging_terms(spark, d):

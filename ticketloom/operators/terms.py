@@ -117,7 +117,7 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str, text: str,
         weighted.withColumn("w", F.col("w") / norm)
         .groupBy(group, "term")
         .agg((F.sum("w") / F.max("docs")).alias("raw_score"))
-        .withColumn("score", F.bround("raw_score", 9))
+        .withColumn("score", round_exact(F.col("raw_score"), 9))
     )
     best = W.partitionBy(group).orderBy(F.desc("score"), "term")
     return (
