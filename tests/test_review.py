@@ -87,7 +87,7 @@ def test_review_rows(make):
     pairs = S.pair_items(t, S.pair_picks(P.repeat_pairs(t))).collect()
     assert [(r.item_id, r.pair_id, r.predicted, r.method) for r in pairs] == [
         ("RP-c", "p", "same-issue", "same_order=True same_product=True same_category=True gap=21.0d")]
-    refunds = {(r.item_id, r.ticket_id, r.pair_id, r.method): r.predicted for r in S.refund_items(t).collect()}
+    refunds = {(r.item_id, r.ticket_id, r.pair_id, r.method): r.predicted for r in S.refund_items(t, S.refund_picks(t)).collect()}
     assert refunds == {
         ("RF-k", "k", "", "same-ticket"): "conflict refund=7 replacement=Y order=OK",
         ("RF-OX", "p", "OX", "cross-ticket"): "same-order co-occurrence order=OX",

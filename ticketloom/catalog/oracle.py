@@ -499,7 +499,7 @@ refund_items AS (
   FROM (SELECT * FROM t WHERE refund IS NOT NULL AND replacement_issued = 'Y' ORDER BY ticket_id LIMIT 4)
   UNION ALL
   SELECT 'RF-' || c.order_id, t.ticket_id, c.order_id, 'same-order co-occurrence order=' || c.order_id, 'cross-ticket',
-    t.ticket_id || ': ' || {_excerpt('t.customer_message', 't.agent_notes', 180)}, channel, source_system
+    t.ticket_id || ': ' || {_excerpt('t.customer_message', 't.agent_notes', 180)}, '', ''
   FROM cross_rows c JOIN t USING (ticket_id)
   WHERE c.order_id IN (SELECT DISTINCT order_id FROM cross_rows ORDER BY order_id LIMIT 4)
 )"""

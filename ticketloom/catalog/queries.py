@@ -227,7 +227,8 @@ def theme_counts_weekly(spark, d):
 
 
 def digest_sections(spark, d):
-    return G.sections(theme_counts_weekly(spark, d))
+    from .. import scale
+    return G.sections(scale.settle(theme_counts_weekly(spark, d)))
 
 
 def other_watch(spark, d):
@@ -399,12 +400,13 @@ def review_sample(spark, d):
     t = G.settled(B.tickets(spark, d))
     themes = scale.settle(_theme_picks(spark, d))
     pairs = scale.settle(S.pair_picks(P.repeat_pairs(t)))
-    ids = themes.select("ticket_id").unionByName(pairs.select(F.explode(
-        F.array("prior_ticket_id", "repeat_ticket_id")).alias("ticket_id"))).distinct()
-    raw = B.raw_tickets(spark, d).join(F.broadcast(ids), "ticket_id", "left_semi")
+    refunds = scale.settle(S.refund_picks(t))
+    ids = themes.select("ticket_id").unionByName(refunds.select("ticket_id")).unionByName(
+        pairs.select(F.explode(F.array("prior_ticket_id", "repeat_ticket_id")).alias("ticket_id"))).distinct()
+    raw = B.raw_tickets(spark, d).join(ids, "ticket_id", "left_semi")
     texts = scale.settle(D.typed(D.canonical(raw)))
     return (S.theme_items(texts, themes).unionByName(S.pair_items(texts, pairs))
-            .unionByName(S.refund_items(B.tickets(spark, d))))
+            .unionByName(S.refund_items(texts, refunds)))
 
 
 def sample_pairs(spark, d):
@@ -416,7 +418,8 @@ def sample_stratum_sizes(spark, d):
 
 
 def refund_review_items(spark, d):
-    return S.refund_items(B.tickets(spark, d)).select(
+    t = B.tickets(spark, d)
+    return S.refund_items(t, S.refund_picks(G.settled(t))).select(
         "item_id", "ticket_id", "pair_id", "predicted", "method", "text")
 
 

@@ -82,36 +82,33 @@ def pair_items(tickets: DataFrame, picks: DataFrame) -> DataFrame:
                                      F.lit(" || REPEAT: "), "_text")))
 
 
-def refund_items(tickets: DataFrame, conflicts: int = 4, orders: int = 4) -> DataFrame:
-    """Review rows of the first conflicts by ticket id and the first cross-ticket orders.
-
-    A cross-ticket order gives one row per ticket, with the order as ``pair_id``.
-    """
+def refund_picks(tickets: DataFrame, conflicts: int = 4, orders: int = 4) -> DataFrame:
+    """(ticket_id, pair_id, method): the first conflicts by ticket id, and every ticket of the
+    first cross-ticket orders with the order as ``pair_id``. Needs no texts."""
     same = same_ticket_conflicts(tickets).select("ticket_id").orderBy("ticket_id").limit(conflicts)
-    single = (
-        tickets.join(F.broadcast(same), "ticket_id")
-        .withColumn("item_id", F.concat(F.lit("RF-"), "ticket_id"))
-        .withColumn("predicted", F.concat(
-            F.lit("conflict refund="), C.strip("refund_amount_inr"), F.lit(" replacement="),
-            C.strip("replacement_issued"), F.lit(" order="), C.strip("order_id")))
-        .withColumn("method", F.lit("same-ticket"))
-        .withColumn("text", excerpt("customer_message", "agent_notes"))
-    )
     crossed = cross_ticket_orders(tickets)
     first = crossed.select("order_id").distinct().orderBy("order_id").limit(orders)
-    wanted = crossed.join(F.broadcast(first), "order_id").select("ticket_id", "order_id")
-    several = (
-        tickets.drop("order_id").join(wanted, "ticket_id")
-        .withColumn("item_id", F.concat(F.lit("RF-"), "order_id"))
-        .withColumn("pair_id", F.col("order_id"))
-        .withColumn("predicted", F.concat(F.lit("same-order co-occurrence order="), "order_id"))
-        .withColumn("method", F.lit("cross-ticket"))
-        .withColumn("text", F.concat("ticket_id", F.lit(": "),
-                                     excerpt("customer_message", "agent_notes", 180)))
-    )
-    stratum = F.lit("refund")
-    return _review(single.withColumn("stratum", stratum)).unionByName(
-        _review(several.withColumn("stratum", stratum)))
+    return same.select("ticket_id", F.lit("").alias("pair_id"), F.lit("same-ticket").alias("method")).unionByName(
+        crossed.join(F.broadcast(first), "order_id").select(
+            "ticket_id", F.col("order_id").alias("pair_id"), F.lit("cross-ticket").alias("method")))
+
+
+def refund_items(tickets: DataFrame, picks: DataFrame) -> DataFrame:
+    """Review rows of the refund picks; a cross-ticket order gives one row per ticket."""
+    alone = F.col("method") == "same-ticket"
+    conflict = F.concat(
+        F.lit("conflict refund="), C.strip("refund_amount_inr"), F.lit(" replacement="),
+        C.strip("replacement_issued"), F.lit(" order="), C.strip("order_id"))
+    return _review(
+        tickets.join(picks, "ticket_id")
+        .withColumn("stratum", F.lit("refund"))
+        .withColumn("item_id", F.concat(F.lit("RF-"), F.when(alone, F.col("ticket_id")).otherwise(F.col("pair_id"))))
+        .withColumn("predicted", F.when(alone, conflict).otherwise(
+            F.concat(F.lit("same-order co-occurrence order="), "pair_id")))
+        .withColumn("text", F.when(alone, excerpt("customer_message", "agent_notes")).otherwise(
+            F.concat("ticket_id", F.lit(": "), excerpt("customer_message", "agent_notes", 180))))
+        .withColumn("channel", F.when(alone, F.col("channel")).otherwise(F.lit("")))
+        .withColumn("source_system", F.when(alone, F.col("source_system")).otherwise(F.lit(""))))
 
 
 def stratum_sizes(sample: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ FIGURE_COLUMNS = [
     "ticket_id", "first_seq", "week_start", "created_ts", "first_response_ts", "resolved_ts",
     "resolved_at", "resolved_day", "resolved_week", "is_done", "sla_breach", "channel",
     "channel_key", "status_key", "csat", "transfers", "transfer_value", "refund_amount_inr",
-    "replacement_issued", "customer_key", "agent_key", "order_id", "product_sku", "category",
+    "refund_value", "replacement_issued", "customer_key", "agent_key", "order_id", "product_sku", "category",
     "source_system",
 ]
 
