@@ -32,7 +32,7 @@ def id_label(ticket: Column | str, agent: Column | str) -> Column:
     return F.concat(_col(ticket), F.lit(":"), _col(agent))
 
 
-def pair_method(pair: str | None = None) -> Column:
+def pair_method() -> Column:
     """Review note of a repeat pair: which keys agree and how far apart the contacts are."""
     def flag(name: str) -> Column:
         return F.when(F.col(name), F.lit("True")).otherwise(F.lit("False"))

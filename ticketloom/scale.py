@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -74,11 +75,12 @@ def previous_row(df: DataFrame, group: str, bucket: Column, order: list[str],
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's setting, else a scratch one for tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ticketloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _scratch_folder()
+
+
+@lru_cache(maxsize=1)
+def _scratch_folder() -> str:
+    return tempfile.mkdtemp(prefix="ticketloom-")
 
 
 def widen(scan: DataFrame, key: str) -> DataFrame:

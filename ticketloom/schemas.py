@@ -32,13 +32,3 @@ TAXONOMY_SCHEMA = T.StructType([
     T.StructField("emerging_other_note", T.StringType()),
     T.StructField("adjudication_note", T.StringType()),
 ])
-
-# A reply names themes and the ticket ids that support each of them.
-RESPONSE_SCHEMA = T.StructType([
-    T.StructField("themes", T.ArrayType(T.StructType([
-        T.StructField("theme", T.StringType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("evidence_ticket_ids", T.ArrayType(T.StringType())),
-        T.StructField("confidence", T.DoubleType()),
-    ]))),
-])
