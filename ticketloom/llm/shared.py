@@ -2,8 +2,11 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, after this package has gone to the executors, once per application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = os.path.realpath(f"{tempfile.mkdtemp(prefix='ticketloom-code-')}/{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as file:
+            for source in package.rglob("*.py"):
+                file.write(source, source.relative_to(package.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names; any others may be called anything."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
