@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, langid
+from . import bpe, chat, decontaminate, langid, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identified(docs, langid.fit(docs))
@@ -53,7 +58,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
+    "op1_bpe": op1_bpe, "op2_substring": op2_substring, "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -61,6 +66,22 @@ _WORDS8 = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+
 
 SQL = {}
 
+SQL["op2_substring"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+marks AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM wins),
+gone AS (SELECT DISTINCT doc_id, k FROM (
+  SELECT doc_id, unnest(range(s, s + 50)) AS k FROM marks WHERE again)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN (
+  SELECT words.doc_id, count(*) FILTER (gone.k IS NULL) AS stay, count(*) - count(*) FILTER (gone.k IS NULL) AS n,
+    string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL) AS kept
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY words.doc_id) x USING (doc_id)
+"""
+
 SQL["op8_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS8.format("coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS8.format("coalesce(text, '')")} AS w FROM benchmark),
