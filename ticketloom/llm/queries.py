@@ -74,10 +74,10 @@ marks AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) < doc_id AS agai
 gone AS (SELECT DISTINCT doc_id, k FROM (
   SELECT doc_id, unnest(range(s, s + 50)) AS k FROM marks WHERE again)),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN (
-  SELECT words.doc_id, count(*) FILTER (gone.k IS NULL) AS stay, count(*) - count(*) FILTER (gone.k IS NULL) AS n,
+  SELECT words.doc_id, count(gone.k) AS n,
     string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL) AS kept
   FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY words.doc_id) x USING (doc_id)
 """
