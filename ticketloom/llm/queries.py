@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, langid, setsketch, substring
+from . import bpe, chat, decontaminate, langid, secretscan, setsketch, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,19 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secretscan.train(secretscan.labelled_strings(docs)))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secretscan.listed(F.col("base")), 256).alias("base_sha256"),
+        secretscan.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identified(docs, langid.fit(docs))
@@ -64,7 +77,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_substring": op2_substring,
-    "op6_near_duplicates": op6_near_duplicates, "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
+    "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
+    "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
