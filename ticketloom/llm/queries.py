@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, langid, secretscan, setsketch, substring
+from . import bpe, chat, decontaminate, langid, lines, secretscan, setsketch, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = setsketch.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
     return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -77,7 +82,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_substring": op2_substring,
-    "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
+    "op4_lines": op4_lines, "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
 }
 
@@ -102,6 +107,26 @@ FROM d LEFT JOIN (
   FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY words.doc_id) x USING (doc_id)
 """
 
+SQL["op4_lines"] = """
+WITH l AS (
+  SELECT doc_id, k, lines[k] AS line FROM (
+    SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (
+      SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+f AS (SELECT line, min((doc_id, k)) AS first FROM l WHERE length(line) >= 20 GROUP BY line),
+near AS (
+  SELECT a.line, min(b.first) AS first FROM f a JOIN f b
+    ON (left(a.line, 9) = left(b.line, 9) OR right(a.line, 9) = right(b.line, 9))
+    AND abs(length(a.line) - length(b.line)) <= 1 AND b.first < a.first
+  WHERE levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
+kept AS (
+  SELECT l.*, f.line IS NOT NULL AND least(f.first, coalesce(near.first, f.first)) < (l.doc_id, l.k) AS gone
+  FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS t FROM kept GROUP BY doc_id) USING (doc_id)
+"""
+
 SQL["op6_near_duplicates"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
