@@ -4,7 +4,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, langid, lines, secretscan, setsketch, substring
+from . import balltree, bpe, chat, decontaminate, langid, lines, secretscan, setsketch, substring, warc
+from .shared import stored
+
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,24 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(spark)
+    warc.write(pages, folder)
+    captures = stored(warc.assemble(warc.read(spark, folder)), "captures")
+    kind = pages.schema["page_id"].dataType
+    return warc.with_payload_facts(captures).select(
+        F.nullif(F.col("metadata.fields")["pageId"], F.lit("")).cast(kind).alias("page_id"), "payload_bytes",
+        F.coalesce("response.payload_digest", "response.declared_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), F.col("refers_page").cast(kind).alias("refers_to"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = balltree.usable(_table(spark, sf_dir, "embeddings")).select(
+        "vec_id", F.transform("vec", lambda x: F.floor(x * 256).cast("double")).alias("embedding"))
+    return balltree.top_k(whole, whole.where(F.col("vec_id") % 50 == 0)).withColumn("score", F.col("score").cast("long"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -82,7 +102,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_substring": op2_substring,
-    "op4_lines": op4_lines, "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
+    "op3_warc": op3_warc, "op4_lines": op4_lines, "op5_top_k": op5_top_k, "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
 }
 
@@ -107,6 +127,27 @@ FROM d LEFT JOIN (
   FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY words.doc_id) x USING (doc_id)
 """
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(s, {10 * part + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31 AS INT), 1)"
+    for part in range(4) for i in range(8))
+SQL["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN m USING (h)
+"""
+
+SQL["op5_top_k"] = """
+WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 SQL["op4_lines"] = """
 WITH l AS (
   SELECT doc_id, k, lines[k] AS line FROM (
