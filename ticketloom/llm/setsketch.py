@@ -24,6 +24,8 @@ from .shared import WordHashes, arrow_map, mixed, picked, raw_bytes, signed, sto
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
+# A broadcast side has at most so many rows; beyond it the join shuffles.
+MOST_BROADCAST_ROWS = 500_000
 # Strangers in a block, other documents that one block meets in one task, and set members compared at once.
 STRANGERS, PARTNERS, MEMBERS = 256, 2048, 100_000
 
@@ -245,7 +247,9 @@ def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int) -> Data
         "low", "doc_id", "low_n", "n", "low_registers", "registers")
     margin = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
     likely = arrow_map(paired, _likely(percent / 100 - margin), f"low {kind}, doc_id {kind}")
-    wanted = stars.select("doc_id").union(stars.select("low")).distinct()
+    wanted = stored(stars.select("doc_id").union(stars.select("low")).distinct(), "wanted")
+    if wanted.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     sets = stored(arrow_map(docs.join(wanted, "doc_id"), _sets(size), f"doc_id {kind}, members binary"), "sets")
     lows = sets.select(F.col("doc_id").alias("low"), F.col("members").alias("low_members"))
     confirmed = arrow_map(
