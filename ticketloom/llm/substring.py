@@ -8,8 +8,9 @@ and still no repeat can be missed. Positions whose stand-in repeats survive to t
 each full window is told apart by 128 bits; the search ends early when no candidate is left.
 
 Rows that travel are hashes with document ids. Both levels are sums per hash (the smallest and
-largest document), combined before the shuffle, joined back to the rows; a hash that a third of all
-documents share is a skewed join, never one group of rows.
+largest document), combined before the shuffle and stored before they are joined back to the rows: both
+sides of that join are shuffle reads, so that a hash which a third of all documents share is divided
+among tasks, never one group of rows.
 """
 from __future__ import annotations
 
@@ -109,8 +110,8 @@ def _cut(window: int):
 
 def _in_several(rows: DataFrame) -> DataFrame:
     """Hashes of more than one document, with the smallest of these."""
-    return rows.groupBy("h", "g").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where(
-        "lowest < highest").select("h", "g", "lowest")
+    return stored(rows.groupBy("h", "g").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where(
+        "lowest < highest").select("h", "g", "lowest"), "repeated")
 
 
 def repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
