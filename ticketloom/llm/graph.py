@@ -8,7 +8,7 @@ from .shared import stored
 
 def _smallest(pairs: DataFrame) -> DataFrame:
     """Per node ``u``: ``m``, the smallest of itself and its neighbours ``v``."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
 
 
 def components(links: DataFrame) -> DataFrame:

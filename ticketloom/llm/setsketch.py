@@ -8,6 +8,9 @@ All pairs of a bucket are never formed. Each bucket names its smallest document,
 compared with that: first by the joint likelihood of both sketches, then on the full sets. What is
 linked to the smallest document forms one component already; only documents outside it (strangers) are
 compared with the other documents of the bucket, in blocks of bounded size, on the full sets.
+
+Sums per key are stored before they are joined back, so that both sides of the join are shuffle reads
+and a hot key is divided among tasks.
 """
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .shared import WordHashes, arrow_map, mixed, picked, raw_bytes, signed, stored, window_hashes
+from .shared import WordHashes, arrow_map, except_for, mixed, picked, raw_bytes, signed, stored, window_hashes
 
 # Sketch: bands times rows registers. Two sets of similarity 0.8 share no band once in a billion.
 BANDS, ROWS = 40, 4
@@ -227,20 +230,20 @@ def _groups_to_meet(stars: DataFrame, found: DataFrame) -> DataFrame:
         own = found.select(F.col("node").alias(column), F.col("component").alias(name))
         return lambda df: df.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
-    members = owner("doc_id", "owner")(owner("low", "home")(stars))
+    members = stored(owner("doc_id", "owner")(owner("low", "home")(stars)), "owners")
     open_groups = members.groupBy("low").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("owner") != F.col("home")).alias("strange")).where(
         "strange > 0 and n > 1")
-    return members.join(open_groups, "low")
+    return members.join(stored(open_groups, "open-groups"), "low")
 
 
 def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): links that tie together all similar documents of different sets."""
     kind = sketches.schema["doc_id"].dataType.simpleString()
     keys = stored(arrow_map(sketches.select("doc_id", "registers"), _banded, f"key long, doc_id {kind}"), "bands")
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    stars = stored(keys.join(buckets.select("key", "low"), "key").where("low < doc_id")
-                   .select("low", "doc_id").distinct(), "stars")
+    buckets = stored(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                     .where("low < high").select("key", "low"), "buckets")
+    stars = stored(keys.join(buckets, "key").where("low < doc_id").select("low", "doc_id").distinct(), "stars")
     own = sketches.select("doc_id", "n", "registers")
     other = own.select(F.col("doc_id").alias("low"), F.col("n").alias("low_n"), F.col("registers").alias("low_registers"))
     paired = stars.join(own, "doc_id").join(other, "low").select(
@@ -292,9 +295,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     sketches = stored(arrow_map(
         own, _sketched(shingle), f"doc_id {kind}, n long, f long, g long, registers binary"), "sketches")
     some = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    equal = some.groupBy("n", "f", "g").agg(F.min("doc_id").alias("first"))
+    equal = stored(some.groupBy("n", "f", "g").agg(F.min("doc_id").alias("first")), "equal-sets")
     first = equal.select(F.col("first").alias("doc_id")).distinct()
     found = components(links(own, some.join(first, "doc_id", "left_semi"), shingle, percent).unionByName(
         some.join(equal, ["n", "f", "g"]).where("first < doc_id").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))))
     return sketches.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that have the smallest id of their component.
+
+    Documents without a set, or with a NULL id, stay.
+    """
+    later = near_duplicates(docs, shingle, percent, doc_id, text).where("doc_id <> component_id")
+    return except_for(docs, later, {f"`{doc_id}`": "doc_id"})

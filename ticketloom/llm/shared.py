@@ -68,6 +68,18 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def except_for(docs: DataFrame, dropped: DataFrame, keys: dict[str, str], most: int = 500_000) -> DataFrame:
+    """Rows of ``docs`` that match no row of ``dropped``; ``keys``: expression over docs -> column of dropped.
+
+    The rows to drop are broadcast when they are counted at no more than ``most``, and joined by a
+    shuffle beyond that. NULL matches NULL.
+    """
+    dropped = stored(dropped.select(*[F.col(c).alias(f"_drop_{c}") for c in keys.values()]).distinct(), "dropped")
+    same = functools.reduce(lambda a, b: a & b, [F.expr(e).eqNullSafe(F.col(f"_drop_{c}")) for e, c in keys.items()])
+    small = dropped.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti")
+
+
 def lower_ascii(column):
     """A-Z in lower case and nothing else."""
     return F.translate(column, UPPER, LOWER)
