@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import lower_ascii, picked, stored
+from .shared import except_for, lower_ascii, picked, stored
 
 # Words: runs of anything but ASCII characters that are no letter or digit.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,7 +87,7 @@ def rarest_shingles(docs: DataFrame, windows: DataFrame, shingle: int, sizes: li
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3,
                   doc_id: str = "doc_id", text: str = "text",
                   max_broadcast_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids), hits ((start, span) of windows).
+    """Per document: doc_id, text_id (hash of the text), n_words, n_hit, items (sorted ids), hits ((start, span) of windows).
 
     A word is hit when it lies in an occurrence of any window of any item.
 
@@ -123,7 +123,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         found.groupBy("doc_id", "text_id")
         .agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"))
         .select(
-            "doc_id", F.col("n_words").cast("long"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
+            "doc_id", "text_id", F.col("n_words").cast("long"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
             F.array_distinct(F.flatten("hits.items")).alias("items"), "hits")
     )
 
@@ -131,6 +131,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no window of any item."""
-    hit = contamination(docs, items, window, doc_id=doc_id, text=text).where("n_hit > 0").select(
-        F.col("doc_id").alias("_hit"))
-    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = contamination(docs, items, window, doc_id=doc_id, text=text).where("n_hit > 0")
+    return except_for(docs, hit, {f"`{doc_id}`": "doc_id", f"xxhash64(`{text}`)": "text_id"})

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .shared import arrow_map, picked
 
@@ -187,5 +187,5 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 [*batch.columns, pa.array([j[0] for j in judged], pa.string()),
                  pa.array([j[1] for j in judged], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    wanted = docs.schema.add("lang_pred", "string").add("score", "double")
+    wanted = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return arrow_map(docs, run, wanted)

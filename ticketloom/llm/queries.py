@@ -4,6 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import balltree, bpe, chat, decontaminate, langid, lines, secretscan, setsketch, substring, warc
 from .shared import stored
 
@@ -104,8 +106,10 @@ QUERIES = {
     "op1_bpe": op1_bpe, "op2_substring": op2_substring,
     "op3_warc": op3_warc, "op4_lines": op4_lines, "op5_top_k": op5_top_k, "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
+# op1, op7, op10 and the pipeline have no SQL: tests hold them against plain Python.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS8 = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
