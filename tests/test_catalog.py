@@ -7,10 +7,12 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry_module
+from ticketloom.catalog.oracle import all_sql
+from ticketloom.catalog.queries import all_queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +42,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):

@@ -72,7 +72,7 @@ def _pick(values: list[str], index: str) -> str:
 @lru_cache(maxsize=8)
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket export cells from every event; one event in eighteen appears in two systems."""
-    events = scale.widen(table(spark, sf_dir, "events"), "event_id").selectExpr(
+    events = scale.spread_single_file(table(spark, sf_dir, "events"), "event_id").selectExpr(
         "*", "cast(get_json_object(props, '$.k') AS int) AS k",
         "explode(IF(event_id % 18 = 5, array(0, 1), array(0))) AS copy")
     stamped = events.selectExpr(
@@ -171,7 +171,7 @@ def reference_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 @lru_cache(maxsize=8)
 def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets whose message is a whole document; five weeks by document id."""
-    return scale.widen(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
+    return scale.spread_single_file(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         "doc_id AS first_seq", "doc_id", "concat('TK-', doc_id) AS ticket_id",
         "text AS customer_message", "IF(doc_id % 4 = 0, concat('seen in ', source), '') AS agent_notes",
         "source AS category", "lang AS product_family", "n_chars",

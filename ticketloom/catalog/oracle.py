@@ -567,6 +567,7 @@ def all_sql() -> dict[str, str]:
     sql["attendance_weekly"] = _q(TICKETS, "SELECT resolved_week, count(*) AS attendance FROM att GROUP BY 1")
 
     sql["roster_asof"] = _q(ASOF, "SELECT resolved_week, ticket_id, agent_id AS agent_key, team, site FROM placed")
+    sql["roster_asof_shuffled"] = sql["roster_asof"]
     columns = "resolved_week, agent_id, agent_name, team, shift, site, tickets_completed, rank"
     sql["tier1_leaderboard"] = _q(ASOF, f"SELECT {columns} FROM ranked WHERE tier1")
     sql["specialist_table"] = _q(ASOF, f"SELECT {columns} FROM ranked WHERE NOT tier1")

@@ -96,6 +96,13 @@ def roster_asof(spark, d):
         F.col("entry.site").alias("site"))
 
 
+def roster_asof_shuffled(spark, d):
+    """The same lookup as for a roster too large to broadcast."""
+    return R.asof(B.tickets(spark, d), B.roster(spark, d), max_broadcast_rows=0).select(
+        "resolved_week", "ticket_id", "agent_key", F.col("entry.team").alias("team"),
+        F.col("entry.site").alias("site"))
+
+
 def _tier1(spark, d):
     return R.tier1_board(B.tickets(spark, d), B.roster(spark, d))
 
@@ -294,7 +301,7 @@ def _scratch(spark):
     from uuid import uuid4
 
     from .. import scale
-    return f"{scale.checkpoint_folder(spark)}/ticketloom-{uuid4().hex}"
+    return f"{scale.shared_location(spark)}/ticketloom-{uuid4().hex}"
 
 
 def csv_round_trip(spark, d):
@@ -468,6 +475,7 @@ def all_queries() -> dict[str, Query]:
         "conflicts_weekly": conflicts_weekly,
         "attendance_weekly": attendance_weekly,
         "roster_asof": roster_asof,
+        "roster_asof_shuffled": roster_asof_shuffled,
         "tier1_leaderboard": _tier1,
         "specialist_table": specialist_table,
         "leaderboard_top15": leaderboard_top15,

@@ -7,15 +7,20 @@ from .. import scale
 from ..functions import clean as C
 from ..policy import DEFAULT_POLICY, SupportPolicy
 
+# Tickets of one moment are compared in blocks of 2 ** ARRIVAL_BITS arrivals.
+ARRIVAL_BITS = 14
 _CARRIED = ["ticket_id", "resolved_ts", "trusted", "order_key", "sku_key", "category_key"]
 
 
-def _minute_bucket() -> Column:
-    """Calendar minute of creation; undated tickets sort first, a million arrivals per bucket."""
-    minute = (F.unix_date(F.to_date("created_ts")).cast("long") * 1440
-              + F.hour("created_ts") * 60 + F.minute("created_ts"))
-    undated = F.lit(-(2**62)) + F.shiftright("first_seq", 20)
-    return F.coalesce(minute, undated)
+def _buckets() -> list[Column]:
+    """Moment of creation with a block of arrivals, and day of creation.
+
+    Dates without a time and bulk imports put very many tickets on one moment; these are divided by
+    arrival. Undated tickets sort first and form one moment.
+    """
+    moment = F.coalesce(F.col("created_ts"), F.lit("0001-01-01").cast("timestamp_ntz"))
+    block = F.shiftright("first_seq", ARRIVAL_BITS)
+    return [F.struct(moment.alias("at"), block.alias("block")), F.coalesce(F.unix_date(F.to_date("created_ts")), F.lit(-(2**31)))]
 
 
 def repeat_pairs(tickets: DataFrame, window_days: int = 30, drop_blank_keys: bool = False,
@@ -35,7 +40,7 @@ def repeat_pairs(tickets: DataFrame, window_days: int = 30, drop_blank_keys: boo
     if drop_blank_keys:
         rows = rows.where("customer_key <> ''")
     chained = scale.previous_row(
-        rows, "customer_key", _minute_bucket(), ["created_ts", "first_seq"], _CARRIED, "prior")
+        rows, "customer_key", _buckets(), ["created_ts", "first_seq"], _CARRIED, "prior")
     gap = C.days_between("created_ts", "prior.resolved_ts")
     return (
         chained.withColumn("_gap", gap)

@@ -110,7 +110,7 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str, text: str,
     if groups * cap <= bound:
         weighted = occurrences.join(F.broadcast(vocabulary), [group, "term"])
     else:
-        weighted = scale.spread_join(occurrences, vocabulary, [group, "term"], [doc_id], "inner", 64)
+        weighted = scale.spread_join(occurrences, vocabulary, [group, "term"], [doc_id], "inner")
     weighted = weighted.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc_id)))
     scores = (

@@ -1,16 +1,16 @@
 """Helpers for joins and ordered scans when one key may hold a large part of all rows."""
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
-from functools import lru_cache
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # A broadcast side never has more rows than this; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
-# Upper bound on the rows a salted small side may be multiplied to.
-REPLICATION_BUDGET = 500_000_000
+# A key counts as hot when it holds more rows than this and more than a quarter of a task's even share.
+LEAST_HOT_ROWS = 100_000
 
 
 def row_count_within(df: DataFrame, limit: int) -> int:
@@ -30,78 +30,98 @@ def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[str],
         dim_rows = row_count_within(dim, max_broadcast_rows)
     if dim_rows <= max_broadcast_rows:
         return facts.join(F.broadcast(dim), keys, how)
+    return spread_join(facts, dim, keys, spread, how)
+
+
+def hot_keys(facts: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
+    """(keys, parts): keys of ``facts`` with many rows, and into how many parts each is to be cut.
+
+    Rows are counted per key in partial sums. At most four keys per shuffle partition can be hot, so
+    the result may be broadcast.
+    """
+    least = LEAST_HOT_ROWS if least is None else least
+    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, min(partitions, REPLICATION_BUDGET // max(dim.count(), 1)))
-    return spread_join(facts, dim, keys, spread, how, salts)
+    bound = max(least, math.ceil(total / (4 * partitions)))
+    return counts.where(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
 
 
 def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[str],
-                how: str = "left", salts: int = 16) -> DataFrame:
-    """Shuffle join on the keys plus a salt taken from ``spread`` columns of the facts.
+                how: str = "left", least: int | None = None) -> DataFrame:
+    """Shuffle join in which hot keys of the facts are cut into parts, and only those.
 
-    The small side is repeated once per salt, so a key holding a third of all facts is divided
-    over ``salts`` tasks whatever the adaptive planner does.
+    A fact of a hot key goes to the part that a hash of its ``spread`` columns names; the dim rows of
+    that key are repeated once per part. All other rows of either side are joined as they are.
     """
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts)))
-    return salted.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(facts, keys, least))
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = facts.join(hot, keys, "left").withColumn("_salt", F.pmod(F.hash(*spread), parts)).drop("_parts")
+    repeated = dim.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def previous_row(df: DataFrame, group: str, bucket: Column, order: list[str],
+def previous_row(df: DataFrame, group: str, buckets: list[Column], order: list[str],
                  payload: list[str], out: str) -> DataFrame:
     """Add ``out``: a struct of the ``payload`` of the preceding row of the same group.
 
-    ``bucket`` must never decrease along ``order``. Rows are compared inside (group, bucket)
-    first; only the first and last row of each bucket meet again per group. The widest task is
-    therefore one bucket, or two rows per bucket, never a whole group. Both halves read the same
-    shuffle: the payload travels as one struct, so that neither half prunes it differently.
+    ``buckets`` go from fine to coarse, and none may decrease along ``order``. Rows are compared inside
+    (group, all buckets) first; the first and last row of each bucket meet again without the finest
+    level, and so on up to the group. The widest task is one finest bucket, or two rows for each bucket
+    inside the next one, never a whole group. The levels read one shuffle: the payload travels as one
+    struct, so that none prunes it differently.
     """
     rest = [c for c in df.columns if c not in payload]
-    inner = W.partitionBy(group, "_bucket").orderBy(*order)
-    across = W.partitionBy(group).orderBy("_bucket", *order)
-    packed = df.select(*rest, bucket.alias("_bucket"), F.struct(*payload).alias("_row"))
-    marked = (
-        packed.withColumn("_back", F.lag("_row").over(inner))
-        .withColumn("_first", F.row_number().over(inner) == 1)
-        .withColumn("_last", F.lead(F.lit(True)).over(inner).isNull())
-    )
-    edges = (
-        marked.where(F.col("_first") | F.col("_last"))
-        .withColumn("_back", F.lag("_row").over(across)).where("_first")
-    )
-    return marked.where(~F.col("_first")).unionByName(edges).select(
-        *rest, "_row.*", F.col("_back").alias(out))
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's setting, else a scratch one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _scratch_folder()
-
-
-@lru_cache(maxsize=1)
-def _scratch_folder() -> str:
-    return tempfile.mkdtemp(prefix="ticketloom-")
-
-
-def widen(scan: DataFrame, key: str) -> DataFrame:
-    """Spread a file scan over all cores when it has fewer partitions than that.
-
-    Small exports arrive as one file and would keep compute-heavy text work on one core. A large
-    scan already has more partitions than cores and passes through untouched, without a shuffle.
-    ``scan`` must be a plain read, whose partitions are known without running anything.
+    names = [f"_bucket{i}" for i in range(len(buckets))]
+    rows = df.select(*rest, *[b.alias(n) for b, n in zip(buckets, names)], F.struct(*payload).alias("_row"))
+    done = None
+    for level in range(len(names) + 1):
+        keys = [group, *reversed(names[level:])]
+        w = W.partitionBy(*keys).orderBy(*names[:level][::-1], *order)
+        back = F.lag("_row").over(w)
+        marked = rows.withColumn("_back", back if level == 0 else F.when(F.col("_first"), back).otherwise(F.col("_back")))
+        marked = marked.withColumn("_first", F.row_number().over(w) == 1).withColumn("_last", F.lead(F.lit(True)).over(w).isNull())
+        if level == len(names):
+            closed = marked
+        else:
+            closed, rows = marked.where(~(F.col("_first") | F.col("_last"))), marked.where(F.col("_first") | F.col("_last"))
+        closed = closed.select(*rest, "_row.*", F.col("_back").alias(out))
+        done = closed if done is None else done.unionByName(closed)
+    return done
+
+
+def shared_location(spark: SparkSession) -> str:
+    """Folder that all executors reach: spark.checkpoint.dir; the warehouse when all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def spread_single_file(scan: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table that is one file over the shuffle partitions.
+
+    A small export often is one file of one row group, which one core would read and parse. Tables
+    of several files pass untouched, whatever their size.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    return scan if len(scan.inputFiles()) > 1 else scan.repartition(key)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the checkpoint folder and read it back.
+    """Compute ``df`` once, for a report that reads it several times.
 
-    For a frame that a report reads several times. The columnar copy survives lost executors,
-    is pruned by each reader, and cuts the lineage.
+    With a shared folder in spark.checkpoint.dir it becomes a table there, which survives lost executors
+    and is pruned by each reader; otherwise it is kept in memory and on the executors' disks, and
+    computed again where one is lost.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/ticketloom-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/ticketloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
