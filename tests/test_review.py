@@ -19,14 +19,16 @@ def reply(*themes):
     (reply(("A", ["TK-1"]), ("B", ["TK-1"])), False), (reply(("A", ["TK-1", "TK-1"])), False),
     (reply(("Z", ["TK-1"])), False), (reply(("A", ["TK-9"])), False), ("{", False), ("{}", False),
     ('{"themes":[{"theme":"A"}]}', False), ('{"themes":[{"evidence_ticket_ids":["TK-1"]}]}', False),
-    (reply(("A", [None])), False), ('{"themes":[{"theme":"A","evidence_ticket_ids":"TK-1"}]}', False), (None, False),
+    (reply(("A", ["TK-1"])) + " Hope this helps!", False), (reply(("A", ["TK-1"])).replace('"', "'"), False),
+    (reply(("A", [1])), False), (reply() + reply(), False), (reply(("A", [None])), False), ('{"themes":[{"theme":"A","evidence_ticket_ids":"TK-1"}]}', False), (None, False),
 ])
 def test_replies(spark, text, accepted):
     replies = spark.createDataFrame([(1, text)], "batch_id long, response string")
     members = spark.createDataFrame([(1, "TK-1"), (1, "TK-2"), (2, "TK-9")], "batch_id long, ticket_id string")
-    checked = RS.check_responses(replies, members, ["A", "B"])
+    parsed = RS.parsed_replies(replies)
+    checked = RS.check_responses(parsed, members, spark.createDataFrame([("A",), ("B",)], "name string"))
     assert one(checked)["accepted"] is accepted
-    labels = RS.accepted_labels(replies, checked)
+    labels = RS.accepted_labels(parsed, checked)
     if not accepted:
         assert labels.count() == 0
 
@@ -36,6 +38,8 @@ def test_merge_and_coverage(spark):
     labels = spark.createDataFrame([(1, "A", "TK-1")], "batch_id long, theme string, ticket_id string")
     rules = spark.createDataFrame([("TK-1", "R"), ("TK-2", "R"), ("TK-3", "R")], "ticket_id string, theme string")
     assert {(r.ticket_id, r.theme) for r in RS.merge_labels(rules, labels).collect()} == {("TK-1", "A"), ("TK-2", "R"), ("TK-3", "R")}
+    again = labels.unionByName(spark.createDataFrame([(2, "B", "TK-1")], labels.schema))
+    assert {(r.ticket_id, r.theme) for r in RS.merge_labels(rules, again).collect()} == {("TK-1", "B"), ("TK-2", "R"), ("TK-3", "R")}
     assert one(RS.label_coverage(members, labels)) == {"batch_id": 1, "asked": 3, "labelled": 1, "coverage": 0.333}
 
 

@@ -1,6 +1,7 @@
 """Readers and writers."""
 import json
 
+import pytest
 from conftest import one, ticket
 
 from ticketloom import schemas as S
@@ -47,6 +48,29 @@ def test_ticket_export_round_trip(spark, tmp_path, make):
     assert (doc["volume"], doc["channel_mix"], doc["status_mix"]) == (2, {"chat": 100.0}, {"resolved": {"n": 2, "pct": 100.0}})
 
 
+def test_several_files_keep_the_order_of_their_names(spark, tmp_path):
+    folder = tmp_path / "export"
+    folder.mkdir()
+    write_tickets(folder / "p1.csv", ticket(ticket_id="T1", customer_message="first"))
+    write_tickets(folder / "p2.csv", *[ticket(ticket_id=f"T{i}", customer_message="second" + "x" * 500) for i in range(1, 400)])
+    write_tickets(folder / "p3.csv", ticket(ticket_id="T1", customer_message="third"))
+    raw = RD.read_tickets(spark, str(folder))
+    assert raw.select("raw_seq").distinct().count() == 401
+    kept = {r.ticket_id: r.customer_message for r in dedup.canonical(raw).collect()}
+    assert len(kept) == 399 and kept["T1"] == "first"
+    order = [r.ticket_id for r in raw.orderBy("raw_seq").collect()]
+    assert order == ["T1"] + [f"T{i}" for i in range(1, 400)] + ["T1"]
+
+
+def test_a_file_with_another_header_fails(spark, tmp_path):
+    folder = tmp_path / "export"
+    folder.mkdir()
+    (folder / "a.csv").write_text("ticket_id,status\nT1,open\n", encoding="utf-8")
+    (folder / "b.csv").write_text("status,ticket_id\nclosed,T2\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        RD.read_csv(spark, str(folder)).collect()
+
+
 def test_missing_columns_read_as_blank(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text("agent_id,name\nA1,One\n", encoding="utf-8")
@@ -62,7 +86,7 @@ def test_family_map_last_wins(spark):
 def test_taxonomy(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text(json.dumps({"version": "v1", "themes": [{"name": "B", "definition": "b"}, {"name": "A", "definition": "a"}]}, indent=1))
-    assert RD.theme_names(RD.read_taxonomy(spark, str(path))) == ["B", "A"]
+    assert [r["name"] for r in RD.read_taxonomy(spark, str(path)).orderBy("position").collect()] == ["B", "A"]
 
 
 def test_absent_reference_table(spark, tmp_path):

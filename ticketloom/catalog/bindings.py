@@ -22,13 +22,13 @@ CATEGORIES = [
     "Product Enquiry", "Other", "",
 ]
 MESSAGES = [
-    "Bluetooth pairing fails every time", "refund not received yet, checked bank",
-    "battery drains by lunch", "xyz abc qqq", "otp not coming, cannot login",
-    "sent unit for repair, no update on warranty claim", "payment failed twice, bank debited",
-    "courier tracking stuck, parcel late", "firmware update stuck on white screen",
-    "no sound on one side, mic is silent", "will this work with my iPhone before I buy", "",
-    "Invoice with GST wanted, coupon not applied", "money back or replacement please",
-    "wrong pincode, change the address", "hello team", "case LED stays off, not charging",
+    "My left bud will not pair by bluetooth with the laptop", "I want my refund, the shop promised it on Monday",
+    "The battery is empty after an hour of calls", "qwe rty uio", "No otp reaches me, so login is impossible",
+    "Two weeks in repair and the warranty desk is silent", "The bank debited me although the payment failed",
+    "My parcel is late and the courier tracking shows nothing", "After the firmware update the app shows a white screen",
+    "The mic crackles and there is no sound in calls", "Before I buy: does this model work with a tablet", "",
+    "Please send the invoice, and the coupon was refused", "Either a replacement or my money back",
+    "Change the delivery address, I typed the wrong pincode", "good morning everyone", "The case is not charging over night",
 ]
 NOTES = ["reset done", "", "asked customer for order id", "shipped again", "closed as duplicate"]
 TEAMS = [
@@ -210,17 +210,28 @@ RESPONSE_BATCH = 20
 RESPONSE_THEMES = ["Articles", "Prepositions", "Verbs", "Joins"]
 
 
+RETRY = 1_000_000
+
+
+def taxonomy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in RESPONSE_THEMES], "name string")
+
+
 def batch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by batch; every thirteenth batch is asked for a second time, under a later number."""
+    batch = f"doc_id div {RESPONSE_BATCH}"
     return table(spark, sf_dir, "documents").selectExpr(
-        f"doc_id div {RESPONSE_BATCH} AS batch_id", "concat('TK-', doc_id) AS ticket_id", "doc_id")
+        f"explode(IF({batch} % 13 = 0, array({batch}, {batch} + {RETRY}), array({batch}))) AS batch_id",
+        "concat('TK-', doc_id) AS ticket_id", "doc_id")
 
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply per batch of documents. Some are broken on purpose: bad JSON, a theme outside the
-    taxonomy, an unknown id, an id used twice. Every eleventh document gets no label."""
+    """A reply per batch of documents. Some are broken on purpose: bad JSON, text behind the object,
+    single quotes, ids that are numbers, a theme outside the taxonomy, an unknown id, an id used twice.
+    Every eleventh document gets no label; a second answer names other themes than the first."""
     shown = batch_members(spark, sf_dir).where("doc_id % 11 <> 3").selectExpr(
         "batch_id", "doc_id", "ticket_id",
-        f"{_pick(RESPONSE_THEMES, 'doc_id')} AS theme")
+        f"{_pick(RESPONSE_THEMES, f'(doc_id + batch_id div {RETRY})')} AS theme")
     per_theme = shown.groupBy("batch_id", "theme").agg(
         F.sort_array(F.collect_list("ticket_id")).alias("ids"))
     items = per_theme.selectExpr(
@@ -230,10 +241,13 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN batch_id % 13 = 9 AND theme = 'Joins' THEN concat(ids, array(ids[0])) ELSE ids END AS evidence"
     ).selectExpr("batch_id", "theme", "to_json(named_struct('theme', shown_theme, 'summary', 's',"
                  " 'evidence_ticket_ids', evidence, 'confidence', 0.9D)) AS item")
-    return items.groupBy("batch_id").agg(
+    whole = items.groupBy("batch_id").agg(
         F.sort_array(F.collect_list(F.struct("theme", "item"))).alias("rows")).selectExpr(
-        "batch_id", "concat('{\"themes\":[', array_join(rows.item, ','),"
-        " IF(batch_id % 13 = 2, '', ']}')) AS response")
+        "batch_id", "concat('{\"themes\":[', array_join(rows.item, ','), IF(batch_id % 13 = 2, '', ']}')) AS response")
+    return whole.selectExpr(
+        "batch_id", "CASE batch_id % 13 WHEN 5 THEN concat(response, ' Hope this helps!')"
+        " WHEN 6 THEN replace(response, '\"', \"'\")"
+        " WHEN 8 THEN regexp_replace(response, '\"TK-([0-9]+)\"', '$1') ELSE response END AS response")
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,12 +407,15 @@ grouped AS (
 
 # Replies ----------------------------------------------------------------------------------
 REPLIES = f"""
-members AS (SELECT doc_id // {B.RESPONSE_BATCH} AS batch_id, 'TK-' || doc_id AS ticket_id, doc_id FROM documents),
+members AS (
+  SELECT doc_id // {B.RESPONSE_BATCH} AS batch_id, 'TK-' || doc_id AS ticket_id, doc_id FROM documents
+  UNION ALL SELECT doc_id // {B.RESPONSE_BATCH} + {B.RETRY}, 'TK-' || doc_id, doc_id FROM documents WHERE (doc_id // {B.RESPONSE_BATCH}) % 13 = 0
+),
 claims AS (
-  SELECT batch_id, ticket_id, {_pick(B.RESPONSE_THEMES, 'doc_id')} AS theme FROM members WHERE doc_id % 11 <> 3
+  SELECT batch_id, ticket_id, {_pick(B.RESPONSE_THEMES, f'(doc_id + batch_id // {B.RETRY})')} AS theme FROM members WHERE doc_id % 11 <> 3
 ),
 reply AS (
-  SELECT batch_id, batch_id % 13 = 2 AS broken,
+  SELECT batch_id, batch_id % 13 IN (2, 5, 6, 8) AS broken,
     batch_id % 13 = 4 AND bool_or(theme = 'Verbs') AS off_taxonomy,
     batch_id % 13 = 9 AND bool_or(theme = 'Joins') AS repeated_id,
     CASE WHEN batch_id % 13 = 7 AND bool_or(theme = 'Joins') THEN 1 ELSE 0 END::BIGINT AS unknown_ids
@@ -421,7 +424,8 @@ reply AS (
 judged AS (
   SELECT *, NOT broken AND NOT off_taxonomy AND NOT repeated_id AND unknown_ids = 0 AS accepted FROM reply
 ),
-good AS (SELECT c.* FROM claims c JOIN judged j USING (batch_id) WHERE j.accepted)"""
+good AS (SELECT c.* FROM claims c JOIN judged j USING (batch_id) WHERE j.accepted),
+latest AS (SELECT ticket_id, arg_max(theme, batch_id) AS theme FROM good GROUP BY ticket_id)"""
 
 # Labels -----------------------------------------------------------------------------------
 LABELS = """
@@ -655,6 +659,12 @@ def all_sql() -> dict[str, str]:
 
     sql["csv_round_trip"] = _q(DOCS, f"""SELECT ticket_id, category, agent_notes, md5(trim(customer_message, {_WS})) AS message_md5,
       length(trim(customer_message, {_WS}))::BIGINT AS chars, '' AS priority FROM docs""")
+    sql["csv_arrival"] = _q(RAW, """SELECT ticket_id, source_system, 'row ' || raw_seq AS agent_notes, trim(status) AS status, trim(created_at) AS created_at, true AS numbered
+      FROM raw QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY source_system <> 'helpdesk', raw_seq % 2 = 0, raw_seq) = 1""")
+    sql["taxonomy_round_trip"] = """SELECT 'v1' AS version, row_number() OVER (ORDER BY source) - 1 AS position, source AS name, 'texts of ' || source AS definition
+      FROM (SELECT DISTINCT source FROM documents)"""
+    sql["labelled_sample_round_trip"] = _q(LABELS, """SELECT item_id, stratum, replace(item_id, 'IT-', 'TK-') AS ticket_id, '' AS pair_id, '' AS channel, '' AS source_system,
+      predicted, method, '' AS text, human_label, notes FROM lab""")
     sql["roster_intervals"] = _q(ROSTER, "SELECT agent_id AS agent_key, name, team, shift, site, lo AS valid_from, hi AS valid_to FROM roster")
     sql["kpi_documents"] = _q(KPI, """SELECT week_start, volume,
       (SELECT printf('%.2f', (count(*) FILTER (WHERE channel_key = 'chat') * 100.0)::DOUBLE / count(*))::DOUBLE FROM wk WHERE wk.week_start = kpi.week_start HAVING count(*) FILTER (WHERE channel_key = 'chat') > 0) AS chat_pct,
@@ -672,9 +682,9 @@ def all_sql() -> dict[str, str]:
       (length('{{"tickets":[]}}') + sum(length({item})) + count(*) - 1)::BIGINT AS payload_chars FROM docs GROUP BY 1""")
     sql["response_validate"] = _q(REPLIES, "SELECT * FROM judged")
     sql["response_merge"] = _q(DOC_THEMES + "," + REPLIES, """SELECT a.ticket_id, coalesce(g.theme, a.theme) AS theme, g.theme IS NOT NULL AS from_model
-      FROM assigned a LEFT JOIN good g USING (ticket_id)""")
+      FROM assigned a LEFT JOIN latest g USING (ticket_id)""")
     sql["label_coverage"] = _q(REPLIES, """SELECT m.batch_id, count(*) AS asked, count(g.ticket_id) AS labelled,
-      printf('%.3f', (count(g.ticket_id)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS coverage FROM members m LEFT JOIN good g USING (ticket_id) GROUP BY 1""")
+      printf('%.3f', (count(g.ticket_id)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS coverage FROM members m LEFT JOIN good g USING (batch_id, ticket_id) GROUP BY 1""")
     sql["polish_validate"] = """WITH d AS (
         SELECT doc_id, 'TK-' || doc_id AS ticket_id, n_chars, text,
           CASE doc_id % 3 WHEN 0 THEN 'Week 2024-01-08: TK-' || doc_id || ' has ' || n_chars || ' chars, ' || doc_id % 100 || '.5% of all. ' || text

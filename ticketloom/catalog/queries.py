@@ -13,7 +13,7 @@ from ..operators import (
     sampling as S, terms as TM, themes as TH, weekly as K,
 )
 from ..plans import audit as A, digest as G, quality_report as QR
-from ..schemas import ROSTER_COLUMNS as S_ROSTER, TICKET_COLUMNS as S_TICKETS
+from ..schemas import ROSTER_COLUMNS as S_ROSTER, SAMPLE_COLUMNS, TICKET_COLUMNS as S_TICKETS
 from ..sources import readers as RD, writers as WR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,6 +313,37 @@ def csv_round_trip(spark, d):
                        F.length("customer_message").cast("long").alias("chars"), "priority")
 
 
+def csv_arrival(spark, d):
+    """Tickets written as many files of unequal size, read back and de-duplicated.
+
+    The files of the first folder hold the later copies, so these count as having arrived first.
+    """
+    path = _scratch(spark)
+    raw = B.raw_tickets(spark, d).withColumn("agent_notes", F.concat(F.lit("row "), F.col("raw_seq").cast("string")))
+    for part, rows in (("a", raw.where("raw_seq % 2 = 1")), ("b", raw.where("raw_seq % 2 = 0"))):
+        WR.write_csv(rows.repartitionByRange("raw_seq").sortWithinPartitions("raw_seq"), f"{path}/part={part}", S_TICKETS)
+    kept = D.canonical(RD.read_tickets(spark, path))
+    return kept.select("ticket_id", "source_system", "agent_notes", "status", "created_at", (F.col("raw_seq") >= 0).alias("numbered"))
+
+
+def taxonomy_round_trip(spark, d):
+    """A theme per document source, written as one JSON document and read back."""
+    path = _scratch(spark)
+    sources = B.table(spark, d, "documents").select("source").distinct()
+    themes = F.transform(F.array_sort(F.collect_list("source")), lambda s: F.struct(
+        s.alias("name"), F.concat(F.lit("texts of "), s).alias("definition")))
+    WR.write_documents(sources.agg(F.to_json(F.struct(F.lit("v1").alias("version"), themes.alias("themes"))).alias("document")), path)
+    return RD.read_taxonomy(spark, path).withColumn("position", F.col("position").cast("long"))
+
+
+def labelled_sample_round_trip(spark, d):
+    """The labelled sample written with the fixed columns, read back."""
+    path = _scratch(spark)
+    rows = B.labelled(spark, d).withColumns({c: F.lit("") for c in ("pair_id", "channel", "source_system", "text")})
+    WR.write_csv(rows, path, SAMPLE_COLUMNS)
+    return RD.read_sample(spark, path)
+
+
 def roster_intervals(spark, d):
     """Roster written as CSV, read back and parsed into dated intervals."""
     path = _scratch(spark)
@@ -357,15 +388,19 @@ def prompt_batches(spark, d):
         F.length("payload").cast("long").alias("payload_chars"))
 
 
+def _checked(spark, d):
+    """Replies parsed once, and their verdicts."""
+    from .. import scale
+    parsed = scale.settle(RS.parsed_replies(B.model_responses(spark, d)))
+    return parsed, RS.check_responses(parsed, B.batch_members(spark, d).drop("doc_id"), B.taxonomy(spark))
+
+
 def response_validate(spark, d):
-    return RS.check_responses(
-        B.model_responses(spark, d), B.batch_members(spark, d).drop("doc_id"), B.RESPONSE_THEMES)
+    return _checked(spark, d)[1]
 
 
 def _labels(spark, d):
-    replies = B.model_responses(spark, d)
-    checked = RS.check_responses(replies, B.batch_members(spark, d).drop("doc_id"), B.RESPONSE_THEMES)
-    return RS.accepted_labels(replies, checked)
+    return RS.accepted_labels(*_checked(spark, d))
 
 
 def response_merge(spark, d):
@@ -525,6 +560,9 @@ def all_queries() -> dict[str, Query]:
         "emerging_terms": emerging_terms,
         "emerging_terms_tickets": emerging_terms_tickets,
         "csv_round_trip": csv_round_trip,
+        "csv_arrival": csv_arrival,
+        "taxonomy_round_trip": taxonomy_round_trip,
+        "labelled_sample_round_trip": labelled_sample_round_trip,
         "roster_intervals": roster_intervals,
         "kpi_documents": kpi_documents,
         "quality_document": quality_document,

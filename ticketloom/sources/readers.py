@@ -1,35 +1,46 @@
 """CSV and JSON readers. Every cell is read as text and trimmed; NULL becomes ''."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import schemas as S
 from ..functions import clean as C
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, position: bool = False) -> DataFrame:
     """CSV with a header, double-quote escapes and line breaks inside quoted cells.
 
-    With line breaks in cells a file is one task, so large exports should be many files.
-    ``columns`` names the expected columns by header; ones the file lacks come back empty.
+    With line breaks in cells a file is one task, so large exports should be many files. All files must
+    have the same header: one that names other columns, or the same in another order, fails when it is
+    read. ``columns`` names the expected columns by header; ones the files lack come back empty.
+    ``position`` adds ``_file`` and ``_place``: where a row comes from, for ``with_sequence``.
     """
     reader = (
         spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-        .option("escape", '"').option("encoding", "UTF-8").option("inferSchema", False)
+        .option("escape", '"').option("encoding", "UTF-8")
     )
-    table = reader.csv(path)
-    wanted = columns or table.columns
-    have = set(table.columns)
-    return table.select(*[
-        C.strip(F.col(f"`{c}`")).alias(c) if c in have else F.lit("").alias(c) for c in wanted])
+    # The header of one file declares the columns; every other header is checked against it.
+    names = reader.option("inferSchema", False).csv(path).columns
+    table = reader.option("enforceSchema", False).schema(S.text_schema(names)).csv(path)
+    wanted, have = columns or names, set(names)
+    cells = [C.strip(F.col(f"`{c}`")).alias(c) if c in have else F.lit("").alias(c) for c in wanted]
+    if position:
+        cells += [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place")]
+    return table.select(*cells)
 
 
 def with_sequence(rows: DataFrame, name: str = "raw_seq") -> DataFrame:
-    """Number the rows in read order: 0, 1, 2, ... for one file, increasing over several.
+    """Number the rows of ``read_csv(..., position=True)`` in read order.
 
-    Land the result once (``land``) before using it in more than one job.
+    Files follow each other by path and rows by their place in the file, however Spark deals files to
+    tasks: the high bits are the file's rank, the low 40 bits count the rows from the file's first.
     """
-    return rows.withColumn(name, F.monotonically_increasing_id())
+    # A file is never split, so its rows have consecutive places; one row per file is broadcast.
+    files = rows.groupBy("_file").agg(F.min("_place").alias("_start"))
+    ranked = files.withColumn("_rank", F.row_number().over(W.orderBy("_file")) - 1)
+    return rows.join(F.broadcast(ranked), "_file").withColumn(
+        name, F.shiftleft(F.col("_rank").cast("long"), 40) + F.col("_place") - F.col("_start")
+    ).drop("_file", "_place", "_start", "_rank")
 
 
 def row_key(ticket_id="ticket_id", source="source_system", seq="raw_seq"):
@@ -47,18 +58,23 @@ def read_tickets(spark: SparkSession, path: str, seq_column: str | None = None)
             "raw_seq", F.col(seq_column).cast("long"))
         rows = rows.drop(seq_column) if seq_column != "raw_seq" else rows
     else:
-        rows = with_sequence(read_csv(spark, path, S.TICKET_COLUMNS))
+        rows = with_sequence(read_csv(spark, path, S.TICKET_COLUMNS, position=True))
     return rows.withColumn("stable_row_key", row_key())
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    return with_sequence(read_csv(spark, path, S.ROSTER_COLUMNS), "roster_seq")
+    return with_sequence(read_csv(spark, path, S.ROSTER_COLUMNS, position=True), "roster_seq")
+
+
+def read_sample(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled review sample; columns that the files lack come back empty."""
+    return read_csv(spark, path, S.SAMPLE_COLUMNS)
 
 
 def family_map(products: DataFrame, sku: str = "sku", family: str = "family",
                seq: str | None = None) -> DataFrame:
     """sku -> family with one row per sku; the last row of a repeated sku counts."""
-    rows = products if seq else with_sequence(products, "_seq")
+    rows = products if seq else products.withColumn("_seq", F.monotonically_increasing_id())
     return rows.groupBy(C.strip(F.col(sku).cast("string")).alias("sku")).agg(
         F.max_by(C.strip(family), F.col(seq or "_seq")).alias("family"))
 
@@ -70,11 +86,6 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
         "version", "position", F.col("t.name").alias("name"), F.col("t.definition").alias("definition"))
 
 
-def theme_names(taxonomy: DataFrame, most: int = 1000) -> list[str]:
-    """Theme names in order; a taxonomy is a short document."""
-    return [r["name"] for r in taxonomy.orderBy("position").select("name").limit(most).collect()]
-
-
 def optional(read, *args, **kw) -> DataFrame | None:
     """A reference table, or None when it cannot be read, so that checks on it give NULL."""
     from pyspark.errors import AnalysisException
