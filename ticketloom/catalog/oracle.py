@@ -395,7 +395,7 @@ rising AS (
 
 _GROUPED_DOCS = DOCS + """,
 grouped AS (
-  SELECT doc_id AS id, category || ' | ' || product_family AS grp,
+  SELECT doc_id AS id, week_start, category || ' | ' || product_family AS grp,
     lower(customer_message || chr(10) || agent_notes) AS text FROM docs
 )"""
 _GROUPED_TICKETS = TICKETS + """,
@@ -508,11 +508,30 @@ refund_items AS (
   WHERE c.order_id IN (SELECT DISTINCT order_id FROM cross_rows ORDER BY order_id LIMIT 4)
 )"""
 
-AUDIT = KPI + "," + _themed("t", PO.DEFAULT_RULES) + "," + COUNTS + """,
+# Shown figures of the audit; ``planted`` makes every ticket of one week late.
+_PLANTED = "(week_start = DATE '2024-01-08' OR late)"
+
+
+def _audit(late: str = "late") -> str:
+    return KPI + "," + _themed("t", PO.DEFAULT_RULES) + "," + COUNTS + f""",
+recount AS (
+  SELECT week_start, count(*) AS n, count(*) FILTER (WHERE {late}) AS shown, count(*) FILTER (WHERE late) AS again,
+    sum(CASE WHEN regexp_matches(transfers, '^-?[0-9]+([.]0*)?$') THEN transfers::DOUBLE ELSE 0 END)::BIGINT AS moves
+  FROM wk GROUP BY week_start
+),
+spent AS (
+  SELECT week_start, sum(n * rate)::BIGINT AS cost FROM (SELECT week_start, rate, count(*) AS n FROM wk GROUP BY week_start, rate) GROUP BY week_start
+),
+per_theme AS (SELECT week_start, theme, count(*) AS n FROM assigned GROUP BY week_start, theme),
+checked AS (
+  SELECT f.week_start, f.contact_cost_inr, f.transfers, r.*, s.cost
+  FROM figures f JOIN recount r ON r.week_start = f.week_start JOIN spent s ON s.week_start = f.week_start
+),
 audit AS (
   SELECT week_start, 'digest_total==week_rows' AS "check", '' AS subject, total = (SELECT count(*) FROM wk WHERE wk.week_start = totals.week_start) AS ok FROM totals
-  UNION ALL SELECT week_start, 'theme_counts_sum==total', '', true FROM totals
-  UNION ALL SELECT week_start, 'theme_count', theme, true FROM sections WHERE position <= 5
+  UNION ALL SELECT week_start, 'theme_counts_sum==total', '', sum(n) = max(total) FROM sections GROUP BY week_start
+  UNION ALL SELECT s.week_start, 'theme_count', s.theme, s.n = p.n FROM sections s JOIN per_theme p ON p.week_start = s.week_start AND p.theme = s.theme
+    WHERE s.position <= 5
   UNION ALL SELECT week_start, 'id-date', ticket_id, created_ts::DATE BETWEEN week_start AND week_start + 6
     FROM (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY week_start ORDER BY first_seq) <= 10)
   UNION ALL SELECT resolved_week, 'leaderboard_reconciles', '',
@@ -520,8 +539,11 @@ audit AS (
       + coalesce((SELECT count(*) FROM placed p WHERE p.resolved_week = a.resolved_week AND NOT p.found), 0)
     FROM att a GROUP BY resolved_week
   UNION ALL SELECT resolved_week, 'tier2_absent_from_board', '', NOT bool_or(team LIKE '%Warranty%') FROM board WHERE tier1 GROUP BY resolved_week
-  UNION ALL SELECT week_start, unnest(['sla_breaches_recomputed', 'sla_credit_recomputed', 'transfer_count_recomputed',
-      'transfer_cost_recomputed', 'contact_total_recomputed']), '', true FROM figures
+  UNION ALL SELECT week_start, 'sla_breaches_recomputed', '', shown = again FROM checked
+  UNION ALL SELECT week_start, 'sla_credit_recomputed', '', shown * 350 = again * 350 FROM checked
+  UNION ALL SELECT week_start, 'transfer_count_recomputed', '', transfers = moves FROM checked
+  UNION ALL SELECT week_start, 'transfer_cost_recomputed', '', transfers * 305 = moves * 305 FROM checked
+  UNION ALL SELECT week_start, 'contact_total_recomputed', '', contact_cost_inr = cost FROM checked
   UNION ALL SELECT week_start, 'repeat_ids_exist', '',
     bool_and(prior_ticket_id IN (SELECT ticket_id FROM t) AND repeat_ticket_id IN (SELECT ticket_id FROM t)) FROM pairs GROUP BY week_start
 )"""
@@ -652,6 +674,9 @@ def all_sql() -> dict[str, str]:
       UNION ALL SELECT week_start, 'actions', row_number() OVER (PARTITION BY week_start ORDER BY action, subject), action || ': ' || subject, value, NULL, NULL FROM todo""")
 
     sql["group_top_terms"] = _q(_GROUPED_DOCS + "," + _tfidf("grouped"), "SELECT * FROM top_terms")
+    sql["group_top_terms_weekly"] = _q(
+        _GROUPED_DOCS + ", by_week AS (SELECT id, {'w': week_start, 'g': grp} AS grp, text FROM grouped)," + _tfidf("by_week"),
+        "SELECT grp.w AS week_start, grp.g AS grp, rank, term, score FROM top_terms")
     sql["group_top_terms_tickets"] = _q(_GROUPED_TICKETS + "," + _tfidf("grouped"), "SELECT * FROM top_terms")
     sql["group_skipped"] = _q(_GROUPED_DOCS, "SELECT grp, count(*) AS docs FROM grouped GROUP BY grp HAVING count(*) < 3")
     sql["emerging_terms"] = _q(DOCS + "," + _rising("docs"), "SELECT * FROM rising")
@@ -722,7 +747,8 @@ def all_sql() -> dict[str, str]:
         + measures("acc_m", "'theme.' || method", ["n", "agree", "accuracy"])
         + measures("conf", "'repeat'", ["n", "tp", "fp", "fn", "tn", "precision", "recall", "f1"])
         + measures("ref", "'refund'", ["n", "same_ticket_confirmed", "same_order_violations"])))
-    sql["factuality_audit"] = _q(AUDIT, "SELECT * FROM audit")
-    sql["audit_summary"] = _q(AUDIT, """SELECT week_start, count(*) AS checks, count(*) FILTER (WHERE NOT ok) AS errors,
+    sql["factuality_audit"] = _q(_audit(), "SELECT * FROM audit")
+    sql["factuality_audit_planted"] = _q(_audit(_PLANTED), "SELECT * FROM audit")
+    sql["audit_summary"] = _q(_audit(), """SELECT week_start, count(*) AS checks, count(*) FILTER (WHERE NOT ok) AS errors,
       printf('%.3f', (count(*) FILTER (WHERE NOT ok)::DOUBLE / count(*))::DOUBLE)::DOUBLE AS error_rate FROM audit GROUP BY 1""")
     return sql

@@ -12,6 +12,7 @@ from ..operators import (
     dedup as D, evaluation as E, quality as Q, repeat as P, responses as RS, roster as R,
     sampling as S, terms as TM, themes as TH, weekly as K,
 )
+from ..policy import DEFAULT_POLICY
 from ..plans import audit as A, digest as G, quality_report as QR
 from ..schemas import ROSTER_COLUMNS as S_ROSTER, SAMPLE_COLUMNS, TICKET_COLUMNS as S_TICKETS
 from ..sources import readers as RD, writers as WR
@@ -123,12 +124,15 @@ def board_reconciliation(spark, d):
     return R.reconciliation(B.tickets(spark, d), B.roster(spark, d))
 
 
+def _tier2():
+    return F.contains("team", F.lit(DEFAULT_POLICY.tier2_marker))
+
+
 def tier2_absence(spark, d):
     """Escalation teams on the Tier-1 board per week: must be none."""
     board = R.boards(B.tickets(spark, d), B.roster(spark, d)).where("is_tier1")
     return board.groupBy("resolved_week").agg(
-        F.count_if(F.contains("team", F.lit("Warranty"))).alias("tier2_agents"),
-        (F.count_if(F.contains("team", F.lit("Warranty"))) == 0).alias("absent"))
+        F.count_if(_tier2()).alias("tier2_agents"), (F.count_if(_tier2()) == 0).alias("absent"))
 
 
 # -- repeat contacts
@@ -263,7 +267,7 @@ def digest_rows(spark, d):
 # -- terms
 def _grouped(spark, d):
     docs = B.text_tickets(spark, d)
-    return docs.select("doc_id", X.group_label("category", "product_family").alias("grp"),
+    return docs.select("doc_id", "week_start", X.group_label("category", "product_family").alias("grp"),
                        X.ticket_text("customer_message", "agent_notes").alias("text"))
 
 
@@ -272,6 +276,13 @@ def group_top_terms(spark, d):
         "score", C.round_exact(F.col("score"), 6))
 
 
+def group_top_terms_weekly(spark, d):
+    """Terms of each group within each week."""
+    return TM.group_top_terms(
+        _grouped(spark, d), "doc_id", ["week_start", "grp"], "text", B.STOP_WORDS, k=5).withColumn(
+        "score", C.round_exact(F.col("score"), 6))
+
+
 def group_skipped(spark, d):
     return TM.skipped_groups(_grouped(spark, d), "grp", 3)
 
@@ -469,6 +480,14 @@ def factuality_audit(spark, d):
     return A.factuality_audit(B.tickets(spark, d), B.roster(spark, d))
 
 
+def factuality_audit_planted(spark, d):
+    """The audit over figures in which every ticket of one week is wrongly late: it must say so."""
+    t = B.tickets(spark, d)
+    wrong = F.coalesce(F.col("week_start") == F.lit("2024-01-08").cast("date"), F.lit(False))
+    return A.factuality_audit(
+        t.withColumn("sla_breach", F.when(wrong, F.lit(True)).otherwise(F.col("sla_breach"))), B.roster(spark, d))
+
+
 def audit_summary(spark, d):
     return A.audit_summary(factuality_audit(spark, d))
 
@@ -555,6 +574,7 @@ def all_queries() -> dict[str, Query]:
         "other_watch": other_watch,
         "actions_weekly": actions_weekly,
         "group_top_terms": group_top_terms,
+        "group_top_terms_weekly": group_top_terms_weekly,
         "group_top_terms_tickets": group_top_terms_tickets,
         "group_skipped": group_skipped,
         "emerging_terms": emerging_terms,
@@ -587,6 +607,7 @@ def all_queries() -> dict[str, Query]:
         "refund_review_counts": _on_labels(E.refund_review),
         "evaluation_report": _on_labels(A.evaluation_report),
         "factuality_audit": factuality_audit,
+        "factuality_audit_planted": factuality_audit_planted,
         "audit_summary": audit_summary,
         "kpi_record": kpi_record,
         "kpi_record_one_week": kpi_record_one_week,

@@ -127,16 +127,19 @@ def unresolved(tickets: DataFrame, roster: DataFrame, **kw) -> DataFrame:
 
 def reconciliation(tickets: DataFrame, roster: DataFrame,
                    policy: SupportPolicy = DEFAULT_POLICY, **kw) -> DataFrame:
-    """Board, specialist and unresolved counts against attendance, per resolved week."""
-    placed = F.col("entry").isNotNull()
-    tier1 = F.coalesce(F.col("entry.team").isin(*policy.tier1_teams), F.lit(False))
-    counts = daily_attendance(tickets, roster, **kw).groupBy("resolved_week").agg(
-        F.coalesce(F.sum(F.when(placed & tier1, F.col("n"))), F.lit(0)).alias("board"),
-        F.coalesce(F.sum(F.when(placed & ~tier1, F.col("n"))), F.lit(0)).alias("specialist"),
-        F.coalesce(F.sum(F.when(~placed, F.col("n"))), F.lit(0)).alias("unresolved"),
-    )
+    """The boards as shown, added up, and the tickets without an agent, against attendance per week."""
+    zero = F.lit(0).cast("long")
     total = attendance(tickets).groupBy("resolved_week").agg(F.count(F.lit(1)).alias("attendance"))
-    return total.join(counts, "resolved_week", "left").withColumn(
+    parts = [
+        tier1_board(tickets, roster, policy, **kw).groupBy("resolved_week").agg(F.sum("tickets_completed").alias("board")),
+        specialist_board(tickets, roster, policy, **kw).groupBy("resolved_week").agg(F.sum("tickets_completed").alias("specialist")),
+        unresolved(tickets, roster, **kw).groupBy("resolved_week").agg(F.count(F.lit(1)).alias("unresolved")),
+    ]
+    for part in parts:
+        total = total.join(part, "resolved_week", "left")
+    counts = total.select("resolved_week", "attendance", *[
+        F.coalesce(c, zero).alias(c) for c in ("board", "specialist", "unresolved")])
+    return counts.withColumn(
         "reconciles",
         F.col("board") + F.col("specialist") + F.col("unresolved") == F.col("attendance"))
 

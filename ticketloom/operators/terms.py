@@ -67,62 +67,67 @@ def unpack(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.select(*kept, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def group_sizes(docs: DataFrame, group: str, min_docs: int = 3) -> DataFrame:
+def group_sizes(docs: DataFrame, group: str | list[str], min_docs: int = 3) -> DataFrame:
     """Documents per group, and whether the group is large enough to score."""
-    return docs.groupBy(group).agg(F.count(F.lit(1)).alias("docs")).withColumn(
+    return docs.groupBy(*_keys(group)).agg(F.count(F.lit(1)).alias("docs")).withColumn(
         "scored", F.col("docs") >= min_docs)
 
 
-def skipped_groups(docs: DataFrame, group: str, min_docs: int = 3) -> DataFrame:
-    return group_sizes(docs, group, min_docs).where("not scored").select(group, "docs")
+def _keys(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
 
 
-def group_top_terms(docs: DataFrame, doc_id: str, group: str, text: str,
+def skipped_groups(docs: DataFrame, group: str | list[str], min_docs: int = 3) -> DataFrame:
+    return group_sizes(docs, group, min_docs).where("not scored").select(*_keys(group), "docs")
+
+
+def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text: str,
                     stop_words: list[str] | None = None, k: int = 10, cap: int = 500,
                     min_docs: int = 3, pattern: str = TOKEN) -> DataFrame:
     """Top ``k`` terms per group by mean TF-IDF over the group's documents.
 
-    Vocabulary per group: the ``cap`` terms with the highest corpus count. Weights are
-    tf * (ln((1+n)/(1+df)) + 1), scaled to unit length per document, averaged over all documents
-    of the group.
+    ``group`` names one column or several, such as a week and a label. Vocabulary per group: the
+    ``cap`` terms with the highest corpus count. Weights are tf * (ln((1+n)/(1+df)) + 1), scaled to
+    unit length per document, averaged over all documents of the group.
 
-    The vocabulary has at most ``cap`` rows per group, so its size is known from the number of
-    groups before the scan; it is broadcast within the bound and joined by shuffle beyond it.
+    Texts are cut into terms once; the bags of terms are kept for the second reading. The vocabulary
+    has at most ``cap`` rows per group, so its size is known from the number of groups before the
+    scan; it is broadcast within the bound and joined by shuffle beyond it.
     """
+    keys = _keys(group)
     stop = english_stop_words() if stop_words is None else stop_words
-    sizes = group_sizes(docs, group, min_docs).where("scored").select(group, "docs")
+    sizes = group_sizes(docs, keys, min_docs).where("scored").select(*keys, "docs")
     bound = scale.MAX_BROADCAST_ROWS
     groups = scale.row_count_within(sizes, bound)
-    chosen = scale.lookup(docs.select(doc_id, group, text), sizes, [group], [doc_id], "inner",
-                          bound, groups)
-    counted = bags(chosen, text, stop, pattern=pattern)
+    chosen = scale.lookup(docs.select(doc_id, *keys, text), sizes, keys, [doc_id], "inner", bound, groups)
+    counted = scale.settle(bags(chosen, text, stop, pattern=pattern))
     occurrences = unpack(counted, "bag", "b").select(
-        doc_id, group, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
+        doc_id, *keys, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
 
-    corpus = occurrences.groupBy(group, "term").agg(
+    corpus = occurrences.groupBy(*keys, "term").agg(
         F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.max("docs").alias("_n"))
-    common = W.partitionBy(group).orderBy(F.desc("ctf"), "term")
+    common = W.partitionBy(*keys).orderBy(F.desc("ctf"), "term")
     vocabulary = (
         corpus.withColumn("_r", F.row_number().over(common)).where(F.col("_r") <= cap)
-        .select(group, "term",
+        .select(*keys, "term",
                 (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     if groups * cap <= bound:
-        weighted = occurrences.join(F.broadcast(vocabulary), [group, "term"])
+        weighted = occurrences.join(F.broadcast(vocabulary), [*keys, "term"])
     else:
-        weighted = scale.spread_join(occurrences, vocabulary, [group, "term"], [doc_id], "inner")
+        weighted = scale.spread_join(occurrences, vocabulary, [*keys, "term"], [doc_id], "inner")
     weighted = weighted.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc_id)))
     scores = (
         weighted.withColumn("w", F.col("w") / norm)
-        .groupBy(group, "term")
+        .groupBy(*keys, "term")
         .agg((F.sum("w") / F.max("docs")).alias("raw_score"))
         .withColumn("score", round_exact(F.col("raw_score"), 9))
     )
-    best = W.partitionBy(group).orderBy(F.desc("score"), "term")
+    best = W.partitionBy(*keys).orderBy(F.desc("score"), "term")
     return (
         scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select(group, "rank", "term", "score")
+        .select(*keys, "rank", "term", "score")
     )
 
 
