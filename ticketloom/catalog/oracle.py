@@ -428,22 +428,7 @@ good AS (SELECT c.* FROM claims c JOIN judged j USING (batch_id) WHERE j.accepte
 latest AS (SELECT ticket_id, arg_max(theme, batch_id) AS theme FROM good GROUP BY ticket_id)"""
 
 # Labels -----------------------------------------------------------------------------------
-LABELS = """
-sample AS (
-  SELECT 'IT-' || doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'theme' WHEN 1 THEN 'repeat' ELSE 'refund' END AS stratum,
-    CASE doc_id % 3 WHEN 0 THEN CASE WHEN n_chars >= 400 THEN 'good' ELSE 'poor' END
-      WHEN 1 THEN CASE WHEN n_chars >= 900 THEN 'same-issue' ELSE 'not-same-issue' END ELSE 'open' END AS predicted,
-    CASE lang WHEN 'en' THEN 'taxonomy' WHEN 'fr' THEN 'rule' ELSE 'rule-fallback' END AS method,
-    CASE WHEN quality = 0 OR toxic = 1 THEN CASE doc_id % 3 WHEN 0 THEN CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END
-      WHEN 1 THEN CASE WHEN toxic = 1 THEN 'not-same-issue' ELSE 'same-issue' END
-      ELSE CASE WHEN toxic = 1 THEN 'confirmed-violation' ELSE 'violation' END END END AS fix,
-    'quality ' || quality || ' toxic ' || toxic AS fix_note
-  FROM labels JOIN documents USING (doc_id)
-),
-lab AS (
-  SELECT item_id, stratum, predicted, method, coalesce(fix, predicted) AS human_label,
-    CASE WHEN fix IS NULL THEN '' ELSE fix_note END AS notes FROM sample
-),
+_METRICS = """
 th AS (SELECT *, human_label = predicted AS ok FROM lab WHERE stratum = 'theme'),
 cells AS (
   SELECT count(*) AS n,
@@ -464,6 +449,23 @@ ref AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE human_label = 'confirmed-violation') AS same_ticket_confirmed,
     count(*) FILTER (WHERE human_label = 'violation') AS same_order_violations FROM lab WHERE stratum = 'refund'
 )"""
+LABELS = """
+sample AS (
+  SELECT 'IT-' || doc_id AS item_id, CASE doc_id % 3 WHEN 0 THEN 'theme' WHEN 1 THEN 'repeat' ELSE 'refund' END AS stratum,
+    CASE doc_id % 3 WHEN 0 THEN CASE WHEN n_chars >= 400 THEN 'good' ELSE 'poor' END
+      WHEN 1 THEN CASE WHEN n_chars >= 900 THEN 'same-issue' ELSE 'not-same-issue' END ELSE 'open' END AS predicted,
+    CASE lang WHEN 'en' THEN 'taxonomy' WHEN 'fr' THEN 'rule' ELSE 'rule-fallback' END AS method,
+    CASE WHEN quality = 0 OR toxic = 1 THEN CASE doc_id % 3 WHEN 0 THEN CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END
+      WHEN 1 THEN CASE WHEN toxic = 1 THEN 'not-same-issue' ELSE 'same-issue' END
+      ELSE CASE WHEN toxic = 1 THEN 'confirmed-violation' ELSE 'violation' END END END AS fix,
+    'quality ' || quality || ' toxic ' || toxic AS fix_note
+  FROM labels JOIN documents USING (doc_id)
+),
+lab AS (
+  SELECT item_id, stratum, predicted, method, coalesce(fix, predicted) AS human_label,
+    CASE WHEN fix IS NULL THEN '' ELSE fix_note END AS notes FROM sample
+)
+""".rstrip() + "," + _METRICS
 
 def _excerpt(message: str, notes: str, size: int) -> str:
     joined = f"'MSG: ' || trim({message}, {_WS}) || ' || NOTES: ' || trim({notes}, {_WS})"
@@ -496,16 +498,15 @@ pair_picks AS (
 _METHOD = ("'same_order=' || CASE WHEN same_order THEN 'True' ELSE 'False' END || ' same_product=' || CASE WHEN same_product THEN 'True' ELSE 'False' END"
            " || ' same_category=' || CASE WHEN same_category THEN 'True' ELSE 'False' END || ' gap=' || gap_days::VARCHAR || 'd'")
 _REFUND_ITEMS = f"""
+refund_orders AS (SELECT * FROM cross_rows WHERE order_id IN (SELECT DISTINCT order_id FROM cross_rows ORDER BY order_id LIMIT 4)),
 refund_items AS (
   SELECT 'RF-' || ticket_id AS item_id, ticket_id, '' AS pair_id,
     'conflict refund=' || refund_amount_inr || ' replacement=' || replacement_issued || ' order=' || order_id AS predicted,
     'same-ticket' AS method, {_excerpt('customer_message', 'agent_notes', 300)} AS text, channel, source_system
   FROM (SELECT * FROM t WHERE refund IS NOT NULL AND replacement_issued = 'Y' ORDER BY ticket_id LIMIT 4)
   UNION ALL
-  SELECT 'RF-' || c.order_id, t.ticket_id, c.order_id, 'same-order co-occurrence order=' || c.order_id, 'cross-ticket',
-    t.ticket_id || ': ' || {_excerpt('t.customer_message', 't.agent_notes', 180)}, '', ''
-  FROM cross_rows c JOIN t USING (ticket_id)
-  WHERE c.order_id IN (SELECT DISTINCT order_id FROM cross_rows ORDER BY order_id LIMIT 4)
+  SELECT 'RF-' || order_id, '', order_id, 'same-order co-occurrence order=' || order_id, 'cross-ticket', count(*) || ' tickets', '', ''
+  FROM refund_orders GROUP BY order_id
 )"""
 
 # Shown figures of the audit; ``planted`` makes every ticket of one week late.
@@ -650,6 +651,8 @@ def all_sql() -> dict[str, str]:
     sql["theme_assign_documents"] = _q(DOC_THEMES, "SELECT ticket_id, theme, confidence, method FROM assigned")
     explained = """SELECT ticket_id, category, stored AS taxonomy_theme, stored_hits, winner_hits,
       CASE WHEN winner_hits > 0 THEN winner END AS rule_theme, coalesce(stored = winner, false) AS agree FROM sc"""
+    sql["theme_explain_documents"] = _q(DOC_THEMES, explained)
+    sql["theme_disagreements_documents"] = _q(DOC_THEMES, explained + " WHERE stored IS NOT NULL AND winner_hits > 0 AND stored <> winner")
     sql["theme_explain"] = _q(THEMES, explained)
     sql["theme_disagreements"] = _q(THEMES, explained + " WHERE stored IS NOT NULL AND winner_hits > 0 AND stored <> winner")
     sql["theme_counts_weekly"] = _q(DIGEST, "SELECT week_start, theme, n, position FROM counts")
@@ -661,17 +664,39 @@ def all_sql() -> dict[str, str]:
     sql["kpi_record"] = _q(KPI, "SELECT * FROM kpi")
     sql["kpi_record_one_week"] = _q(KPI, "SELECT * FROM kpi WHERE week_start = DATE '2024-01-08'")
     digest = ASOF + "," + _themed("t", PO.DEFAULT_RULES) + "," + COUNTS + "," + PAIRS + "," + FIGURES + "," + ACTIONS
-    sql["digest_rows"] = _q(digest, """SELECT week_start, 'business' AS section, 1::BIGINT AS position, 'repeat_candidates' AS key, repeat_candidates AS n, NULL::DOUBLE AS pct, NULL::BIGINT AS wow FROM pair_weeks
-      UNION ALL SELECT week_start, 'business', 2, 'repeat_same_issue', repeat_same_issue, NULL, NULL FROM pair_weeks
-      UNION ALL SELECT week_start, 'themes', position, theme, n, pct, wow FROM sections
-      UNION ALL SELECT week_start, 'cost', 1, 'sla_breaches', sla_breaches, NULL, NULL FROM figures
-      UNION ALL SELECT week_start, 'cost', 2, 'sla_credit_inr', sla_breaches * 350, NULL, NULL FROM figures
-      UNION ALL SELECT week_start, 'cost', 3, 'transfers', transfers, NULL, NULL FROM figures
-      UNION ALL SELECT week_start, 'cost', 4, 'transfer_cost_inr', transfers * 305, NULL, NULL FROM figures
-      UNION ALL SELECT week_start, 'cost', 5, 'contact_cost_inr', contact_cost_inr, NULL, NULL FROM figures
-      UNION ALL SELECT week_start, 'csat', 1, 'answers', csat_n, response_rate_pct, NULL FROM figures
-      UNION ALL SELECT resolved_week, 'board', rank, agent_id, tickets_completed, NULL, NULL FROM ranked WHERE tier1 AND rank <= 15
-      UNION ALL SELECT week_start, 'actions', row_number() OVER (PARTITION BY week_start ORDER BY action, subject), action || ': ' || subject, value, NULL, NULL FROM todo""")
+    sql["digest_rows"] = _q(digest + "," + _rising("t") + """,
+      watch AS (SELECT week_start, coalesce(max(pct) FILTER (WHERE theme = 'Other / Unclassified'), 0)::DOUBLE AS pct,
+        coalesce(max(wow_pp) FILTER (WHERE theme = 'Other / Unclassified'), 0)::DOUBLE AS wow_pp FROM sections GROUP BY 1)""",
+      """SELECT week_start, 'business' AS section, 1::BIGINT AS position, 'repeat_candidates' AS key, repeat_candidates AS n, NULL::DOUBLE AS pct, NULL::BIGINT AS wow, NULL::VARCHAR AS detail FROM pair_weeks
+      UNION ALL SELECT week_start, 'business', 2, 'repeat_same_issue', repeat_same_issue, NULL, NULL, NULL FROM pair_weeks
+      UNION ALL SELECT week_start, 'volume', 1, 'volume', volume, NULL, NULL, NULL FROM figures
+      UNION ALL SELECT f.week_start, 'volume', 2, 'previous_volume', coalesce(p.volume, 0), NULL, NULL, NULL FROM figures f LEFT JOIN figures p ON p.week_start = f.week_start - 7
+      UNION ALL SELECT week_start, 'themes', position, theme, n, pct, wow, NULL FROM sections
+      UNION ALL SELECT week_start, 'other_watch', 1, 'Other / Unclassified', NULL, pct, NULL,
+        'pp ' || wow_pp::VARCHAR || CASE WHEN pct > 15 OR wow_pp > 3 THEN ' review' ELSE '' END FROM watch
+      UNION ALL SELECT week_start, 'cost', 1, 'sla_breaches', sla_breaches, NULL, NULL, NULL FROM figures
+      UNION ALL SELECT week_start, 'cost', 2, 'sla_credit_inr', sla_breaches * 350, NULL, NULL, NULL FROM figures
+      UNION ALL SELECT week_start, 'cost', 3, 'transfers', transfers, NULL, NULL, NULL FROM figures
+      UNION ALL SELECT week_start, 'cost', 4, 'transfer_cost_inr', transfers * 305, NULL, NULL, NULL FROM figures
+      UNION ALL SELECT week_start, 'cost', 5, 'contact_cost_inr', contact_cost_inr, NULL, NULL, NULL FROM figures
+      UNION ALL SELECT week_start, 'csat', 1, 'answers', csat_n, response_rate_pct, NULL, NULL FROM figures
+      UNION ALL SELECT week_start, 'csat', 2, 'mean', NULL, csat_mean, NULL, NULL FROM figures
+      UNION ALL SELECT resolved_week, 'board', rank, agent_id, tickets_completed, NULL, NULL, agent_name || ' | ' || team || ' | ' || shift FROM ranked WHERE tier1 AND rank <= 15
+      UNION ALL SELECT resolved_week, 'specialists', 1, 'agents', count(*), NULL, NULL, NULL FROM board WHERE NOT tier1 GROUP BY resolved_week
+      UNION ALL SELECT week_start, 'rising', rank, term, NULL, gain, NULL, NULL FROM rising
+      UNION ALL SELECT week_start, 'actions', row_number() OVER (PARTITION BY week_start ORDER BY action, subject), action || ': ' || subject, value, NULL, NULL, NULL FROM todo""")
+
+    measured = ["volume", "sla_breaches", "sla_missing", "csat_n", "contact_cost_inr", "transfers", "transfer_cost_inr", "sla_credit_inr",
+                "repeat_candidates", "repeat_same_issue", "tier1_agents", "specialist_agents", "unresolved_attendance", "response_rate_pct", "csat_mean"]
+    sql["kpi_rows"] = _q(
+        KPI + "," + _GROUPED_DOCS + ", by_week AS (SELECT id, {'w': week_start, 'g': grp} AS grp, text FROM grouped)," + _tfidf("by_week"),
+        " UNION ALL ".join(f"SELECT week_start, '{c}' AS measure, '' AS key, {c}::DOUBLE AS value FROM kpi" for c in measured)
+        + """ UNION ALL SELECT week_start, 'channel_mix', channel_key, printf('%.2f', (count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY week_start))::DOUBLE)::DOUBLE FROM wk GROUP BY week_start, channel_key
+      UNION ALL SELECT week_start, 'status_n', status_key, count(*) FROM wk GROUP BY week_start, status_key
+      UNION ALL SELECT week_start, 'status_pct', status_key, printf('%.2f', (count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY week_start))::DOUBLE)::DOUBLE FROM wk GROUP BY week_start, status_key
+      UNION ALL SELECT week_start, 'sla_by_channel', channel_key, count(*) FROM wk WHERE late GROUP BY week_start, channel_key
+      UNION ALL SELECT week_start, 'cost_by_channel', channel_key, sum(rate)::BIGINT FROM wk GROUP BY week_start, channel_key
+      UNION ALL SELECT grp.w, 'group_top_term', grp.g || ' # ' || rank || ' ' || term, score FROM top_terms""")
 
     sql["group_top_terms"] = _q(_GROUPED_DOCS + "," + _tfidf("grouped"), "SELECT * FROM top_terms")
     sql["group_top_terms_weekly"] = _q(
@@ -722,16 +747,18 @@ def all_sql() -> dict[str, str]:
     sql["stratified_sample"] = _q(THEMES + "," + _PICKS, "SELECT * FROM picks")
     sql["sample_pairs"] = _q(WITH_PAIRS + "," + _PAIR_PICKS, "SELECT predicted, prior_ticket_id, repeat_ticket_id FROM pair_picks")
     sql["sample_stratum_sizes"] = _q(LABELS, "SELECT stratum, count(*) AS items FROM lab GROUP BY 1")
+    sql["refund_item_tickets"] = _q(TICKETS + "," + CROSS + "," + _REFUND_ITEMS, f"""SELECT 'RF-' || c.order_id AS item_id, t.ticket_id,
+      {_excerpt('t.customer_message', 't.agent_notes', 180)} AS text FROM refund_orders c JOIN t USING (ticket_id)""")
     sql["refund_review_items"] = _q(TICKETS + "," + CROSS + "," + _REFUND_ITEMS, "SELECT item_id, ticket_id, pair_id, predicted, method, text FROM refund_items")
-    sql["review_sample"] = _q(
-        THEMES + "," + PAIRS + "," + CROSS + "," + _PICKS + "," + _PAIR_PICKS + "," + _REFUND_ITEMS,
-        f"""SELECT 'TH-' || p.ticket_id AS item_id, 'theme' AS stratum, p.ticket_id, '' AS pair_id, t.channel, t.source_system,
+    drawn = THEMES + "," + PAIRS + "," + CROSS + "," + _PICKS + "," + _PAIR_PICKS + "," + _REFUND_ITEMS
+    review = f"""SELECT 'TH-' || p.ticket_id AS item_id, 'theme' AS stratum, p.ticket_id, '' AS pair_id, t.channel, t.source_system,
           p.theme AS predicted, p.method, {_excerpt('t.customer_message', 't.agent_notes', 300)} AS text, '' AS human_label, '' AS notes
         FROM picks p JOIN t USING (ticket_id)
         UNION ALL SELECT 'RP-' || p.repeat_ticket_id, 'repeat', p.repeat_ticket_id, p.prior_ticket_id, b.channel, b.source_system, p.predicted, {_METHOD},
           'PRIOR[' || p.prior_ticket_id || ']: ' || {_excerpt('a.customer_message', 'a.agent_notes', 250)} || ' || REPEAT: ' || {_excerpt('b.customer_message', 'b.agent_notes', 250)}, '', ''
         FROM pair_picks p JOIN t a ON a.ticket_id = p.prior_ticket_id JOIN t b ON b.ticket_id = p.repeat_ticket_id
-        UNION ALL SELECT item_id, 'refund', ticket_id, pair_id, channel, source_system, predicted, method, text, '', '' FROM refund_items""")
+        UNION ALL SELECT item_id, 'refund', ticket_id, pair_id, channel, source_system, predicted, method, text, '', '' FROM refund_items"""
+    sql["review_sample"] = _q(drawn, review)
     sql["theme_accuracy"] = _q(LABELS, "SELECT * FROM acc")
     sql["theme_accuracy_by_method"] = _q(LABELS, "SELECT * FROM acc_m")
     sql["theme_errors"] = _q(LABELS, "SELECT item_id, predicted, human_label, notes FROM th WHERE NOT ok")
@@ -742,11 +769,25 @@ def all_sql() -> dict[str, str]:
 
     def measures(relation: str, prefix: str, columns: list[str]) -> list[str]:
         return [f"SELECT {prefix} || {_text('.' + c)} AS measure, {c}::DOUBLE AS value FROM {relation}" for c in columns]
-    sql["evaluation_report"] = _q(LABELS, " UNION ALL ".join(
+    report = " UNION ALL ".join(
         measures("acc", "'theme'", ["n", "agree", "accuracy"])
         + measures("acc_m", "'theme.' || method", ["n", "agree", "accuracy"])
         + measures("conf", "'repeat'", ["n", "tp", "fp", "fn", "tn", "precision", "recall", "f1"])
-        + measures("ref", "'refund'", ["n", "same_ticket_confirmed", "same_order_violations"])))
+        + measures("ref", "'refund'", ["n", "same_ticket_confirmed", "same_order_violations"]))
+    sql["evaluation_report"] = _q(LABELS, report)
+    fixed = "CASE stratum WHEN 'theme' THEN 'Other / Unclassified' WHEN 'repeat' THEN 'not-same-issue' ELSE 'confirmed-violation' END"
+    reviewed = f""", review AS ({review}),
+      lab AS (SELECT item_id, stratum, predicted, method,
+        CASE WHEN substr(md5(item_id), 1, 1) IN ('0', '1', '2', '3', '4') THEN {fixed} ELSE predicted END AS human_label FROM review),"""
+    sql["review_evaluation"] = _q(drawn, reviewed + _METRICS + report)
+    sql["evaluation_document"] = _q(_audit(_PLANTED) + "," + LABELS, f"""SELECT measure AS field, value FROM ({report})
+      UNION ALL SELECT 'error ' || item_id || ' ' || predicted || ' ' || human_label, 1 FROM th WHERE NOT ok
+      UNION ALL SELECT CASE WHEN predicted = 'same-issue' THEN 'fp ' ELSE 'fn ' END || item_id, 1 FROM lab
+        WHERE stratum = 'repeat' AND (predicted = 'same-issue') <> (human_label = 'same-issue')
+      UNION ALL SELECT 'failed ' || "check", count(*) FROM audit WHERE NOT ok GROUP BY "check"
+      UNION ALL SELECT 'factuality checks', count(*) FROM audit
+      UNION ALL SELECT 'factuality errors', count(*) FILTER (NOT ok) FROM audit
+      UNION ALL SELECT 'factuality error_rate', printf('%.3f', (count(*) FILTER (NOT ok)::DOUBLE / count(*))::DOUBLE)::DOUBLE FROM audit""")
     sql["factuality_audit"] = _q(_audit(), "SELECT * FROM audit")
     sql["factuality_audit_planted"] = _q(_audit(_PLANTED), "SELECT * FROM audit")
     sql["audit_summary"] = _q(_audit(), """SELECT week_start, count(*) AS checks, count(*) FILTER (WHERE NOT ok) AS errors,

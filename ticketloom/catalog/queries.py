@@ -261,7 +261,11 @@ def kpi_record_one_week(spark, d):
 
 
 def digest_rows(spark, d):
-    return G.digest_rows(B.tickets(spark, d), B.roster(spark, d))
+    return G.digest_rows(B.tickets(spark, d), B.roster(spark, d), rising=emerging_terms_tickets(spark, d))
+
+
+def kpi_rows(spark, d):
+    return G.kpi_rows(B.tickets(spark, d), B.roster(spark, d), terms=group_top_terms_weekly(spark, d))
 
 
 # -- terms
@@ -476,6 +480,54 @@ def refund_review_items(spark, d):
         "item_id", "ticket_id", "pair_id", "predicted", "method", "text")
 
 
+def refund_item_tickets(spark, d):
+    t = B.tickets(spark, d)
+    return S.refund_item_tickets(t, S.refund_picks(G.settled(t)))
+
+
+def _reviewed(spark, d):
+    """The drawn sample with a reviewer's corrections of some items."""
+    from .. import scale
+    sample = scale.settle(review_sample(spark, d))
+    fixes = sample.where(F.substring(F.md5("item_id"), 1, 1).isin(*"01234")).select(
+        "item_id", F.when(F.col("stratum") == "theme", "Other / Unclassified").when(F.col("stratum") == "repeat", "not-same-issue")
+        .otherwise("confirmed-violation").alias("human_label"), F.lit("second look").alias("notes"))
+    return E.apply_labels(sample, fixes)
+
+
+def review_evaluation(spark, d):
+    """Draw, label and measure: figures of the drawn sample itself."""
+    return A.evaluation_report(_reviewed(spark, d))
+
+
+def evaluation_document(spark, d):
+    """The evaluation as one JSON document, read back field by field."""
+    audit = factuality_audit_planted(spark, d)
+    docs = A.evaluation_document(B.labelled(spark, d), audit)
+    kinds = "struct<measures:map<string,double>,theme_errors:array<struct<item_id:string,predicted:string,human_label:string>>," \
+            "fp:array<string>,fn:array<string>,factuality:struct<checks:bigint,errors:bigint,error_rate:double,failed:map<string,bigint>>>"
+    doc = docs.select(F.from_json("document", kinds).alias("d")).select("d.*")
+    long = F.concat(
+        F.transform(F.map_entries("measures"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"))),
+        F.transform("theme_errors", lambda e: F.struct(
+            F.concat(F.lit("error "), e["item_id"], F.lit(" "), e["predicted"], F.lit(" "), e["human_label"]).alias("field"), F.lit(1.0).alias("value"))),
+        F.transform("fp", lambda e: F.struct(F.concat(F.lit("fp "), e).alias("field"), F.lit(1.0).alias("value"))),
+        F.transform("fn", lambda e: F.struct(F.concat(F.lit("fn "), e).alias("field"), F.lit(1.0).alias("value"))),
+        F.transform(F.map_entries("factuality.failed"), lambda e: F.struct(
+            F.concat(F.lit("failed "), e["key"]).alias("field"), e["value"].cast("double").alias("value"))),
+        F.array(*[F.struct(F.lit(f"factuality {c}").alias("field"), F.col(f"factuality.{c}").cast("double").alias("value"))
+                  for c in ("checks", "errors", "error_rate")]))
+    return doc.select(F.explode(long).alias("f")).select("f.*")
+
+
+def theme_explain_documents(spark, d):
+    return TH.explain(B.text_tickets(spark, d), B.WORD_RULES)
+
+
+def theme_disagreements_documents(spark, d):
+    return TH.disagreements(theme_explain_documents(spark, d))
+
+
 def factuality_audit(spark, d):
     return A.factuality_audit(B.tickets(spark, d), B.roster(spark, d))
 
@@ -598,6 +650,12 @@ def all_queries() -> dict[str, Query]:
         "sample_pairs": sample_pairs,
         "sample_stratum_sizes": sample_stratum_sizes,
         "refund_review_items": refund_review_items,
+        "refund_item_tickets": refund_item_tickets,
+        "review_evaluation": review_evaluation,
+        "evaluation_document": evaluation_document,
+        "theme_explain_documents": theme_explain_documents,
+        "theme_disagreements_documents": theme_disagreements_documents,
+        "kpi_rows": kpi_rows,
         "review_sample": review_sample,
         "theme_accuracy": _on_labels(E.accuracy),
         "theme_accuracy_by_method": _on_labels(E.accuracy_by_method),

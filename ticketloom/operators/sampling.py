@@ -94,21 +94,31 @@ def refund_picks(tickets: DataFrame, conflicts: int = 4, orders: int = 4) -> Dat
 
 
 def refund_items(tickets: DataFrame, picks: DataFrame) -> DataFrame:
-    """Review rows of the refund picks; a cross-ticket order gives one row per ticket."""
-    alone = F.col("method") == "same-ticket"
+    """Review rows of the refund picks: one per conflict and one per cross-ticket order.
+
+    The tickets of an order are rows of ``refund_item_tickets``, since an order's list has no bound.
+    """
     conflict = F.concat(
         F.lit("conflict refund="), C.strip("refund_amount_inr"), F.lit(" replacement="),
         C.strip("replacement_issued"), F.lit(" order="), C.strip("order_id"))
-    return _review(
-        tickets.join(picks, "ticket_id")
-        .withColumn("stratum", F.lit("refund"))
-        .withColumn("item_id", F.concat(F.lit("RF-"), F.when(alone, F.col("ticket_id")).otherwise(F.col("pair_id"))))
-        .withColumn("predicted", F.when(alone, conflict).otherwise(
-            F.concat(F.lit("same-order co-occurrence order="), "pair_id")))
-        .withColumn("text", F.when(alone, excerpt("customer_message", "agent_notes")).otherwise(
-            F.concat("ticket_id", F.lit(": "), excerpt("customer_message", "agent_notes", 180))))
-        .withColumn("channel", F.when(alone, F.col("channel")).otherwise(F.lit("")))
-        .withColumn("source_system", F.when(alone, F.col("source_system")).otherwise(F.lit(""))))
+    alone = (
+        tickets.join(picks.where("method = 'same-ticket'"), "ticket_id")
+        .withColumn("item_id", F.concat(F.lit("RF-"), "ticket_id"))
+        .withColumn("predicted", conflict)
+        .withColumn("text", excerpt("customer_message", "agent_notes")))
+    orders = picks.where("method = 'cross-ticket'").groupBy("pair_id", "method").agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" tickets")).alias("text")).select(
+        "pair_id", "method", "text", F.concat(F.lit("RF-"), "pair_id").alias("item_id"),
+        F.concat(F.lit("same-order co-occurrence order="), "pair_id").alias("predicted"))
+    return _review(alone.withColumn("stratum", F.lit("refund"))).unionByName(
+        _review(orders.withColumn("stratum", F.lit("refund"))))
+
+
+def refund_item_tickets(tickets: DataFrame, picks: DataFrame) -> DataFrame:
+    """(item_id, ticket_id, text): the tickets behind each item of a cross-ticket order."""
+    return tickets.join(picks.where("method = 'cross-ticket'"), "ticket_id").select(
+        F.concat(F.lit("RF-"), "pair_id").alias("item_id"), "ticket_id",
+        excerpt("customer_message", "agent_notes", 180).alias("text"))
 
 
 def stratum_sizes(sample: DataFrame) -> DataFrame:

@@ -112,3 +112,29 @@ def evaluation_report(labelled: DataFrame) -> DataFrame:
         .unionByName(rows(E.confusion(labelled), "repeat"))
         .unionByName(rows(E.refund_review(labelled), "refund"))
     )
+
+
+def evaluation_document(labelled: DataFrame, audit: DataFrame) -> DataFrame:
+    """One JSON document: all measures, the wrong items of the sample, and what the audit found.
+
+    Item ids are those of a labelled sample, and failed checks are counted by kind, so every list is short.
+    """
+    measures = evaluation_report(labelled).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("measure", "value")))).alias("measures"))
+    wrong = E.theme_errors(labelled).agg(F.array_sort(F.collect_list(
+        F.struct("item_id", "predicted", "human_label"))).alias("theme_errors"))
+    errors = E.confusion_errors(labelled).agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "fp", F.col("item_id")))).alias("fp"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "fn", F.col("item_id")))).alias("fn"))
+    n, bad = F.count(F.lit(1)), F.count_if(~F.col("ok"))
+    kinds = audit.groupBy("check").agg(n.alias("checks"), bad.alias("errors")).agg(
+        F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("errors") > 0, F.struct("check", "errors"))))).alias("failed"))
+    facts = kinds.select(F.struct(
+        "checks", "errors", C.ratio(F.col("errors"), F.col("checks")).alias("error_rate"), "failed").alias("factuality"))
+    one = [f.withColumn("_one", F.lit(1)) for f in (measures, wrong, errors, facts)]
+    out = one[0]
+    for part in one[1:]:
+        out = out.join(part, "_one")
+    out = out.drop("_one")
+    return out.select(F.to_json(F.struct(*out.columns)).alias("document"))

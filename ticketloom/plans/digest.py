@@ -93,7 +93,10 @@ def actions(section_rows: DataFrame, figures: DataFrame, pairs: DataFrame,
 def kpi_record(tickets: DataFrame, roster: DataFrame,
                policy: SupportPolicy = DEFAULT_POLICY) -> DataFrame:
     """One row of figures per week that has created or completed tickets."""
-    tickets = settled(tickets)
+    return _kpi_record(settled(tickets), roster, policy)
+
+
+def _kpi_record(tickets, roster, policy):
     figures = K.created_week_figures(tickets, policy).drop("email_breaches", "conflicts")
     repeats = weekly_pairs(repeat_pairs(tickets, policy=policy))
     days = R.daily_attendance(tickets, roster).withColumn(
@@ -113,21 +116,30 @@ def kpi_record(tickets: DataFrame, roster: DataFrame,
 
 
 def digest_rows(tickets: DataFrame, roster: DataFrame, policy: SupportPolicy = DEFAULT_POLICY,
-                rules: ThemeRules = DEFAULT_RULES, top: int = 15) -> DataFrame:
-    """The digest body as rows (week_start, section, position, key, n, pct, wow)."""
+                rules: ThemeRules = DEFAULT_RULES, top: int = 15, rising: DataFrame | None = None) -> DataFrame:
+    """The digest body as rows (week_start, section, position, key, n, pct, wow, detail).
+
+    ``rising`` holds terms on the rise (week_start, rank, term, gain), where texts are available.
+    """
     tickets = settled(TH.assign(tickets, rules))
     section_rows = sections(TH.count_themes(tickets))
     figures = K.created_week_figures(tickets, policy)
     pairs = weekly_pairs(repeat_pairs(tickets, policy=policy))
     board = R.top_of_board(R.tier1_board(tickets, roster, policy), top)
+    specialists = R.specialist_board(tickets, roster, policy).groupBy("resolved_week").agg(F.count(F.lit(1)).alias("agents"))
     todo = actions(section_rows, figures, pairs, rules.other)
+    before = figures.select(F.date_add("week_start", 7).alias("week_start"), F.col("volume").alias("previous_volume"))
+    volumes = figures.join(before, "week_start", "left").select(
+        "week_start", "volume", F.coalesce("previous_volume", F.lit(0).cast("long")).alias("previous_volume"))
+    watch = other_watch(section_rows, rules.other)
 
-    def rows(frame, section, position, key, n, pct=None, wow=None):
+    def rows(frame, section, position, key, n=None, pct=None, wow=None, detail=None):
         return frame.select(
             "week_start", F.lit(section).alias("section"), position.cast("long").alias("position"),
-            key.alias("key"), n.cast("long").alias("n"),
+            key.alias("key"), (F.lit(None) if n is None else n).cast("long").alias("n"),
             (F.lit(None) if pct is None else pct).cast("double").alias("pct"),
-            (F.lit(None) if wow is None else wow).cast("long").alias("wow"))
+            (F.lit(None) if wow is None else wow).cast("long").alias("wow"),
+            (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
     def listed(frame, section, columns):
         cells = F.explode(F.array(*[
@@ -138,19 +150,61 @@ def digest_rows(tickets: DataFrame, roster: DataFrame, policy: SupportPolicy = D
 
     order = W.partitionBy("week_start").orderBy("action", "subject")
     numbered = todo.withColumn("i", F.row_number().over(order))
-    return (
-        listed(pairs, "business", ["repeat_candidates", "repeat_same_issue"])
-        .unionByName(rows(section_rows, "themes", F.col("position"), F.col("theme"), F.col("n"),
-                          F.col("pct"), F.col("wow")))
-        .unionByName(listed(figures, "cost", [
-            "sla_breaches", "sla_credit_inr", "transfers", "transfer_cost_inr", "contact_cost_inr"]))
-        .unionByName(rows(figures, "csat", F.lit(1), F.lit("answers"), F.col("csat_n"),
-                          F.col("response_rate_pct")))
-        .unionByName(rows(board.withColumnRenamed("resolved_week", "week_start"), "board",
-                          F.col("rank"), F.col("agent_id"), F.col("tickets_completed")))
-        .unionByName(rows(numbered, "actions", F.col("i"),
-                          F.concat("action", F.lit(": "), "subject"), F.col("value")))
-    )
+    one = F.lit(1)
+    parts = [
+        listed(volumes, "volume", ["volume", "previous_volume"]),
+        listed(pairs, "business", ["repeat_candidates", "repeat_same_issue"]),
+        rows(section_rows, "themes", F.col("position"), F.col("theme"), F.col("n"), F.col("pct"), F.col("wow")),
+        rows(watch, "other_watch", one, F.lit(rules.other), pct=F.col("pct"),
+             detail=F.concat(F.lit("pp "), F.col("wow_pp").cast("string"), F.when(F.col("trigger"), " review").otherwise(""))),
+        listed(figures, "cost", ["sla_breaches", "sla_credit_inr", "transfers", "transfer_cost_inr", "contact_cost_inr"]),
+        rows(figures, "csat", one, F.lit("answers"), F.col("csat_n"), F.col("response_rate_pct")),
+        rows(figures, "csat", F.lit(2), F.lit("mean"), pct=F.col("csat_mean")),
+        rows(board.withColumnRenamed("resolved_week", "week_start"), "board", F.col("rank"), F.col("agent_id"),
+             F.col("tickets_completed"), detail=F.concat_ws(" | ", "agent_name", "team", "shift")),
+        rows(specialists.withColumnRenamed("resolved_week", "week_start"), "specialists", one, F.lit("agents"), F.col("agents")),
+        rows(numbered, "actions", F.col("i"), F.concat("action", F.lit(": "), "subject"), F.col("value")),
+    ]
+    if rising is not None:
+        parts.append(rows(rising, "rising", F.col("rank"), F.col("term"), pct=F.col("gain")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def kpi_rows(tickets: DataFrame, roster: DataFrame, policy: SupportPolicy = DEFAULT_POLICY,
+             terms: DataFrame | None = None) -> DataFrame:
+    """All weekly figures as long rows (week_start, measure, key, value), whatever channels and states occur.
+
+    ``terms`` adds the terms of each week's groups: (week_start, grp, rank, term, score).
+    """
+    return _kpi_rows(settled(tickets), roster, policy, terms)
+
+
+def _kpi_rows(tickets, roster, policy, terms):
+    record = _kpi_record(tickets, roster, policy)
+    figures = record.select("week_start", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
+        for c in record.columns if c != "week_start"])).alias("f")).select(
+        "week_start", "f.measure", F.lit("").alias("key"), "f.value")
+
+    def rows(frame, measure, key, value):
+        return frame.select("week_start", F.lit(measure).alias("measure"), key.alias("key"), F.col(value).cast("double").alias("value"))
+
+    status = K.status_mix(tickets)
+    cost = K.contact_cost(tickets, policy).where(F.col("channel").isNotNull())
+    parts = [
+        rows(K.channel_mix(tickets), "channel_mix", F.col("channel"), "pct"),
+        rows(status, "status_n", F.col("status"), "n"), rows(status, "status_pct", F.col("status"), "pct"),
+        rows(K.sla_breaches(tickets), "sla_by_channel", F.col("channel"), "breaches"),
+        rows(cost, "cost_by_channel", F.col("channel"), "cost_inr"),
+    ]
+    if terms is not None:
+        parts.append(rows(terms, "group_top_term", F.concat("grp", F.lit(" # "), F.col("rank").cast("string"), F.lit(" "), "term"), "score"))
+    for part in parts:
+        figures = figures.unionByName(part)
+    return figures
 
 
 def kpi_documents(tickets: DataFrame, roster: DataFrame,
@@ -160,7 +214,7 @@ def kpi_documents(tickets: DataFrame, roster: DataFrame,
         return frame.groupBy("week_start").agg(F.map_from_entries(F.sort_array(
             F.collect_list(F.struct(key, value)))).alias(name))
     tickets = settled(tickets)
-    record = kpi_record(tickets, roster, policy)
+    record = _kpi_record(tickets, roster, policy)
     cost = K.contact_cost(tickets, policy).where(F.col("channel").isNotNull())
     out = record
     for part in (
