@@ -23,9 +23,9 @@ from .shared import arrow_map, picked
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose tokens a worker remembers; beyond it the memory starts anew.
-MOST_WORDS = 300_000
-# Documents in one output batch.
-BATCH = 1000
+MOST_WORDS = 200_000
+# Pairs of neighbouring tokens whose fit a worker remembers.
+MOST_PAIRS = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -65,6 +65,10 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
 
+    def forget(self) -> None:
+        """Give back what was remembered of words and pairs."""
+        self.known, self.fitting = {}, {}
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave a border between two neighbouring tokens.
 
@@ -88,7 +92,7 @@ class Codec:
         """Encode new words in trie order and remember them."""
         find, fitting, reach = self.ids.get, self.fitting, self.reach.get
         tokens, packed, known = self.tokens, self.packed, self.known
-        if len(fitting) > 1_000_000:
+        if len(fitting) > MOST_PAIRS:
             fitting.clear()
         path, last = b"", [-1]  # last[i]: the token that ends the first i bytes of the path
         for word, text in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
@@ -174,14 +178,13 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     def run(batches):
         coder = codec(shared.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
-                ids = list(coder.encode([t or "" for t in batch.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
-                     pa.array([coder.decode(i) for i in ids], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in batches:
+            ids = list(coder.encode([t or "" for t in batch.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
+                 pa.array([coder.decode(i) for i in ids], pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded"])
+        coder.forget()
 
     return arrow_map(picked(docs, doc_id=doc_id, text=text), run, schema)
 
@@ -193,12 +196,11 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches):
         coder = codec(shared.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
-                ids = [np.frombuffer(i, "<i4") for i in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for batch in batches:
+            ids = [np.frombuffer(i, "<i4") for i in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        coder.forget()
 
     return arrow_map(picked(docs, doc_id=doc_id, text=text), run, schema)
 

@@ -21,8 +21,8 @@ from .shared import arrow_map, picked
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
 UNDECIDED = "und"
-# Words whose scores a worker remembers, and words scored between two looks at that bound.
-MOST_WORDS = 150_000
+# Words whose scores a worker remembers.
+MOST_WORDS = 100_000
 
 
 def grams(word: str, length: int) -> list[str]:
@@ -112,7 +112,7 @@ def training_rows(docs: DataFrame, per_language: int, doc_id: str, text: str, la
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Counts of words and their n-grams by language, summed over a batch."""
+    """Counts of words and their n-grams by language, summed over a slice."""
     for batch in batches:
         by_language: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -175,7 +175,9 @@ def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with all their columns, and ``lang_pred`` and ``score`` behind them."""
+    """The documents with all their columns, and ``lang_pred`` and ``score`` behind them (in place of
+    columns that had these names)."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -181,7 +181,8 @@ def dropped_lines(docs: DataFrame, threshold: int, least: int, max_broadcast_row
 
 def without_repeats(docs: DataFrame, threshold: int = 1, least: int = 20, doc_id: str = "doc_id", text: str = "text",
                     max_broadcast_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """All columns of ``docs`` with the text cut, and n_lines and n_removed behind them.
+    """All columns of ``docs`` with the text cut, and n_lines and n_removed behind them (in place of
+    columns that had these names).
 
     A line goes when an earlier line (smaller id, or higher up in the same document) equals it or is at
     most ``threshold`` edits away; lines are judged on the input. Lines are what line feeds separate; those
@@ -194,11 +195,15 @@ def without_repeats(docs: DataFrame, threshold: int = 1, least: int = 20, doc_id
     if not threshold < least or not 0 <= threshold <= 29:
         raise ValueError("least must exceed the threshold, and the band must fit a machine word")
     own = picked(docs, doc_id=doc_id, text=text)
-    gone = dropped_lines(own, threshold, least, max_broadcast_rows).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    rows = once(docs.join(gone, F.col(f"`{doc_id}`") == F.col("_doc"), "left").drop("_doc"), "_lines", F.split(f"`{text}`", "\n", -1))
-    kept = F.filter("_lines", lambda line, i: ~F.array_contains("_gone", F.xxhash64(i, F.xxhash64(line))))
-    rows = once(rows, "_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept))
+    gone = dropped_lines(own, threshold, least, max_broadcast_rows)
+    # The row travels as one column, so that its own columns may have any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(gone, F.col("row")[doc_id] == F.col("doc_id"), "left").select("row", "gone")
+    rows = once(rows, "lines", F.split(F.col("row")[text], "\n", -1))
+    kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", F.xxhash64(i, F.xxhash64(line))))
+    rows = once(rows, "kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     return rows.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        size("_lines").alias("n_lines"), (size("_lines") - size("_kept")).alias("n_removed"))
+        *[F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c)
+          for c in docs.columns if c not in ("n_lines", "n_removed")],
+        size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_removed"))

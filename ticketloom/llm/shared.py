@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -46,11 +47,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows that a worker turns into Python objects at a time.
+SLICE = 500
 _shipped: set[str] = set()
 
 
+def sliced(run):
+    """``run`` over slices of the batches; what the worker no longer needs is given back at the end."""
+    def over(batches):
+        parts = (batch.slice(start, SLICE) for batch in batches for start in range(0, batch.num_rows, SLICE))
+        yield from run(parts)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return over
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow``, after this package has gone to the executors, once per application."""
+    """``df.mapInArrow`` over slices of the batches.
+
+    The package goes to the executors before the first call, once per application.
+    """
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
@@ -60,7 +76,7 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
                 file.write(source, source.relative_to(package.parent))
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(sliced(run), schema)
 
 
 def picked(df: DataFrame, **columns: str) -> DataFrame:
@@ -74,8 +90,9 @@ def except_for(docs: DataFrame, dropped: DataFrame, keys: dict[str, str], most:
     The rows to drop are broadcast when they are counted at no more than ``most``, and joined by a
     shuffle beyond that. NULL matches NULL.
     """
-    dropped = stored(dropped.select(*[F.col(c).alias(f"_drop_{c}") for c in keys.values()]).distinct(), "dropped")
-    same = functools.reduce(lambda a, b: a & b, [F.expr(e).eqNullSafe(F.col(f"_drop_{c}")) for e, c in keys.items()])
+    own = {c: f"{c}-{uuid.uuid4().hex}" for c in keys.values()}  # no column of docs is called so
+    dropped = stored(dropped.select(*[F.col(c).alias(name) for c, name in own.items()]).distinct(), "dropped")
+    same = functools.reduce(lambda a, b: a & b, [F.expr(e).eqNullSafe(F.col(f"`{own[c]}`")) for e, c in keys.items()])
     small = dropped.limit(most + 1).count() <= most
     return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti")
 
@@ -93,7 +110,7 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered for the words seen first, up to a bound on memory."""
 
-    MOST = 250_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
