@@ -85,7 +85,7 @@ def test_theme_quotas(make):
 
 def test_review_rows(make):
     t = make.tickets(
-        ticket(ticket_id="p", created_at="2026-06-01 10:00", resolved_at="2026-06-02 10:00", order_id="OX", refund_amount_inr="10"),
+        ticket(ticket_id="p", created_at="2026-06-01 10:00", resolved_at="2026-06-02 09:30", order_id="OX", refund_amount_inr="10"),
         ticket(ticket_id="c", order_id="OX", replacement_issued="Y"),
         ticket(ticket_id="k", customer_id="K", order_id="OK", refund_amount_inr="7", replacement_issued="Y"))
     pairs = S.pair_items(t, S.pair_picks(P.repeat_pairs(t))).collect()

@@ -40,7 +40,7 @@ def test_ticket_export_round_trip(spark, tmp_path, make):
     WR.write_csv(tickets, str(tmp_path / "out"), ["ticket_id", "customer_message"])
     back = RD.read_csv(spark, str(tmp_path / "out"))
     assert back.columns == ["ticket_id", "customer_message"]
-    assert {r.customer_message for r in back.collect()} == {"x\ny", "pairing fails"}
+    assert {r.customer_message for r in back.collect()} == {"x\ny", "the left bud will not connect"}
     WR.write_rows_json(digest_rows(tickets, make.team()), str(tmp_path / "digest"))
     assert spark.read.json(str(tmp_path / "digest")).where("section = 'board'").count() == 1
     WR.write_documents(kpi_documents(tickets, make.team()), str(tmp_path / "kpi"))

@@ -29,9 +29,9 @@ def test_channel_and_status_mix(make):
 
 
 @pytest.mark.parametrize("channel,first,late", [
-    ("chat", "2026-06-23 10:15", False), ("chat", "2026-06-23 10:15:01", True),
-    ("chat", "2026-06-23 10:16", True), ("email", "2026-06-23 18:00", False),
-    ("email", "2026-06-23 18:01", True), ("chat", "", None), ("pigeon", "2026-06-24 10:00", None),
+    ("chat", "2026-06-23 09:45", False), ("chat", "2026-06-23 09:45:01", True),
+    ("chat", "2026-06-23 09:46", True), ("email", "2026-06-23 17:30", False),
+    ("email", "2026-06-23 17:31", True), ("chat", "", None), ("pigeon", "2026-06-24 10:00", None),
 ])
 def test_sla_is_strict(make, channel, first, late):
     t = make.tickets(ticket(channel=channel, first_response_at=first))
