@@ -80,7 +80,8 @@ class Scorer:
     def judge(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the likelihood; (und, 0) without a letter or a model."""
         words = WORD.findall(text.lower()) if text else []
-        if not words or not self.model.languages:
+        # A run of word characters may hold signs such as a raised two and no letter at all.
+        if not self.model.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
             return UNDECIDED, 0.0
         if len(self.place) > MOST_WORDS:
             self.forget()
