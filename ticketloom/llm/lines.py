@@ -168,7 +168,8 @@ def similar_earlier(lines: DataFrame, docs: DataFrame, threshold: int, least: in
 
 
 def dropped_lines(docs: DataFrame, threshold: int, least: int, max_broadcast_rows: int) -> DataFrame:
-    """(doc_id, gone): marks of the lines that each document loses, a hash of place and line."""
+    """(doc_id, gone, earlier): marks of the lines that each document loses, a hash of place and line, and
+    the documents that have the earliest line like one of them."""
     lines = stored(_line_rows(docs, least).select(
         "doc_id", "pos", "h", "c", segment_keys(F.col("line"), F.col("size"), threshold).alias("keys")), "line-keys")
     earlier = similar_earlier(lines, docs, threshold, least, max_broadcast_rows)
@@ -176,13 +177,15 @@ def dropped_lines(docs: DataFrame, threshold: int, least: int, max_broadcast_row
     limits = stored(first.join(earlier, ["h", "c"], "left").where("n > 1 or earlier is not null").select(
         "h", "c", F.least("first", F.coalesce("earlier", "first")).alias("limit")), "limits")
     return lines.select("doc_id", "pos", "h", "c").join(limits, ["h", "c"]).where(
-        F.struct("doc_id", "pos") > F.col("limit")).groupBy("doc_id").agg(F.collect_set(F.xxhash64("pos", "h")).alias("gone"))
+        F.struct("doc_id", "pos") > F.col("limit")).groupBy("doc_id").agg(
+        F.collect_set(F.xxhash64("pos", "h")).alias("gone"), F.sort_array(F.collect_set("limit.doc_id")).alias("earlier"))
 
 
 def without_repeats(docs: DataFrame, threshold: int = 1, least: int = 20, doc_id: str = "doc_id", text: str = "text",
                     max_broadcast_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """All columns of ``docs`` with the text cut, and n_lines and n_removed behind them (in place of
-    columns that had these names).
+    """All columns of ``docs`` with the text cut, and n_lines, n_removed and earlier behind them (in place
+    of columns that had these names). ``earlier`` lists the ids of the documents, the own one perhaps
+    among them, that have the first line like one that was cut.
 
     A line goes when an earlier line (smaller id, or higher up in the same document) equals it or is at
     most ``threshold`` edits away; lines are judged on the input. Lines are what line feeds separate; those
@@ -198,12 +201,13 @@ def without_repeats(docs: DataFrame, threshold: int = 1, least: int = 20, doc_id
     gone = dropped_lines(own, threshold, least, max_broadcast_rows)
     # The row travels as one column, so that its own columns may have any name.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(gone, F.col("row")[doc_id] == F.col("doc_id"), "left").select("row", "gone")
+    rows = rows.join(gone, F.col("row")[doc_id] == F.col("doc_id"), "left").select("row", "gone", "earlier")
     rows = once(rows, "lines", F.split(F.col("row")[text], "\n", -1))
     kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", F.xxhash64(i, F.xxhash64(line))))
     rows = once(rows, "kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     return rows.select(
         *[F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c)
-          for c in docs.columns if c not in ("n_lines", "n_removed")],
-        size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_removed"))
+          for c in docs.columns if c not in ("n_lines", "n_removed", "earlier")],
+        size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_removed"),
+        F.coalesce("earlier", F.array().cast(gone.schema["earlier"].dataType)).alias("earlier"))

@@ -10,12 +10,10 @@ from . import balltree, bpe, chat, decontaminate, langid, lines, secretscan, set
 from .shared import stored
 
 
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -47,7 +45,8 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeats(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        F.array_join(F.col("earlier").cast("array<string>"), ",").alias("earlier_docs"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,12 +163,15 @@ near AS (
     AND abs(length(a.line) - length(b.line)) <= 1 AND b.first < a.first
   WHERE levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
 kept AS (
-  SELECT l.*, f.line IS NOT NULL AND least(f.first, coalesce(near.first, f.first)) < (l.doc_id, l.k) AS gone
+  SELECT l.*, least(f.first, coalesce(near.first, f.first)) AS e,
+    f.line IS NOT NULL AND least(f.first, coalesce(near.first, f.first)) < (l.doc_id, l.k) AS gone
   FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256,
+  coalesce(earlier_docs, '') AS earlier_docs
 FROM documents d LEFT JOIN (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-    string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS t FROM kept GROUP BY doc_id) USING (doc_id)
+    string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS t,
+    array_to_string(list_sort(list_distinct(list(e[1]) FILTER (gone))), ',') AS earlier_docs FROM kept GROUP BY doc_id) USING (doc_id)
 """
 
 SQL["op6_near_duplicates"] = r"""
