@@ -47,8 +47,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Rows that a worker turns into Python objects at a time.
-SLICE = 500
+# Rows that a worker turns into Python objects at a time, and rows of a batch that reaches it.
+SLICE, BATCH = 500, 2000
 _shipped: set[str] = set()
 
 
@@ -65,9 +65,13 @@ def sliced(run):
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` over slices of the batches.
 
-    The package goes to the executors before the first call, once per application.
+    The package goes to the executors before the first call, once per application. Long texts make large
+    batches, so the session's limit of rows per batch is lowered to ``BATCH`` where it is higher.
     """
-    context = df.sparkSession.sparkContext
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, BATCH)
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         archive = os.path.realpath(f"{tempfile.mkdtemp(prefix='ticketloom-code-')}/{package.name}.zip")
