@@ -6,7 +6,6 @@ text tickets from ``documents``, labels from ``labels``.
 """
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -69,7 +68,6 @@ def _pick(values: list[str], index: str) -> str:
     return f"element_at(array({quoted}), cast({index} % {len(values)} AS int) + 1)"
 
 
-@lru_cache(maxsize=8)
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket export cells from every event; one event in eighteen appears in two systems."""
     events = scale.spread_single_file(table(spark, sf_dir, "events"), "event_id").selectExpr(
@@ -123,13 +121,11 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("raw_seq", *[C.strip(c).alias(c) for c in text]).withColumn("stable_row_key", row_key())
 
 
-@lru_cache(maxsize=8)
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical tickets with parsed columns."""
     return dedup.typed(dedup.canonical(raw_tickets(spark, sf_dir)))
 
 
-@lru_cache(maxsize=8)
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roster cells from every supplier: movers, open starts and a few reversed intervals."""
     spans = (
@@ -153,7 +149,6 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('S', p_partkey) AS sku", "p_type AS family", "p_partkey AS seq")
 
 
-@lru_cache(maxsize=8)
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return family_map(products(spark, sf_dir), seq="seq")
 
@@ -168,7 +163,6 @@ def reference_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-@lru_cache(maxsize=8)
 def text_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets whose message is a whole document; five weeks by document id."""
     return scale.spread_single_file(table(spark, sf_dir, "documents"), "doc_id").selectExpr(

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -202,7 +201,6 @@ def family_lookup(spark, d):
 
 
 # -- themes
-@lru_cache(maxsize=8)
 def _assigned(spark, d):
     return TH.assign(B.tickets(spark, d))
 

@@ -132,9 +132,9 @@ def evaluation_document(labelled: DataFrame, audit: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("errors") > 0, F.struct("check", "errors"))))).alias("failed"))
     facts = kinds.select(F.struct(
         "checks", "errors", C.ratio(F.col("errors"), F.col("checks")).alias("error_rate"), "failed").alias("factuality"))
-    one = [f.withColumn("_one", F.lit(1)) for f in (measures, wrong, errors, facts)]
-    out = one[0]
-    for part in one[1:]:
-        out = out.join(part, "_one")
-    out = out.drop("_one")
+    out = measures
+    for part in (wrong, errors, facts):
+        out = out.unionByName(part, allowMissingColumns=True)
+    # Four rows, each with its own columns, become one.
+    out = out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
     return out.select(F.to_json(F.struct(*out.columns)).alias("document"))
