@@ -7,7 +7,8 @@ lines up to ``threshold`` characters shorter with the substrings at the places t
 
 Pairs are formed only in small groups. A larger group is cut on: its lines agree in the segment, so what
 is left of them must agree up to the same edits, and is cut into segments again. A group of variants of
-one line falls apart into groups by the place of their edits. Pairs are verified by a banded,
+one line falls apart into groups by the place of their edits. Where too little is left of the indexed
+lines to be cut again, lines meet on what is left after up to ``threshold`` deletions more. Pairs are verified by a banded,
 bit-parallel edit distance: one machine word holds the band, one step per character.
 
 Everything is DataFrame expressions. Lines travel as hashes; texts travel only for lines in a group.
@@ -24,6 +25,8 @@ from .shared import picked, stored
 
 # Lines that may meet pair by pair; a larger group is cut into segments again.
 GROUP = 32
+# Up to this threshold rests meet on their deletion variants (C(2t, t) at most); beyond it, pair by pair.
+MOST_DELETIONS = 6
 # A broadcast side has at most so many rows; beyond it the join shuffles.
 MOST_BROADCAST_ROWS = 500_000
 
@@ -113,10 +116,35 @@ def _line_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Rows of groups that hold a pair, with the number of lines of the group."""
+    """Rows of groups that hold a pair, with the number of lines and the shortest rest of the group."""
     groups = rows.groupBy("key").agg(
-        F.min("h").alias("low"), F.max("h").alias("high"), F.max("indexed").alias("some"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(stored(groups.where("some and low <> high").select("key", "group_size"), "group-sizes"), "key")
+        F.min("h").alias("low"), F.max("h").alias("high"), F.max("indexed").alias("some"), F.count(F.lit(1)).alias("group_size"),
+        F.min(F.char_length("rest")).alias("least_rest"))
+    return rows.join(stored(groups.where("some and low <> high").select("key", "group_size", "least_rest"), "group-sizes"), "key")
+
+
+def deletions(rest: Column, threshold: int) -> Column:
+    """Array of what is left of ``rest`` when up to ``threshold`` characters are deleted.
+
+    Two strings at most ``threshold`` edits apart have an element in common.
+    """
+    def without_one(s):
+        return F.transform(F.sequence(F.lit(1), F.char_length(s)),
+                           lambda p: F.concat(F.substring(s, F.lit(1), p - 1), F.substring(s, p + 1, F.char_length(s))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(threshold)), F.array(rest),
+                       lambda found, _: F.array_distinct(F.concat(found, F.flatten(F.transform(found, without_one)))))
+
+
+def _short(rows: DataFrame, threshold: int) -> DataFrame:
+    """Large groups with an indexed rest of at most ``threshold`` characters, divided by deletion variants.
+
+    The indexed rests of a group are its shortest, so that no rest is longer than twice the threshold.
+    """
+    if not 1 <= threshold <= MOST_DELETIONS:
+        return rows
+    return rows.select(F.explode(deletions(F.col("rest"), threshold)).alias("left"), "*").withColumn(
+        "key", F.xxhash64("key", "left")).drop("left")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -143,10 +171,10 @@ def similar_earlier(lines: DataFrame, docs: DataFrame, threshold: int, least: in
     rows = stored(_grouped(met.join(texts, ["h", "c"]).select("key", "h", "c", "first", "size", "indexed", rest.alias("rest"))), "groups")
     pairs = None
     while True:
-        small = (F.col("group_size") <= GROUP) | (F.char_length("rest") <= threshold)
-        found = _pairs(rows.where(small).drop("rest"))
+        small, short = F.col("group_size") <= GROUP, F.col("least_rest") <= threshold
+        found = _pairs(rows.where(small)).unionByName(_pairs(stored(_short(rows.where(~small & short), threshold), "short")))
         pairs = found if pairs is None else pairs.unionByName(found)
-        large = rows.where(~small)
+        large = rows.where(~small & ~short)
         if large.limit(1).count() == 0:
             break
         cut = once(large, "parts", segment_keys(F.col("rest"), F.char_length("rest"), threshold)).select(
