@@ -120,6 +120,15 @@ def test_pipeline(spark, duck, texts):
     assert 0 < len(rows) < len(texts)
 
 
+def test_short_lines_of_their_own_keep_a_document(spark):
+    head = "one header that all of them share"
+    texts = {1: f"{head}\nrose", 2: f"{head}\nrose\n \n", 3: f"{head}\nrose\nlily", 4: f"lily\n{head}\nrose", 5: head,
+             6: f"{head}\n\u82b1", 7: "rose\nlily", 8: f"{head}\noak\noak"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {1: texts[1], 3: "rose\nlily", 6: "\u82b1", 7: texts[7], 8: "oak\noak"}
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for name, stage in corpus_pipeline.STAGES[:-1]:
