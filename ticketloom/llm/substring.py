@@ -1,4 +1,4 @@
-"""Removal of repeated passages by level-wise doubling of window lengths.
+"""Removal of repeated passages by one doubling of the window length.
 
 A window of words can only repeat when both of its halves repeat. So windows of half the length are
 looked at first, and only those that repeat are extended to the full length. On the first level
