@@ -91,6 +91,42 @@ def previous_row(df: DataFrame, group: str, buckets: list[Column], order: list[s
     return done
 
 
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` sorted over range partitions and settled; ``_at`` counts rows from the partition's number
+    times 2**33 on."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(ordered.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Add ``name``: the place of each row in ``order``, from 0 and without gaps.
+
+    Range partitions are sorted side by side; one count per partition, summed up, moves each partition's
+    places. Rows equal in all of ``order`` end up in one partition: add a column that tells them apart.
+    """
+    placed = _placed(df, order)
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition.
+    starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        name, F.col("_start") + F.col("_at") % F.lit(1 << 33)).drop("_part", "_start", "_at")
+
+
+def running_totals(df: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the same group in front of each row.
+
+    ``group`` columns hold no NULL, and ``order`` sorts inside a group. A group may span many range
+    partitions: sums per (group, partition) are added up, and a window runs only inside one partition's share.
+    """
+    placed = _placed(df, [*[F.col(c).asc() for c in group], *order]).withColumn("_part", F.shiftright("_at", 33))
+    sums = settle(placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum")))
+    starts = sums.select(*group, "_part", (F.sum("_sum").over(W.partitionBy(*group).orderBy("_part")) - F.col("_sum")).alias("_start"))
+    inside = W.partitionBy(*group, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    return placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, [*group, "_part"]).withColumn(
+        name, F.col(name) + F.col("_start")).drop("_part", "_start", "_at")
+
+
 def shared_location(spark: SparkSession) -> str:
     """Folder that all executors reach: spark.checkpoint.dir; the warehouse when all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
