@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import balltree, bpe, chat, decontaminate, langid, lines, secretscan, setsketch, substring, warc
+from . import (balltree, bpe, chat, conversations, decontaminate, langid, lines, mixing, secretscan, setsketch, spelling,
+               substring, warc)
 from .shared import stored
 
 
@@ -101,10 +102,44 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults; NULLs become one space."""
+    def cell(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    h = F.crc32(F.concat(cell("conv_id"), F.lit(":"), cell("turn"))) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(cell("text"), "[.!?]", "")).otherwise(cell("text"))
+    turn = F.struct("conv_id", "turn", F.when(h == 4, "user").otherwise(cell("role")).alias("role"), text.alias("text"))
+    return rows.where(h != 0).select(F.inline(F.array_repeat(turn, F.when(h == 3, 2).otherwise(1))))
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    report, turns = conversations.repaired(damaged(rows))
+    digests = conversations.digests(turns)
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    found = ids.join(report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").join(
+        digests, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), spoil_every=199)).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_substring": op2_substring,
     "op3_warc": op3_warc, "op4_lines": op4_lines, "op5_top_k": op5_top_k, "op6_near_duplicates": op6_near_duplicates, "op7_secrets": op7_secrets,
     "op8_decontaminate": op8_decontaminate, "op9_chat": op9_chat, "op10_language": op10_language,
+    "op11_repair": op11_repair, "op12_mix": op12_mix, "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -233,3 +268,102 @@ SELECT conv_id, count(*) AS n_turns,
     AND (after IS NOT NULL OR role = 'assistant')) AS valid
 FROM n GROUP BY conv_id
 """
+
+
+def _crc32(list_of_bytes: str) -> str:
+    """CRC-32 of a list of bytes; needs the table ``crc`` with the list ``t``."""
+    return f"xor(list_reduce({list_of_bytes}, lambda c, b: xor(t[1 + xor(c, b) % 256], c // 256), 4294967295), 4294967295)"
+
+
+_CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(
+    [8, 7, 6, 5, 4, 3, 2, 1]::BIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, n)) AS t)"""
+
+
+def _label(before: str, cost: str, edit: str, lines: str = "[]") -> str:
+    return f"CASE WHEN {before} IS NOT NULL THEN {{'c': {before}.c + {cost}, 'e': {before}.e || '{edit}', 't': {before}.t || {lines}}} END"
+
+
+def _changed(column: str, after: str) -> str:
+    """The best label of a last role once the next turn is dealt with: it is deleted, kept or renamed behind ``after``."""
+    name = {"u": "user", "a": "assistant"}.get(column)
+    best = [_label(column, "4", "D")]
+    if name:
+        best += [f"CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = '{column}' THEN {_label(after, 'fee', 'K', '[line]')} END",
+                 f"CASE WHEN fault NOT IN (1, 2) THEN {_label(after, 'fee + 3', 'R', f'[{chr(39)}{name}:{chr(39)} || text]')} END"]
+    elif column == "s":
+        best.append(f"CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = 's' THEN {_label(after, 'fee', 'K', '[line]')} END")
+    return f"least({', '.join(best)})" if len(best) > 1 else best[0]
+
+
+_NO_LABEL = "CAST(NULL AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR[]))"
+SQL["op11_repair"] = f"""
+WITH RECURSIVE {_CRC},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (SELECT raw.*, {_crc32("list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))")} % 20 AS h FROM raw, crc),
+dealt AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM dealt),
+turns AS (SELECT *, role || ':' || text AS line, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS fee,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM (
+  SELECT *, CASE WHEN said = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed)),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS p, CAST({{'c': 0, 'e': '', 't': []}} AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR[])) AS n,
+    {_NO_LABEL} AS s, {_NO_LABEL} AS u, {_NO_LABEL} AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, p, {_changed("n", "")}, {_changed("s", "n")}, {_changed("u", "least(n, s, a)")}, {_changed("a", "u")} FROM (
+    SELECT w.conv_id, w.p, n, s, u, least(a, {_label("u", "3", "I", "['assistant:']")}) AS a, role, text, line, fault, fee FROM (
+      SELECT conv_id, p, n, s, a, least(u, {_label("least(n, s, a)", "3", "I", "['user:']")}) AS u FROM walk) w
+    JOIN (SELECT conv_id AS of, p AS q, role, text, line, fault, fee FROM turns) r ON r.of IS NOT DISTINCT FROM w.conv_id AND r.q = w.p + 1)
+    x(conv_id, p0, n, s, u, a, role, text, line, fault, fee), LATERAL (SELECT p0 + 1 AS p)),
+ends AS (SELECT conv_id, least(n, a, {_label("least(u, " + _label("s", "3", "I", "['user:']") + ")", "3", "I", "['assistant:']")}) AS best
+  FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (bad) AS illegal FROM turns GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.e AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+SQL["op12_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
+  md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
+b AS (SELECT CAST(1.5 AS DOUBLE) * CAST(sum(source_size) AS DOUBLE) AS budget FROM s),
+l AS (SELECT *, budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM r, b),
+level AS (SELECT rest, weights FROM l WHERE w * rest / weights <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(cap, w * rest / weights) AS target FROM r, level),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+o AS (SELECT d.*, source_size, target, quota, coalesce(sum(size) OVER (
+  PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size
+  + greatest(0, least(size, quota % source_size - ahead)) END AS BIGINT) AS taken FROM o
+"""
+
+_BYTES = "list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT))"
+SQL["op13_spelling"] = f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(
+  {_LOWER.format("text")}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {_crc32(_BYTES)} AS h FROM (
+  SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs), crc),
+spoiled AS (SELECT c, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spoiled WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+rests AS (
+  SELECT word, n, word AS rest, -1 AS i FROM words
+  UNION SELECT word, n, left(word, i) || substr(word, i + 2), i FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INT) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM rests a JOIN rests b USING (rest)
+  WHERE a.word <> b.word AND (a.i = b.i OR least(a.i, b.i) = -1)),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min((-other_n, other)) AS top FROM near GROUP BY word),
+forms AS (SELECT word, n_near, CASE WHEN -top[1] >= 5 * n THEN top[2] END AS form, CASE WHEN -top[1] >= 5 * n THEN -top[1] END AS form_n FROM best),
+steps AS (SELECT word, word AS goal, 0 AS k FROM words UNION ALL
+  SELECT steps.word, form, k + 1 FROM steps JOIN forms ON forms.word = goal WHERE form IS NOT NULL),
+last AS (SELECT word, max_by(goal, k) AS root FROM steps GROUP BY word)
+SELECT w.word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM words w LEFT JOIN forms USING (word) JOIN last USING (word)
+"""
