@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,17 @@ def test_bpe_equals_the_library():
     ours = list(coder.encode(texts))
     assert ours == [np.array(e.ids, "<u4").tobytes() for e in theirs]
     assert [coder.decode(o) for o in ours] == [library.decode(e.ids, skip_special_tokens=False) for e in theirs]
+    every = pa.array([None, *ours, b""], pa.binary())
+    assert coder.texts(every[1:]).to_pylist() == [library.decode(e.ids, skip_special_tokens=False) for e in theirs] + [""]
+    assert coder.texts(every[:0]).to_pylist() == []
+
+
+def test_near_texts_are_cut_as_others():
+    coder, r = bpe.Codec(bpe.vocabulary(PATH)), random.Random(8)
+    pool = [chr(c) for c in range(bpe.NEAR)] + ["'s", "'re", " ", "  ", "\n\n", "Ünï"] * 20
+    for text in fuzz(5, 500) + ["".join(r.choices(pool, k=60)) for _ in range(3000)]:
+        if not coder.far.search(text):
+            assert coder.near_word.findall(text) == coder.word.findall(text)
 
 
 def test_bpe_memory_starts_anew(monkeypatch):

@@ -11,10 +11,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -22,8 +24,12 @@ from .shared import arrow_map, picked
 
 # Fixed value: how byte-level vocabularies cut a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Words whose tokens a worker remembers; beyond it the memory starts anew.
-MOST_WORDS = 200_000
+# Texts whose letters all lie below this code point are cut by plain classes of characters.
+NEAR = 0x250
+# Words whose tokens a worker remembers at least; it holds up to twice as many, and those used of late stay.
+MOST_WORDS = 300_000
+# Bytes at the end of a prefix by which the lengths of tokens that may end it are looked up.
+TAIL = 4
 # Pairs of neighbouring tokens whose fit a worker remembers.
 MOST_PAIRS = 300_000
 
@@ -36,6 +42,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _near_word() -> re.Pattern:
+    """WORD for texts below NEAR, where the classes are listed; what starts with a letter is tried first."""
+    letter, number, space = ("".join(re.escape(chr(c)) for c in range(NEAR) if regex.match(p, chr(c))) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -44,9 +56,11 @@ class Codec:
         letters = _byte_letters()
         self.ids = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.tokens = {i: token for token, i in self.ids.items()}
-        self.reach: dict[bytes, int] = {}  # last two bytes -> length of the longest such token
+        self.longer: dict[bytes, set[int]] = {}  # last bytes -> lengths of the longer tokens that end so
         for token in self.ids:
-            self.reach[token[-2:]] = max(self.reach.get(token[-2:], 1), len(token))
+            if len(token) > TAIL:
+                self.longer.setdefault(token[-TAIL:], set()).add(len(token))
+        self.lengths: dict[bytes, tuple[int, ...]] = {}
         self.packed = {i: i.to_bytes(4, "little") for i in self.tokens}
         self.rank, self.parts, self.merges = dict.fromkeys(self.tokens, -1), {}, {}
         for rank, merge in enumerate(spec["model"]["merges"]):
@@ -59,15 +73,22 @@ class Codec:
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens |= {i: content.encode() for content, i in added.items()}
         self.added = {content: i.to_bytes(4, "little") for content, i in added.items()}
+        self.table = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_binary())
         longest_first = sorted(added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
-        self.word = regex.compile(WORD)
+        self.word, self.near_word, self.far = regex.compile(WORD), _near_word(), re.compile(f"[^\\x00-{chr(NEAR - 1)}]")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
 
-    def forget(self) -> None:
-        """Give back what was remembered of words and pairs."""
-        self.known, self.fitting = {}, {}
+    def ending(self, tail: bytes) -> tuple[int, ...]:
+        """Lengths of the tokens that may end a prefix with these last bytes, longest first."""
+        longer = self.longer.get(tail, ()) if len(tail) == TAIL else ()
+        short = [n for n in range(1, len(tail) + 1) if tail[-n:] in self.ids]
+        if len(self.lengths) > MOST_PAIRS:
+            self.lengths.clear()
+        found = self.lengths[tail] = (*sorted(longer, reverse=True), *reversed(short))
+        return found
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave a border between two neighbouring tokens.
@@ -90,7 +111,7 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode new words in trie order and remember them."""
-        find, fitting, reach = self.ids.get, self.fitting, self.reach.get
+        find, fitting, lengths = self.ids.get, self.fitting, self.lengths.get
         tokens, packed, known = self.tokens, self.packed, self.known
         if len(fitting) > MOST_PAIRS:
             fitting.clear()
@@ -102,23 +123,22 @@ class Codec:
                 depth += 1
             del last[depth + 1:]
             for end in range(depth + 1, size + 1):
-                start = end - reach(word[end - 2:end] if end > 1 else word[:1], 1)
-                if start <= 0:
-                    token = find(word[:end])
-                    if token is not None:
-                        last.append(token)
+                tail = word[end - TAIL:end] if end > TAIL else word[:end]
+                for length in lengths(tail) or self.ending(tail):
+                    start = end - length
+                    if start < 0:
                         continue
-                    start = 1
-                while True:
                     token = find(word[start:end])
-                    if token is not None:
-                        pair = (last[start], token)
-                        fit = fitting.get(pair)
-                        if fit is None:
-                            fit = fitting[pair] = self.fits(*pair)
-                        if fit:
-                            break
-                    start += 1
+                    if token is None:
+                        continue
+                    if not start:
+                        break
+                    pair = (last[start], token)
+                    fit = fitting.get(pair)
+                    if fit is None:
+                        fit = fitting[pair] = self.fits(*pair)
+                    if fit:
+                        break
                 last.append(token)
             path, end, found = word, size, []
             while end:
@@ -131,19 +151,42 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [self.cut.split(t) if self.cut else [t] for t in texts]
-        words = [[[p] if p in self.added else self.word.findall(p) for p in pieces] for pieces in cut]
-        wanted = {w for pieces in words for piece in pieces for w in piece}
+        words = [[[p] if p in self.added else (self.word if self.far.search(p) else self.near_word).findall(p) for p in pieces]
+                 for pieces in cut]
+        wanted = set().union(*(piece for pieces in words for piece in pieces))
         if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        self.learn({w for w in wanted if w not in self.known and w not in self.added})
-        known, added = self.known, self.added
+            self.known, self.before = {}, self.known
+        known, before, added = self.known, self.before, self.added
+        wanted.difference_update(known, added)
+        again = wanted.intersection(before)
+        known.update((w, before[w]) for w in again)
+        self.learn(wanted.difference(again))
         for pieces, source in zip(words, cut):
             yield b"".join([
                 added[p] if p in added else b"".join([known[w] for w in piece]) for p, piece in zip(source, pieces)])
 
     def decode(self, ids: bytes) -> str:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        return self.texts(pa.array([ids], pa.binary()))[0].as_py()
+
+    def texts(self, ids: pa.Array) -> pa.Array:
+        """Text of each row of ``ids`` (binary, little-endian unsigned 32-bit).
+
+        The tokens of all rows are taken in one step; where the rows begin, their text begins. What is no UTF-8
+        is replaced, row by row.
+        """
+        size, (_, borders, values) = len(ids), ids.buffers()
+        starts = np.frombuffer(borders, np.int32)[ids.offset:ids.offset + size + 1]
+        every = np.frombuffer(values or b"", "<u4", starts[-1] // 4)[starts[0] // 4:]
+        found = self.table.take(pa.array(every))
+        if found.null_count:
+            raise ValueError("an id that the vocabulary does not have")
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+        content = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), size, [None, pa.py_buffer(offsets[(starts - starts[0]) // 4].tobytes()), found.buffers()[2]])
+        try:
+            return content.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in content.to_pylist()], pa.string())
 
 
 _codecs: dict[str, Codec] = {}
@@ -179,12 +222,10 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     def run(batches):
         coder = codec(shared.value)
         for batch in batches:
-            ids = list(coder.encode([t or "" for t in batch.column(1).to_pylist()]))
+            ids = pa.array(coder.encode([t or "" for t in batch.column(1).to_pylist()]), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
-                 pa.array([coder.decode(i) for i in ids], pa.string())],
+                [batch.column(0), pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), 4), ids, coder.texts(ids)],
                 names=["doc_id", "n_tokens", "ids", "decoded"])
-        coder.forget()
 
     return arrow_map(picked(docs, doc_id=doc_id, text=text), run, schema)
 
@@ -200,7 +241,6 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             ids = [np.frombuffer(i, "<i4") for i in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-        coder.forget()
 
     return arrow_map(picked(docs, doc_id=doc_id, text=text), run, schema)
 
@@ -213,7 +253,9 @@ def decoded(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
     def run(batches):
         coder = codec(shared.value)
         for batch in batches:
-            texts = [None if i is None else coder.decode(np.array(i, "<u4").tobytes()) for i in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            rows = batch.column(1)
+            texts = coder.texts(pa.array([np.array(i or [], "<u4").tobytes() for i in rows.to_pylist()], pa.binary()))
+            texts = pc.if_else(rows.is_null(), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "text"])
 
     return arrow_map(picked(rows, doc_id=doc_id, ids=ids), run, schema)
