@@ -61,9 +61,25 @@ def test_no_python_and_no_pair_products(spark):
             assert bad not in text, (name, bad)
 
 
-def test_dedup_limits_before_the_shuffle(spark):
+def test_dedup_reads_raw_rows_once(spark):
     text = plan(QUERIES["dedup_canonical"](spark, SF))
-    assert re.search(r"WindowGroupLimit .*Final[\s\S]*Exchange hashpartitioning\(ticket_id[\s\S]*WindowGroupLimit .*Partial", text)
+    assert text.count("FileScan") == 1 and "Window" not in text and "Join" not in text
+    assert re.search(r"partial_min_by[\s\S]*", text)
+
+
+def test_one_week_reads_its_partitions(spark):
+    from ticketloom.catalog import queries as CQ
+    from ticketloom.plans import one_week
+
+    rows = one_week.week_slice(CQ._landed(spark, SF), CQ.LANDED_WEEK)
+    filters = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan(rows))
+    assert filters and all(f for f in filters)
+    assert any("week_start" in f for f in filters) and any("resolved_week" in f for f in filters)
+
+
+def test_terms_need_no_shuffle_by_document(spark):
+    text = plan(QUERIES["group_top_terms_tickets"](spark, SF))
+    assert "hashpartitioning(ticket_id" not in text.split("InMemoryRelation")[0]
 
 
 def test_unused_arrival_position_costs_nothing(spark):

@@ -62,6 +62,44 @@ def test_several_files_keep_the_order_of_their_names(spark, tmp_path):
     assert order == ["T1"] + [f"T{i}" for i in range(1, 400)] + ["T1"]
 
 
+def test_more_files_than_may_be_broadcast(spark, tmp_path):
+    folder = tmp_path / "export"
+    folder.mkdir()
+    for i in range(30):
+        write_tickets(folder / f"p{i:02}.csv", *[ticket(ticket_id=f"T{i}-{k}") for k in range(i % 3)])
+    rows = RD.read_csv(spark, str(folder), S.TICKET_COLUMNS, position=True)
+    small, large = (RD.with_sequence(rows, start=5, max_broadcast_rows=n) for n in (1000, 3))
+    order = [r.ticket_id for r in large.orderBy("raw_seq").collect()]
+    assert order == [f"T{i}-{k}" for i in range(30) for k in range(i % 3)]
+    assert {(r.ticket_id, r.raw_seq) for r in small.collect()} == {(r.ticket_id, r.raw_seq) for r in large.collect()}
+    assert min(r.raw_seq for r in small.collect()) >= 5
+
+
+def test_merged_exports_equal_one_reading(spark, make):
+    import random
+    rng = random.Random(4)
+    rows = [ticket(ticket_id=f"T{rng.randrange(12)}", source_system=rng.choice(["helpdesk", "legacy_fd"]), customer_message=str(i)) for i in range(60)]
+    raw = make.raw(*rows)
+    whole = {tuple(r) for r in dedup.best_rows(dedup.state(raw)).collect()}
+    parts = [dedup.state(raw.where(f"raw_seq between {a} and {b}")) for a, b in ((0, 24), (25, 40), (41, 59))]
+    assert {tuple(r) for r in dedup.best_rows(dedup.merged(parts[0], dedup.merged(parts[2], parts[1]))).collect()} == whole
+    assert {tuple(r) for r in dedup.canonical(raw).collect()} == whole
+    for r in dedup.canonical(raw).collect():
+        own = [(x["source_system"] != "helpdesk", i) for i, x in enumerate(rows) if x["ticket_id"] == r.ticket_id]
+        assert (r.raw_seq, r.first_seq, r.copies) == (min(own)[1], min(i for _, i in own), len(own))
+        assert r.other_system == (len({later for later, _ in own}) > 1)
+
+
+def test_document_lines_keep_their_order(spark, tmp_path):
+    import glob
+    rows = spark.range(2000).selectExpr("concat('s', id % 3) AS section", "id AS key", "IF(id % 2 = 0, 1.5D, NULL) AS value").repartition(7)
+    WR.write_lines(rows, str(tmp_path / "doc"), ["section", "key"])
+    lines = [json.loads(x) for f in sorted(glob.glob(f"{tmp_path}/doc/part-*")) for x in open(f)]
+    assert [(x["section"], x["key"]) for x in lines] == sorted((f"s{i % 3}", i) for i in range(2000))
+    assert all(("value" in x) == (x["key"] % 2 == 0) for x in lines)
+    assert RD.read_lines(spark, str(tmp_path / "doc"), "section string, key long, value double").exceptAll(rows).count() == 0
+
+
 def test_a_file_with_another_header_fails(spark, tmp_path):
     folder = tmp_path / "export"
     folder.mkdir()

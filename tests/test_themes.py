@@ -166,3 +166,27 @@ def test_emerging(spark):
 @pytest.mark.parametrize("before", [[], ["x1 y1 z1"] * 5])
 def test_emerging_needs_a_baseline(spark, before):
     assert TM.emerging_terms(weekly_texts(spark, ["aa bb cc"] * 5, before), "week", "text", 7).collect() == []
+
+
+def test_combined_searches_find_what_each_pattern_finds(spark):
+    """Rules that share beginnings, texts inside one another, and forms that no search covers."""
+    import random
+    import re
+    from ticketloom.functions.text import combined_searches, hit_counts
+    word = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
+    patterns = {
+        "a": [r"\bpay\b", r"\bpayment\b", r"\bpay\w*\b", r"\bpa\w*\b", r"\bcharged twice\b", r"\bcharg\w*\b"],
+        "b": [r"\bconnect\w*\b", r"\bdisconnect\w*\b", r"\bdie[sd]?\b", r"\bwi-fi\b", r"\bwi\b", r"\blog in\b", r"\blog\b"],
+        "c": [word % "la", word % "las", word % "l", r"\bpay\b"], "d": []}
+    every = [p for each in patterns.values() for p in each]
+    searches, covered = combined_searches(every)
+    assert len(searches) < len(set(every)) - 4 and set(every) - set(covered) == {r"\bdie[sd]?\b"}
+    rng = random.Random(9)
+    pool = ["pay", "payment", "pays", "pa", "charged", "twice", "connect", "disconnected", "die", "died", "dies", "wi-fi", "wi", "log", "in",
+            "la", "las", "l", "repay", "Pay", "é", "_", "9", "-"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", " ", ",", "", "\n"]) for _ in range(rng.randint(0, 8))) for _ in range(800)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [re.compile(p.replace(r"[^\p{L}\p{N}_]", r"\W")) for p in every]
+    for r in frame.select("t", hit_counts(F.col("t"), patterns).alias("n")).collect():
+        hits = iter([bool(p.search(r.t)) for p in plain])
+        assert r.n == [sum(next(hits) for _ in each) for each in patterns.values()], r.t

@@ -565,6 +565,12 @@ def all_sql() -> dict[str, str]:
     sql["stable_row_keys"] = _q(RAW, "SELECT raw_seq, ticket_id, ticket_id || '__' || source_system || '__' || raw_seq AS stable_row_key FROM raw")
     sql["dedup_canonical"] = _q(TICKETS, "SELECT ticket_id, source_system, raw_seq, first_seq, status, channel FROM t")
     sql["dedup_quarantine"] = _q(TICKETS, "SELECT ticket_id, source_system, raw_seq FROM ordered WHERE rn > 1")
+    sql["dedup_merged"] = _q(RAW, """, numbered AS (SELECT * REPLACE (raw_seq + (raw_seq % 2) * (1::BIGINT << 45) AS raw_seq), raw_seq AS old_seq FROM raw)
+      SELECT ticket_id, source_system, raw_seq, min(raw_seq) OVER w AS first_seq, count(*) OVER w AS copies,
+        (min(source_system) OVER w) <> (max(source_system) OVER w) AS other_system, trim(status) AS status, trim(channel) AS channel,
+        ticket_id || '__' || source_system || '__' || old_seq AS stable_row_key
+      FROM numbered WINDOW w AS (PARTITION BY ticket_id)
+      QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY source_system <> 'helpdesk', raw_seq) = 1""")
     sql["parse_timestamps"] = _q(RAW, """SELECT raw_seq, strftime(try_cast(replace(created_at, 'T', ' ') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created,
       strftime(try_cast(first_response_at AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS first_response,
       try_cast(substring(created_at, 1, 10) AS DATE) AS created_day FROM raw""")
@@ -663,6 +669,7 @@ def all_sql() -> dict[str, str]:
     sql["actions_weekly"] = _q(DIGEST + "," + PAIRS + "," + FIGURES + "," + ACTIONS, "SELECT * FROM todo")
     sql["kpi_record"] = _q(KPI, "SELECT * FROM kpi")
     sql["kpi_record_one_week"] = _q(KPI, "SELECT * FROM kpi WHERE week_start = DATE '2024-01-08'")
+    sql["kpi_record_landed_week"] = sql["kpi_record_one_week"]
     digest = ASOF + "," + _themed("t", PO.DEFAULT_RULES) + "," + COUNTS + "," + PAIRS + "," + FIGURES + "," + ACTIONS
     sql["digest_rows"] = _q(digest + "," + _rising("t") + """,
       watch AS (SELECT week_start, coalesce(max(pct) FILTER (WHERE theme = 'Other / Unclassified'), 0)::DOUBLE AS pct,
@@ -686,6 +693,8 @@ def all_sql() -> dict[str, str]:
       UNION ALL SELECT week_start, 'rising', rank, term, NULL, gain, NULL, NULL FROM rising
       UNION ALL SELECT week_start, 'actions', row_number() OVER (PARTITION BY week_start ORDER BY action, subject), action || ': ' || subject, value, NULL, NULL, NULL FROM todo""")
 
+    sql["digest_landed_week"] = f"SELECT * FROM ({sql['digest_rows']}) WHERE week_start = DATE '2024-01-08' AND section <> 'rising'"
+
     measured = ["volume", "sla_breaches", "sla_missing", "csat_n", "contact_cost_inr", "transfers", "transfer_cost_inr", "sla_credit_inr",
                 "repeat_candidates", "repeat_same_issue", "tier1_agents", "specialist_agents", "unresolved_attendance", "response_rate_pct", "csat_mean"]
     sql["kpi_rows"] = _q(
@@ -698,6 +707,8 @@ def all_sql() -> dict[str, str]:
       UNION ALL SELECT week_start, 'cost_by_channel', channel_key, sum(rate)::BIGINT FROM wk GROUP BY week_start, channel_key
       UNION ALL SELECT grp.w, 'group_top_term', grp.g || ' # ' || rank || ' ' || term, score FROM top_terms""")
 
+    sql["kpi_document_lines"] = sql["kpi_rows"]
+    sql["quality_document_lines"] = sql["dq_report"]
     sql["group_top_terms"] = _q(_GROUPED_DOCS + "," + _tfidf("grouped"), "SELECT * FROM top_terms")
     sql["group_top_terms_weekly"] = _q(
         _GROUPED_DOCS + ", by_week AS (SELECT id, {'w': week_start, 'g': grp} AS grp, text FROM grouped)," + _tfidf("by_week"),
@@ -730,6 +741,9 @@ def all_sql() -> dict[str, str]:
     sql["prompt_payload"] = _q(DOCS, f"SELECT ticket_id, {item} AS item FROM docs")
     sql["prompt_batches"] = _q(DOCS, f"""SELECT first_seq // {B.RESPONSE_BATCH} AS batch_id, string_agg(ticket_id, ',' ORDER BY first_seq) AS ticket_ids,
       (length('{{"tickets":[]}}') + sum(length({item})) + count(*) - 1)::BIGINT AS payload_chars FROM docs GROUP BY 1""")
+    sql["prompt_batches_week"] = _q(DOCS, f"""SELECT place // {B.RESPONSE_BATCH} AS batch_id, string_agg(ticket_id, ',' ORDER BY place) AS ticket_ids,
+      count(*) AS tickets, md5('{{"tickets":[' || string_agg({item}, ',' ORDER BY place) || ']}}') AS payload_md5
+      FROM (SELECT *, row_number() OVER (ORDER BY first_seq) - 1 AS place FROM docs WHERE week_start = DATE '2024-01-08') GROUP BY 1""")
     sql["response_validate"] = _q(REPLIES, "SELECT * FROM judged")
     sql["response_merge"] = _q(DOC_THEMES + "," + REPLIES, """SELECT a.ticket_id, coalesce(g.theme, a.theme) AS theme, g.theme IS NOT NULL AS from_model
       FROM assigned a LEFT JOIN latest g USING (ticket_id)""")

@@ -12,7 +12,7 @@ from ..operators import (
     sampling as S, terms as TM, themes as TH, weekly as K,
 )
 from ..policy import DEFAULT_POLICY
-from ..plans import audit as A, digest as G, quality_report as QR
+from ..plans import audit as A, digest as G, one_week as OW, quality_report as QR
 from ..schemas import ROSTER_COLUMNS as S_ROSTER, SAMPLE_COLUMNS, TICKET_COLUMNS as S_TICKETS
 from ..sources import readers as RD, writers as WR
 
@@ -29,6 +29,15 @@ def dedup_canonical(spark, d):
         "ticket_id", "source_system", "raw_seq", "first_seq", "status", "channel")
 
 
+def dedup_merged(spark, d):
+    """A first export's landed state, merged with the state of a second one that repeats tickets of the first."""
+    raw = B.raw_tickets(spark, d)
+    old, new = (D.state(raw.where(f"raw_seq % 2 = {k}").withColumn("raw_seq", F.col("raw_seq") + k * (1 << 45))) for k in (0, 1))
+    landed = WR.land(old, _scratch(spark))
+    return D.best_rows(D.merged(landed, new)).select(
+        "ticket_id", "source_system", "raw_seq", "first_seq", "copies", "other_system", "status", "channel", "stable_row_key")
+
+
 def dedup_quarantine(spark, d):
     return D.quarantine(B.raw_tickets(spark, d)).select("ticket_id", "source_system", "raw_seq")
 
@@ -258,6 +267,24 @@ def kpi_record_one_week(spark, d):
     return G.for_week(kpi_record(spark, d), "2024-01-10")
 
 
+LANDED_WEEK = "2024-01-10"
+
+
+def _landed(spark, d):
+    """Tickets landed by created and resolved week."""
+    return OW.land_by_week(B.tickets(spark, d), _scratch(spark))
+
+
+def kpi_record_landed_week(spark, d):
+    """The record of one week from the partitions that it needs."""
+    return OW.kpi_record(_landed(spark, d), B.roster(spark, d), LANDED_WEEK)
+
+
+def digest_landed_week(spark, d):
+    """The digest of one week beside the week before, from the partitions that both need."""
+    return OW.digest(_landed(spark, d), B.roster(spark, d), LANDED_WEEK)
+
+
 def digest_rows(spark, d):
     return G.digest_rows(B.tickets(spark, d), B.roster(spark, d), rising=emerging_terms_tickets(spark, d))
 
@@ -401,6 +428,14 @@ def prompt_batches(spark, d):
         F.length("payload").cast("long").alias("payload_chars"))
 
 
+def prompt_batches_week(spark, d):
+    """Requests for the tickets of one week, which have gaps in their numbers: full ones but for the last."""
+    week = B.text_tickets(spark, d).where(F.col("week_start") == F.lit("2024-01-08").cast("date"))
+    return RS.payload_batches(week, B.RESPONSE_BATCH).select(
+        "batch_id", F.array_join("ticket_ids", ",").alias("ticket_ids"), F.size("ticket_ids").cast("long").alias("tickets"),
+        F.md5("payload").alias("payload_md5"))
+
+
 def _checked(spark, d):
     """Replies parsed once, and their verdicts."""
     from .. import scale
@@ -498,24 +533,32 @@ def review_evaluation(spark, d):
     return A.evaluation_report(_reviewed(spark, d))
 
 
+_LINE = "section string, key string, value double, predicted string, human_label string"
+
+
 def evaluation_document(spark, d):
-    """The evaluation as one JSON document, read back field by field."""
-    audit = factuality_audit_planted(spark, d)
-    docs = A.evaluation_document(B.labelled(spark, d), audit)
-    kinds = "struct<measures:map<string,double>,theme_errors:array<struct<item_id:string,predicted:string,human_label:string>>," \
-            "fp:array<string>,fn:array<string>,factuality:struct<checks:bigint,errors:bigint,error_rate:double,failed:map<string,bigint>>>"
-    doc = docs.select(F.from_json("document", kinds).alias("d")).select("d.*")
-    long = F.concat(
-        F.transform(F.map_entries("measures"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"))),
-        F.transform("theme_errors", lambda e: F.struct(
-            F.concat(F.lit("error "), e["item_id"], F.lit(" "), e["predicted"], F.lit(" "), e["human_label"]).alias("field"), F.lit(1.0).alias("value"))),
-        F.transform("fp", lambda e: F.struct(F.concat(F.lit("fp "), e).alias("field"), F.lit(1.0).alias("value"))),
-        F.transform("fn", lambda e: F.struct(F.concat(F.lit("fn "), e).alias("field"), F.lit(1.0).alias("value"))),
-        F.transform(F.map_entries("factuality.failed"), lambda e: F.struct(
-            F.concat(F.lit("failed "), e["key"]).alias("field"), e["value"].cast("double").alias("value"))),
-        F.array(*[F.struct(F.lit(f"factuality {c}").alias("field"), F.col(f"factuality.{c}").cast("double").alias("value"))
-                  for c in ("checks", "errors", "error_rate")]))
-    return doc.select(F.explode(long).alias("f")).select("f.*")
+    """The evaluation written as shards of lines, read back field by field and item by item."""
+    path = _scratch(spark)
+    WR.write_lines(A.evaluation_lines(B.labelled(spark, d), factuality_audit_planted(spark, d)), path, ["section", "key"])
+    section, key = F.col("section"), F.col("key")
+    item = F.when(section == "theme_errors", F.concat(F.lit("error "), key, F.lit(" "), "predicted", F.lit(" "), "human_label"))
+    return RD.read_lines(spark, path, _LINE).select(
+        F.when(section == "measures", key).when(section == "theme_errors", item).otherwise(F.concat_ws(" ", section, key)).alias("field"),
+        F.coalesce("value", F.when(section.isin("theme_errors", "fp", "fn"), 1.0)).alias("value"))
+
+
+def kpi_document_lines(spark, d):
+    """All weekly figures of all channels, states and terms, written as document lines and read back."""
+    path = _scratch(spark)
+    WR.write_lines(kpi_rows(spark, d), path, ["week_start", "measure", "key"])
+    return RD.read_lines(spark, path, "week_start date, measure string, key string, value double")
+
+
+def quality_document_lines(spark, d):
+    """All checks of the quality report, written as document lines and read back."""
+    path = _scratch(spark)
+    WR.write_lines(dq_report(spark, d), path, ["check", "scope"])
+    return RD.read_lines(spark, path, "check string, scope string, value long")
 
 
 def theme_explain_documents(spark, d):
@@ -559,6 +602,7 @@ def all_queries() -> dict[str, Query]:
         "stable_row_keys": stable_row_keys,
         "dedup_canonical": dedup_canonical,
         "dedup_quarantine": dedup_quarantine,
+        "dedup_merged": dedup_merged,
         "parse_timestamps": parse_timestamps,
         "parse_cells": parse_cells,
         "week_start": week_start,
@@ -636,9 +680,12 @@ def all_queries() -> dict[str, Query]:
         "roster_intervals": roster_intervals,
         "kpi_documents": kpi_documents,
         "quality_document": quality_document,
+        "kpi_document_lines": kpi_document_lines,
+        "quality_document_lines": quality_document_lines,
         "excerpts": excerpts,
         "prompt_payload": prompt_payload,
         "prompt_batches": prompt_batches,
+        "prompt_batches_week": prompt_batches_week,
         "response_validate": response_validate,
         "response_merge": response_merge,
         "label_coverage": label_coverage,
@@ -667,5 +714,7 @@ def all_queries() -> dict[str, Query]:
         "audit_summary": audit_summary,
         "kpi_record": kpi_record,
         "kpi_record_one_week": kpi_record_one_week,
+        "kpi_record_landed_week": kpi_record_landed_week,
+        "digest_landed_week": digest_landed_week,
         "digest_rows": digest_rows,
     }

@@ -1,6 +1,8 @@
 """Text expressions: excerpts, labels, tokens, n-grams, keyword hits."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .clean import _col, strip
@@ -42,12 +44,70 @@ def pair_method() -> Column:
         F.col("gap_days").cast("string"), F.lit("d"))
 
 
-def hits(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur in the text (each counted once)."""
-    total = F.lit(0)
-    for p in patterns:
-        total = total + text.rlike(p if p.startswith("(?U)") else "(?U)" + p).cast("int")
-    return total
+def _unicode(pattern: str) -> str:
+    return pattern if pattern.startswith("(?U)") else "(?U)" + pattern
+
+
+# A pattern that asks for a fixed text between borders: what stands before it, the text, what stands behind it.
+_BORDERED = re.compile(r"(\\b|\(\^\|\[[^\]]*\]\))([\w -]+)(\\w\*\\b|\\b|\(\$\|\[[^\]]*\]\))")
+
+
+def combined_searches(patterns: list[str]) -> tuple[list[str], dict[str, tuple[int, str]]]:
+    """Searches that find many patterns at once, and per pattern that one of them covers (search, text found).
+
+    Patterns with equal borders are one search, in which a look-ahead at every place names the text that
+    stands there between such borders. Of two texts one of which begins the other, only one could be named at a
+    place, so they are in different searches. Patterns of another form are in none.
+    """
+    searches: list[tuple[tuple[str, str], list[str]]] = []
+    covered: dict[str, tuple[int, str]] = {}
+    for pattern in dict.fromkeys(patterns):
+        found = _BORDERED.fullmatch(pattern)
+        if not found:
+            continue
+        before, text, behind = found.groups()
+        for i, (borders, texts) in enumerate(searches):
+            if borders == (before, behind) and not any(t.startswith(text) or text.startswith(t) for t in texts if t != text):
+                break
+        else:
+            i, texts = len(searches), []
+            searches.append(((before, behind), texts))
+        if text not in texts:
+            texts.append(text)
+        covered[pattern] = (i, text)
+    open_group = "(?:"
+    return [
+        f"(?U)(?={before.replace('(', open_group, 1)}({_alternatives(texts)}){behind.replace('(', open_group, 1)})"
+        for (before, behind), texts in searches], covered
+
+
+def _alternatives(texts: list[str]) -> str:
+    """Alternation that looks at the first letter once."""
+    by_letter: dict[str, list[str]] = {}
+    for text in texts:
+        by_letter.setdefault(text[0], []).append(text[1:])
+    return "|".join(letter + (rests[0] if len(rests) == 1 else f"(?:{'|'.join(rests)})") for letter, rests in by_letter.items())
+
+
+def hit_counts(text: Column, patterns: dict[str, list[str]]) -> Column:
+    """Array, in the order of ``patterns``: how many of a name's patterns occur in the text (each counted once).
+
+    The text is read once per combined search, not once per pattern.
+    """
+    searches, covered = combined_searches([p for each in patterns.values() for p in each])
+    found = F.struct(text.alias("text"), *[
+        F.array_distinct(F.regexp_extract_all(text, F.lit(search), F.lit(1))).alias(f"s{i}") for i, search in enumerate(searches)])
+
+    def counts(f: Column) -> Column:
+        def occurs(pattern: str) -> Column:
+            if pattern in covered:
+                i, words = covered[pattern]
+                return F.array_contains(f[f"s{i}"], words)
+            return f["text"].rlike(_unicode(pattern))
+        return F.array(*[sum((occurs(p).cast("int") for p in each), F.lit(0)) for each in patterns.values()])
+
+    # An array of one element names a value that is used several times.
+    return F.get(F.transform(F.array(found), counts), F.lit(0))
 
 
 def tokens(text: Column | str, stop_words: list[str], pattern: str = TOKEN) -> Column:

@@ -1,25 +1,59 @@
 """One row per ticket id across source systems, and typed columns on top of it."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clean as C
 from ..policy import DEFAULT_POLICY, SupportPolicy
 
 
+# A row that is not from the primary system comes after all that are.
+_LATER = 1 << 62
+
+
+def state(raw: DataFrame, primary: str = "helpdesk") -> DataFrame:
+    """What is known of each ticket id: the cells of its best row, and three columns to go on with.
+
+    ``order_key`` ranks the best row (primary system first, then arrival), ``first_seq`` is the position at which
+    the id first appeared, ``copies`` counts its rows and ``other_system`` says whether they come from several.
+    One aggregate finds all of it in one reading: rows are combined before the shuffle, so a ticket id with
+    very many copies reaches its task as one row per input partition, and columns that no later step
+    reads are not aggregated.
+    """
+    rank = F.col("raw_seq") + F.when(F.coalesce(F.col("source_system") == primary, F.lit(False)), 0).otherwise(_LATER)
+    rows = raw.withColumns({"order_key": rank, "first_seq": F.col("raw_seq"), "copies": F.lit(1).cast("long"),
+                            "low_system": F.col("source_system"), "high_system": F.col("source_system")})
+    return _combined(rows)
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    kept = {"ticket_id", "order_key", "first_seq", "copies", "low_system", "high_system"}
+    cells = [F.min_by(F.col(f"`{c}`"), "order_key").alias(c) for c in rows.columns if c not in kept]
+    return rows.groupBy("ticket_id").agg(
+        *cells, F.min("order_key").alias("order_key"), F.min("first_seq").alias("first_seq"), F.sum("copies").alias("copies"),
+        F.min("low_system").alias("low_system"), F.max("high_system").alias("high_system"))
+
+
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The state of two exports from the state of each; the same as that of both exports read at once.
+
+    Positions of the exports must not overlap: number a later export from behind the earlier one's last row
+    (``readers.read_tickets(..., start=...)``).
+    """
+    return _combined(old.unionByName(new))
+
+
+def best_rows(known: DataFrame) -> DataFrame:
+    """One row per ticket id of a state: the cells of its best row, first_seq, copies and other_system."""
+    return known.withColumn("other_system", F.col("low_system") != F.col("high_system")).drop("order_key", "low_system", "high_system")
+
+
 def canonical(raw: DataFrame, primary: str = "helpdesk") -> DataFrame:
     """Keep the first row of the primary system per ticket id, else the first row.
 
-    The rank filter lets Spark drop losing copies before the shuffle, so a ticket id with very
-    many copies reaches its task as one row per input partition. ``first_seq`` is the position
-    at which the ticket id first appeared; it costs nothing when no later step reads it.
+    Adds first_seq, copies and other_system, which cost nothing when no later step reads them.
     """
-    best = W.partitionBy("ticket_id").orderBy(F.col("source_system") != primary, "raw_seq")
-    kept = (
-        raw.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
-    )
-    arrival = raw.groupBy("ticket_id").agg(F.min("raw_seq").alias("first_seq"))
-    return kept.join(arrival, "ticket_id", "left")
+    return best_rows(state(raw, primary))
 
 
 def quarantine(raw: DataFrame, primary: str = "helpdesk") -> DataFrame:

@@ -21,9 +21,13 @@ def _has_replacement() -> Column:
 
 def duplicates(raw: DataFrame) -> DataFrame:
     """Repeated ticket ids of the raw export: groups, surplus rows, cross-system groups."""
-    per_id = raw.groupBy("ticket_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.min("source_system") != F.max("source_system")).alias("crossed"))
+    return repeated_ids(raw.groupBy("ticket_id").agg(
+        F.count(F.lit(1)).alias("copies"), (F.min("source_system") != F.max("source_system")).alias("other_system")))
+
+
+def repeated_ids(tickets: DataFrame) -> DataFrame:
+    """The same from canonical rows, which know how many copies they stand for."""
+    per_id = tickets.select(F.col("copies").alias("n"), F.col("other_system").alias("crossed"))
     return per_id.agg(
         F.count_if(F.col("n") > 1).alias("duplicate_ticket_id_groups"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("duplicate_extra_rows"),
@@ -102,21 +106,20 @@ def same_ticket_conflicts(tickets: DataFrame) -> DataFrame:
 def cross_ticket_orders(tickets: DataFrame) -> DataFrame:
     """Orders whose refund tickets and replacement tickets are different tickets.
 
-    One row per order, role and ticket. The disjointness test is a count per order, taken after
-    counting per (order, ticket); no list of an order's tickets is built.
+    One row per order, role and ticket. The marked tickets are computed once. Per order two flags and two counts
+    are enough to tell that the ticket sets are disjoint; they are combined before the shuffle, and the orders
+    found come back to the marked tickets as a membership filter, which Spark broadcasts or divides by its
+    measured size. No list of an order's tickets is built.
     """
-    marked = tickets.select(
+    marked = scale.settle(tickets.select(
         C.strip("order_id").alias("order_id"), "ticket_id",
         _has_refund().alias("refund"), _has_replacement().alias("replacement"),
-    ).where((F.col("order_id") != "") & (F.col("refund") | F.col("replacement")))
-    per_ticket = marked.groupBy("order_id", "ticket_id").agg(
-        F.max("refund").alias("refund"), F.max("replacement").alias("replacement"))
-    flagged = per_ticket.groupBy("order_id").agg(
-        F.count_if("refund").alias("r"), F.count_if("replacement").alias("p"),
+    ).where((F.col("order_id") != "") & (F.col("refund") | F.col("replacement"))))
+    disjoint = marked.groupBy("order_id").agg(
+        F.max("refund").alias("refunded"), F.max("replacement").alias("replaced"),
         F.count_if(F.col("refund") & F.col("replacement")).alias("both"),
-    ).where("r > 0 and p > 0 and both = 0").select("order_id")
-    hit = scale.spread_join(per_ticket, flagged, ["order_id"], ["ticket_id"], "inner")
-    return hit.select(
+    ).where("refunded and replaced and both = 0").select("order_id")
+    return marked.join(disjoint, "order_id", "left_semi").select(
         "order_id",
         F.when(F.col("refund"), F.lit("refund")).otherwise(F.lit("replacement")).alias("role"),
         "ticket_id")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import scale
 from ..functions import text as X
 from ..functions.clean import ratio
 
@@ -26,11 +27,14 @@ def payload_items(tickets: DataFrame, message_cut: int = MESSAGE_CUT, notes_cut:
 
 
 def payload_batches(tickets: DataFrame, batch_size: int = 20) -> DataFrame:
-    """Requests of at most ``batch_size`` tickets, cut by arrival position."""
+    """Requests of exactly ``batch_size`` tickets in order of arrival; only the last one may have fewer.
+
+    The tickets at hand are numbered without gaps first, so filters and de-duplication leave no request part-filled.
+    """
+    placed = scale.numbered(payload_items(tickets), [F.col("first_seq").asc(), F.col("ticket_id").asc()], "place")
     return (
-        payload_items(tickets)
-        .groupBy(F.expr(f"first_seq div {batch_size}").alias("batch_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("first_seq", "ticket_id", "item"))).alias("rows"))
+        placed.groupBy(F.expr(f"place div {batch_size}").alias("batch_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "ticket_id", "item"))).alias("rows"))
         .select(
             "batch_id", F.col("rows.ticket_id").alias("ticket_ids"),
             F.concat(F.lit('{"tickets":['), F.array_join("rows.item", ","), F.lit("]}")).alias("payload"))

@@ -24,18 +24,14 @@ def intervals(roster: DataFrame) -> DataFrame:
     return out
 
 
-def _covers(day: str):
-    return (F.col("valid_from") <= F.col(day)) & (
-        F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to")))
-
-
 def resolve(frame: DataFrame, roster: DataFrame, agent: str, day: str,
             max_broadcast_rows: int = scale.MAX_BROADCAST_ROWS) -> DataFrame:
     """As-of lookup: add ``entry``, the roster row valid for the agent on the day, or NULL.
 
     Overlapping rows: the latest start wins, then the first roster row. A roster within
     ``max_broadcast_rows`` is packed into one short list per agent and broadcast, which needs no
-    shuffle of the frame. A larger one is resolved once per distinct (agent, day) and looked up.
+    shuffle of the frame. A larger one is resolved once per distinct (agent, day) over dyadic ranges of days
+    and looked up.
     """
     rows = intervals(roster).where(F.col("valid_from").isNotNull())
     if scale.row_count_within(rows, max_broadcast_rows) <= max_broadcast_rows:
@@ -49,25 +45,30 @@ def resolve(frame: DataFrame, roster: DataFrame, agent: str, day: str,
         return joined.withColumn("entry", F.when(
             hit.isNotNull(), F.struct(*[hit[a].alias(a) for a in _ATTRS]))).drop("_spans")
 
-    asked = frame.where(F.col(day).isNotNull()).select(agent, day).distinct()
-    spans = rows.withColumnRenamed("agent_key", agent)
-    # Both sides are spread over the days an interval covers, one month at a time, so that an
-    # agent with very many intervals is divided over tasks.
-    month = (F.year(day) * 12 + F.month(day)).alias("_month")
-    lo, hi = asked.agg(F.min(day), F.max(day)).first()
-    low, high = F.lit(lo).cast("date"), F.lit(hi).cast("date")
-    start = F.greatest("valid_from", low)
-    end = F.least(F.coalesce("valid_to", high), high)
-    monthly = spans.where(start <= end).withColumn("_month", F.explode(F.sequence(
-        F.year(start) * 12 + F.month(start), F.year(end) * 12 + F.month(end))))
-    found = (
-        asked.select("*", month).join(monthly, [agent, "_month"]).where(_covers(day))
-        .groupBy(agent, day)
-        .agg(F.max_by(F.struct(*_ATTRS), F.struct("valid_from", -F.col("roster_seq"))).alias("entry"))
+    asked = scale.settle(frame.where(F.col(day).isNotNull()).select(agent, day).distinct())
+    low, high = asked.agg(F.min(day), F.max(day)).first()
+    if low is None:
+        return frame.withColumn("entry", F.lit(None).cast(_entry_type(rows)))
+    levels = ((high - low).days + 1).bit_length()
+    start, end = F.greatest("valid_from", F.lit(low)), F.least(F.coalesce("valid_to", F.lit(high)), F.lit(high))
+    # An interval is a few dyadic ranges of days; of all intervals on one range only the one that wins there is
+    # kept, so a day meets at most one row per level, however many intervals the agent has.
+    best = (
+        rows.where(start <= end)
+        .select(F.col("agent_key").alias(agent), F.struct("valid_from", (-F.col("roster_seq")).alias("early"), *_ATTRS).alias("_top"),
+                F.inline(scale.covering_nodes(F.datediff(start, F.lit(low)), F.datediff(end, F.lit(low)) + 1, levels)))
+        .groupBy(agent, "level", "node").agg(F.max("_top").alias("_top"))
     )
+    days = asked.select(agent, day, F.inline(scale.holding_nodes(F.datediff(day, F.lit(low)), levels)))
+    found = days.join(best, [agent, "level", "node"]).groupBy(agent, day).agg(F.max("_top").alias("_top")).select(
+        agent, day, F.struct(*[F.col(f"_top.{c}").alias(c) for c in _ATTRS]).alias("entry"))
     return scale.spread_join(frame, found, [agent, day], frame.columns, "left")
 
 
+def _entry_type(rows: DataFrame) -> str:
+    return "struct<" + ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in _ATTRS) + ">"
+
+
 def asof(tickets: DataFrame, roster: DataFrame, **kw) -> DataFrame:
     """Attendance tickets with the roster row valid on the day they were resolved."""
     rows = attendance(tickets).select(
@@ -144,13 +145,37 @@ def reconciliation(tickets: DataFrame, roster: DataFrame,
         F.col("board") + F.col("specialist") + F.col("unresolved") == F.col("attendance"))
 
 
+# Days from the year 0 to the year 9999 are fewer than 2 ** DAY_LEVELS.
+_DAY_ZERO, _DAY_LEVELS = "0000-01-01", 22
+
+
+def _containing(regular: DataFrame, reversed_spans: DataFrame) -> DataFrame:
+    """(agent_key, n): pairs of a reversed interval (lo, hi, m times) and a regular one (a, b, w times) that contains it.
+
+    Contained means a <= hi and lo <= b. The first condition is a prefix of days, which dyadic ranges of starts make
+    up; within a range a running count from the latest end down answers the second. No pair is formed, and a
+    range has at most one row per day.
+    """
+    place = lambda c: F.datediff(c, F.lit(_DAY_ZERO).cast("date"))
+    concerned = regular.join(reversed_spans.select("agent_key").distinct(), "agent_key", "left_semi")
+    zero = F.lit(0).cast("long")
+    ends = concerned.select("agent_key", F.col("b").alias("day"), F.col("w"), zero.alias("m"),
+                            F.inline(scale.holding_nodes(place("a"), _DAY_LEVELS)))
+    asked = reversed_spans.select("agent_key", F.col("lo").alias("day"), zero.alias("w"), F.col("m"),
+                                  F.inline(scale.covering_nodes(F.lit(0), place("hi") + 1, _DAY_LEVELS)))
+    per_day = ends.unionByName(asked).groupBy("agent_key", "level", "node", "day").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
+    later = W.partitionBy("agent_key", "level", "node").orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, 0)
+    return per_day.withColumn("reaching", F.sum("w").over(later)).groupBy("agent_key").agg(
+        F.sum(F.col("m") * F.col("reaching")).alias("n"))
+
+
 def overlaps(roster: DataFrame) -> DataFrame:
     """Overlapping interval pairs per agent, counted without forming the pairs.
 
     Two intervals are disjoint when one ends before the other starts. Starts and ends are
     counted per agent and day, and a running sum over the days gives the disjoint pairs; the
     rest of the k(k-1)/2 pairs overlap. Intervals that end before they start overlap exactly
-    those regular ones that contain them, and are counted apart.
+    those regular ones that contain them, and are counted apart by ``_containing``.
     """
     spans = intervals(roster).select(
         "agent_key",
@@ -172,10 +197,6 @@ def overlaps(roster: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("m"))
     grouped = regular.groupBy("agent_key", F.col("lo").alias("a"), F.col("hi").alias("b")).agg(
         F.count(F.lit(1)).alias("w"))
-    inside = (
-        scale.spread_join(grouped, reversed_spans, ["agent_key"], ["a", "b"], "inner")
-        .where("a <= hi and lo <= b")
-        .groupBy("agent_key").agg(F.sum(F.col("m") * F.col("w")).alias("n"))
-    )
+    inside = _containing(grouped, reversed_spans)
     return pairs.unionByName(inside).groupBy(F.col("agent_key").alias("agent_id")).agg(
         F.sum("n").alias("overlaps"))

@@ -90,9 +90,11 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     ``cap`` terms with the highest corpus count. Weights are tf * (ln((1+n)/(1+df)) + 1), scaled to
     unit length per document, averaged over all documents of the group.
 
-    Texts are cut into terms once; the bags of terms are kept for the second reading. The vocabulary
-    has at most ``cap`` rows per group, so its size is known from the number of groups before the
-    scan; it is broadcast within the bound and joined by shuffle beyond it.
+    Texts are cut into terms once; the bags of terms are kept for the second reading. Term counts are
+    combined before the shuffle. The vocabulary then comes to each document as one table of its group, so that weights
+    and the document's length are computed inside its row: documents are not shuffled by id. Tables have at
+    most ``cap`` terms per group; they are broadcast when the number of groups keeps them within the bound, and
+    joined by a shuffle that cuts large groups beyond it.
     """
     keys = _keys(group)
     stop = english_stop_words() if stop_words is None else stop_words
@@ -101,8 +103,8 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     groups = scale.row_count_within(sizes, bound)
     chosen = scale.lookup(docs.select(doc_id, *keys, text), sizes, keys, [doc_id], "inner", bound, groups)
     counted = scale.settle(bags(chosen, text, stop, pattern=pattern))
-    occurrences = unpack(counted, "bag", "b").select(
-        doc_id, *keys, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
+    occurrences = unpack(counted.select(*keys, "docs", "bag"), "bag", "b").select(
+        *keys, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
 
     corpus = occurrences.groupBy(*keys, "term").agg(
         F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.max("docs").alias("_n"))
@@ -112,16 +114,11 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
         .select(*keys, "term",
                 (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    if groups * cap <= bound:
-        weighted = occurrences.join(F.broadcast(vocabulary), [*keys, "term"])
-    else:
-        weighted = scale.spread_join(occurrences, vocabulary, [*keys, "term"], [doc_id], "inner")
-    weighted = weighted.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc_id)))
+    weighed = _beside(counted, scale.settle(_term_tables(vocabulary, keys)), keys, doc_id, groups * cap, "inner")
     scores = (
-        weighted.withColumn("w", F.col("w") / norm)
-        .groupBy(*keys, "term")
-        .agg((F.sum("w") / F.max("docs")).alias("raw_score"))
+        unpack(weighed.select(*keys, "docs", _unit_weights(F.col("bag"), F.col("slots")).alias("weights")), "weights", "x")
+        .groupBy(*keys, F.col("x.term").alias("term"))
+        .agg((F.sum("x.w") / F.max("docs")).alias("raw_score"))
         .withColumn("score", round_exact(F.col("raw_score"), 9))
     )
     best = W.partitionBy(*keys).orderBy(F.desc("score"), "term")
@@ -131,6 +128,49 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     )
 
 
+# Slots of a group's term table; a look-up reads one of them.
+_SLOTS = 256
+
+
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(_SLOTS)).cast("int")
+
+
+def _beside(docs: DataFrame, tables: DataFrame, keys: list[str], doc_id: str, entries: int, how: str) -> DataFrame:
+    """Documents with their group's table: broadcast when all tables have at most ``entries`` within the bound."""
+    if entries <= scale.MAX_BROADCAST_ROWS:
+        return docs.join(F.broadcast(tables), keys, how)
+    return scale.spread_join(docs, tables, keys, [doc_id], how)
+
+
+def _as_slots(filled: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda i: F.try_element_at(filled, i))
+
+
+def _term_tables(vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group: ``slots``, an array of _SLOTS short lists of (term, idf)."""
+    entries = vocabulary.groupBy(*keys, _slot(F.col("term")).alias("_at")).agg(
+        F.collect_list(F.struct("term", "idf")).alias("_entries"))
+    filled = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_entries"))).alias("_filled"))
+    return filled.select(*keys, _as_slots(F.col("_filled")).alias("slots"))
+
+
+def _unit_weights(bag: Column, slots: Column) -> Column:
+    """(term, w) of the bag's terms that the table knows: tf * idf, scaled to length 1."""
+    def look_up(b):
+        entry = F.get(F.filter(F.get(slots, _slot(b["term"])), lambda e: e["term"] == b["term"]), F.lit(0))
+        return F.struct(b["term"].alias("term"), (b["tf"] * entry["idf"]).alias("w"))
+
+    def scaled(known):
+        length = F.sqrt(F.aggregate(known, F.lit(0.0), lambda total, x: total + x["w"] * x["w"]))
+        return F.transform(F.arrays_zip(known.alias("k"), F.array_repeat(length, F.size(known)).alias("n")), lambda x: F.struct(
+            x["k"]["term"].alias("term"), (x["k"]["w"] / x["n"]).alias("w")))
+
+    # An array of one element names a value that is used several times.
+    known = F.filter(F.transform(bag, look_up), lambda x: x["w"].isNotNull())
+    return F.flatten(F.transform(F.array(known), scaled))
+
+
 def emerging_terms(docs: DataFrame, period: str, text: str, step: int,
                    stop_words: list[str] | None = None, k: int = 10, cap: int = 1000,
                    min_previous: int = 20, min_count: int = 3, pattern: str = TOKEN) -> DataFrame:

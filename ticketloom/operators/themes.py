@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import scale
 from ..functions import clean as C
-from ..functions.text import hits, ticket_text
+from ..functions.text import hit_counts, ticket_text
 from ..policy import DEFAULT_RULES, ThemeRules
 
 
@@ -19,10 +19,9 @@ def stored_theme(category: Column | str, rules: ThemeRules = DEFAULT_RULES) -> C
 
 def score_array(text: Column, rules: ThemeRules = DEFAULT_RULES) -> Column:
     """One (hits, order, theme) per theme; the maximum is the winner, ties to the earliest."""
-    return F.array(*[
-        F.struct(hits(text, patterns).alias("hits"), F.lit(-i).alias("order"),
-                 F.lit(theme).alias("theme"))
-        for i, (theme, patterns) in enumerate(rules.patterns.items())])
+    names = F.array(*[F.lit(theme) for theme in rules.patterns])
+    return F.transform(hit_counts(text, rules.patterns), lambda n, i: F.struct(
+        n.alias("hits"), (-i).alias("order"), F.get(names, i).alias("theme")))
 
 
 def theme_scores(tickets: DataFrame, rules: ThemeRules = DEFAULT_RULES) -> DataFrame:

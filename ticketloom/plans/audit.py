@@ -114,27 +114,32 @@ def evaluation_report(labelled: DataFrame) -> DataFrame:
     )
 
 
-def evaluation_document(labelled: DataFrame, audit: DataFrame) -> DataFrame:
-    """One JSON document: all measures, the wrong items of the sample, and what the audit found.
+def evaluation_lines(labelled: DataFrame, audit: DataFrame) -> DataFrame:
+    """The evaluation as document lines (section, key, value, predicted, human_label).
 
-    Item ids are those of a labelled sample, and failed checks are counted by kind, so every list is short.
+    Sections: ``measures``; ``theme_errors``, ``fp`` and ``fn``, a line per wrong item; ``factuality``, what the audit
+    checked; ``failed``, its failed checks by kind. Rows stay rows: no list is gathered, however many
+    items are wrong.
     """
-    measures = evaluation_report(labelled).agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("measure", "value")))).alias("measures"))
-    wrong = E.theme_errors(labelled).agg(F.array_sort(F.collect_list(
-        F.struct("item_id", "predicted", "human_label"))).alias("theme_errors"))
-    errors = E.confusion_errors(labelled).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "fp", F.col("item_id")))).alias("fp"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "fn", F.col("item_id")))).alias("fn"))
     n, bad = F.count(F.lit(1)), F.count_if(~F.col("ok"))
-    kinds = audit.groupBy("check").agg(n.alias("checks"), bad.alias("errors")).agg(
-        F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("errors") > 0, F.struct("check", "errors"))))).alias("failed"))
-    facts = kinds.select(F.struct(
-        "checks", "errors", C.ratio(F.col("errors"), F.col("checks")).alias("error_rate"), "failed").alias("factuality"))
-    out = measures
-    for part in (wrong, errors, facts):
-        out = out.unionByName(part, allowMissingColumns=True)
-    # Four rows, each with its own columns, become one.
-    out = out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
-    return out.select(F.to_json(F.struct(*out.columns)).alias("document"))
+    kinds = audit.groupBy("check").agg(n.alias("checks"), bad.alias("errors"))
+    totals = kinds.agg(F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
+    facts = totals.withColumn("error_rate", C.ratio(F.col("errors"), F.col("checks")))
+
+    def rows(frame, section, key, value=None, predicted=None, human_label=None):
+        return frame.select(
+            section.alias("section"), key.alias("key"), (F.lit(None) if value is None else value).cast("double").alias("value"),
+            *[(F.lit(None) if c is None else c).cast("string").alias(name) for name, c in (("predicted", predicted), ("human_label", human_label))])
+
+    cells = facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in facts.columns])))
+    parts = [
+        rows(evaluation_report(labelled), F.lit("measures"), F.col("measure"), F.col("value")),
+        rows(E.theme_errors(labelled), F.lit("theme_errors"), F.col("item_id"), None, F.col("predicted"), F.col("human_label")),
+        rows(E.confusion_errors(labelled), F.col("kind"), F.col("item_id")),
+        rows(cells, F.lit("factuality"), F.col("key"), F.col("value")),
+        rows(kinds.where("errors > 0"), F.lit("failed"), F.col("check"), F.col("errors")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -209,19 +209,24 @@ def _kpi_rows(tickets, roster, policy, terms):
 
 def kpi_documents(tickets: DataFrame, roster: DataFrame,
                   policy: SupportPolicy = DEFAULT_POLICY) -> DataFrame:
-    """One JSON document per week, for the JSON sink. Lists hold one entry per channel or status."""
-    def packed(frame, key, value, name):
-        return frame.groupBy("week_start").agg(F.map_from_entries(F.sort_array(
-            F.collect_list(F.struct(key, value)))).alias(name))
+    """One JSON document per week, for the JSON sink.
+
+    It holds the channels and states that the policy names; whatever else occurs is in ``kpi_rows``, which
+    ``writers.write_lines`` writes whole.
+    """
+    def packed(frame, key, known, value, name):
+        return frame.groupBy("week_start").agg(F.struct(*[
+            F.max(F.when(F.col(key) == k, value)).alias(k) for k in known]).alias(name))
     tickets = settled(tickets)
     record = _kpi_record(tickets, roster, policy)
     cost = K.contact_cost(tickets, policy).where(F.col("channel").isNotNull())
+    channels = list(policy.contact_rates)
     out = record
     for part in (
-        packed(K.channel_mix(tickets), F.col("channel"), F.col("pct"), "channel_mix"),
-        packed(K.status_mix(tickets), F.col("status"), F.struct("n", "pct"), "status_mix"),
-        packed(K.sla_breaches(tickets), F.col("channel"), F.col("breaches"), "sla_by_channel"),
-        packed(cost, F.col("channel"), F.col("cost_inr"), "cost_by_channel"),
+        packed(K.channel_mix(tickets), "channel", channels, F.col("pct"), "channel_mix"),
+        packed(K.status_mix(tickets), "status", policy.statuses, F.struct("n", "pct"), "status_mix"),
+        packed(K.sla_breaches(tickets), "channel", channels, F.col("breaches"), "sla_by_channel"),
+        packed(cost, "channel", channels, F.col("cost_inr"), "cost_by_channel"),
     ):
         out = out.join(part, "week_start", "left")
     return out.select("week_start", F.to_json(F.struct(*out.columns)).alias("document"))

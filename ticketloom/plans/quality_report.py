@@ -23,13 +23,18 @@ def _without_texts(tickets: DataFrame) -> DataFrame:
 def quality_report(raw: DataFrame, tickets: DataFrame, roster: DataFrame,
                    refs: dict[str, DataFrame | None] | None = None,
                    policy: SupportPolicy = DEFAULT_POLICY) -> DataFrame:
-    """All checks as (check, scope, value). A reference table that is absent gives NULL."""
+    """All checks as (check, scope, value). A reference table that is absent gives NULL.
+
+    Canonical rows know how many copies they stand for; the raw rows are read again only where ``tickets``
+    lack that.
+    """
+    known = "copies" in tickets.columns
     tickets = _without_texts(tickets)
     every = {c: None for c in ("order_id", "customer_id", "product_sku", "agent_id")} | (refs or {})
     crossed = Q.cross_ticket_orders(tickets).select("order_id").distinct().agg(
         F.count(F.lit(1)).alias("same_order_cross_ticket_pairs"))
     parts = [
-        Q.as_rows(Q.duplicates(raw)),
+        Q.as_rows(Q.repeated_ids(tickets) if known else Q.duplicates(raw)),
         Q.as_rows(Q.scalar_checks(tickets, policy=policy)),
         Q.as_rows(crossed),
         Q.as_rows(Q.overlap_total(roster)),

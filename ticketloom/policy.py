@@ -18,6 +18,7 @@ TIER2_MARKER = "Warranty"
 PRIMARY_SYSTEM = "helpdesk"
 LEGACY_SYSTEM = "legacy_fd"
 DONE_STATUSES = ("resolved", "closed")
+STATUSES = ("open", "pending", "resolved", "closed")
 
 # Stored category -> theme.
 CATEGORY_THEMES = {
@@ -70,6 +71,7 @@ class SupportPolicy:
     primary_system: str = PRIMARY_SYSTEM
     legacy_system: str = LEGACY_SYSTEM
     done_statuses: tuple[str, ...] = DONE_STATUSES
+    statuses: tuple[str, ...] = STATUSES
 
 
 @dataclass(frozen=True)

@@ -36,11 +36,11 @@ def lookup(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[str],
 def hot_keys(facts: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
     """(keys, parts): keys of ``facts`` with many rows, and into how many parts each is to be cut.
 
-    Rows are counted per key in partial sums. At most four keys per shuffle partition can be hot, so
-    the result may be broadcast.
+    Rows are counted per key in partial sums, once. At most four keys per shuffle partition can be hot,
+    so the result may be broadcast.
     """
     least = LEAST_HOT_ROWS if least is None else least
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = settle(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bound = max(least, math.ceil(total / (4 * partitions)))
@@ -108,9 +108,9 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position") -> Data
     part = F.shiftright("_at", 33).alias("_part")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition.
-    starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_ahead"))
     return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
-        name, F.col("_start") + F.col("_at") % F.lit(1 << 33)).drop("_part", "_start", "_at")
+        name, F.col("_ahead") + F.col("_at") % F.lit(1 << 33)).drop("_part", "_ahead", "_at")
 
 
 def running_totals(df: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
@@ -121,10 +121,29 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], value:
     """
     placed = _placed(df, [*[F.col(c).asc() for c in group], *order]).withColumn("_part", F.shiftright("_at", 33))
     sums = settle(placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum")))
-    starts = sums.select(*group, "_part", (F.sum("_sum").over(W.partitionBy(*group).orderBy("_part")) - F.col("_sum")).alias("_start"))
+    starts = sums.select(*group, "_part", (F.sum("_sum").over(W.partitionBy(*group).orderBy("_part")) - F.col("_sum")).alias("_ahead"))
     inside = W.partitionBy(*group, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     return placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, [*group, "_part"]).withColumn(
-        name, F.col(name) + F.col("_start")).drop("_part", "_start", "_at")
+        name, F.col(name) + F.col("_ahead")).drop("_part", "_ahead", "_at")
+
+
+def holding_nodes(place: Column, levels: int) -> Column:
+    """Array of (level, node): the dyadic ranges, of 2 ** level places each, that hold ``place`` (from 0)."""
+    return F.array(*[F.struct(F.lit(h).alias("level"), F.shiftright(place, h).alias("node")) for h in range(levels + 1)])
+
+
+def covering_nodes(first: Column, behind: Column, levels: int) -> Column:
+    """Array of (level, node): the fewest dyadic ranges that together are the places from ``first`` to before ``behind``.
+
+    At most two per level. A place lies in the interval exactly when one of them is among its holding nodes,
+    so that an interval join becomes an equality join without copies per place.
+    """
+    nodes = []
+    for h in range(levels + 1):
+        low, high = F.shiftright(first + ((1 << h) - 1), h), F.shiftright(behind, h)
+        for odd, node in ((low, low), (high, high - 1)):
+            nodes.append(F.when((low < high) & (odd % 2 == 1), F.struct(F.lit(h).alias("level"), node.alias("node"))))
+    return F.array_compact(F.array(*nodes))
 
 
 def shared_location(spark: SparkSession) -> str:

@@ -1,9 +1,9 @@
 """CSV and JSON readers. Every cell is read as text and trimmed; NULL becomes ''."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import schemas as S
+from .. import scale, schemas as S
 from ..functions import clean as C
 
 
@@ -29,17 +29,21 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, p
     return table.select(*cells)
 
 
-def with_sequence(rows: DataFrame, name: str = "raw_seq") -> DataFrame:
+def with_sequence(rows: DataFrame, name: str = "raw_seq", start: int = 0,
+                  max_broadcast_rows: int = scale.MAX_BROADCAST_ROWS) -> DataFrame:
     """Number the rows of ``read_csv(..., position=True)`` in read order.
 
     Files follow each other by path and rows by their place in the file, however Spark deals files to
-    tasks: the high bits are the file's rank, the low 40 bits count the rows from the file's first.
+    tasks: the high bits are the file's rank, the low 40 bits count the rows from the file's first. All numbers
+    are moved up by ``start``. The files are parsed once; their list is ranked over range partitions, and
+    broadcast only when it is counted within the bound.
     """
-    # A file is never split, so its rows have consecutive places; one row per file is broadcast.
+    rows = scale.settle(rows)
+    # A file is never split, so its rows have consecutive places.
     files = rows.groupBy("_file").agg(F.min("_place").alias("_start"))
-    ranked = files.withColumn("_rank", F.row_number().over(W.orderBy("_file")) - 1)
-    return rows.join(F.broadcast(ranked), "_file").withColumn(
-        name, F.shiftleft(F.col("_rank").cast("long"), 40) + F.col("_place") - F.col("_start")
+    ranked = scale.settle(scale.numbered(files, [F.col("_file").asc()], "_rank"))
+    return scale.lookup(rows, ranked, ["_file"], ["_place"], "inner", max_broadcast_rows).withColumn(
+        name, F.lit(start) + F.shiftleft(F.col("_rank").cast("long"), 40) + F.col("_place") - F.col("_start")
     ).drop("_file", "_place", "_start", "_rank")
 
 
@@ -48,17 +52,18 @@ def row_key(ticket_id="ticket_id", source="source_system", seq="raw_seq"):
     return F.concat_ws("__", ticket_id, source, F.col(seq).cast("string"))
 
 
-def read_tickets(spark: SparkSession, path: str, seq_column: str | None = None) -> DataFrame:
+def read_tickets(spark: SparkSession, path: str, seq_column: str | None = None, start: int = 0) -> DataFrame:
     """Ticket export with ``raw_seq`` and ``stable_row_key``.
 
-    ``seq_column`` names a position column of the export; without one the read order counts.
+    ``seq_column`` names a position column of the export; without one the read order counts, from ``start``
+    on. An export that is merged into an earlier one starts behind it.
     """
     if seq_column:
         rows = read_csv(spark, path, [*S.TICKET_COLUMNS, seq_column]).withColumn(
             "raw_seq", F.col(seq_column).cast("long"))
         rows = rows.drop(seq_column) if seq_column != "raw_seq" else rows
     else:
-        rows = with_sequence(read_csv(spark, path, S.TICKET_COLUMNS, position=True))
+        rows = with_sequence(read_csv(spark, path, S.TICKET_COLUMNS, position=True), start=start)
     return rows.withColumn("stable_row_key", row_key())
 
 
@@ -86,6 +91,11 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
         "version", "position", F.col("t.name").alias("name"), F.col("t.definition").alias("definition"))
 
 
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of a document written by ``writers.write_lines``."""
+    return spark.read.schema(schema).json(path)
+
+
 def optional(read, *args, **kw) -> DataFrame | None:
     """A reference table, or None when it cannot be read, so that checks on it give NULL."""
     from pyspark.errors import AnalysisException
