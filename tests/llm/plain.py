@@ -49,6 +49,19 @@ def cut_lines(docs, threshold, least):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs}
 
 
+def own_documents(docs, cut, least):
+    """(doc_id, text) of the documents that stay: those that lost nothing, or have a long line left, or a short one that no
+    earlier document has. ``docs`` are the rows before, ``cut`` the texts after lines were cut."""
+    def filled(text):
+        return [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
+    first = {}
+    for d, text in sorted(docs):
+        for line in filled(text or ""):
+            first.setdefault(line, d)
+    return [(d, cut[d]) for d, text in docs if cut[d] == text or any(
+        len(x) >= least or first[x] == d for x in filled(cut[d]))]
+
+
 def shingles(text, size):
     words = SPACE.findall(lower_ascii(text or ""))
     if not words:

@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB, and the others against plain Python."""
 import base64
 import hashlib
+import random
 import re
 
 import duckdb
@@ -10,7 +11,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ticketloom.llm import langid, queries
+from pyspark.sql import functions as F
+
+from ticketloom.llm import langid, lines, queries
+from ticketloom.llm.shared import hash_limit
 
 from . import plain
 
@@ -108,7 +112,7 @@ def test_pipeline(spark, duck, texts):
     kept = {r.doc_id for r in stages["language_id"](spark, docs, SF).select("doc_id").collect()}
     assert kept >= {d for d, t in texts.items() if len(langid.WORD.findall(t)) > 20}
     cut = plain.cut_lines([(d, t) for d, t in texts.items() if d in kept], 1, 20)
-    left = [(d, t) for d, t in cut.items() if t == texts[d] or any(len(x) >= 20 for x in t.split("\n"))]
+    left = plain.own_documents([(d, t) for d, t in texts.items() if d in kept], cut, 20)
     groups = plain.near_components(left, 5)
     first = [(d, t) for d, t in left if groups[d][1] == d]
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
@@ -129,6 +133,38 @@ def test_short_lines_of_their_own_keep_a_document(spark):
     assert got == {1: texts[1], 3: "rose\nlily", 6: "\u82b1", 7: texts[7], 8: "oak\noak"}
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Names that the operators use inside; the values come back as they were."""
+    names = ["new", "n_removed", "n_lines", "earlier", "score", "lang_pred", "line", "first", "row", "left", "lost", "id", "kept", "lines"]
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = rows.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    cut = lines.without_repeats(docs)
+    for r in cut.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names if n not in ("n_removed", "n_lines", "earlier"))
+        assert r.n_lines >= r.n_removed >= 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+
+
+def test_documents_with_lines_of_their_own_equal_brute_force(spark):
+    rng = random.Random(3)
+    pool = ["a header that many of them share", "a footer that many of them share too", "rose", "lily", " ", "", "oak", "one line of twenty or more", "elm"]
+    docs = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 4)))) for d in range(120)]
+    cut = plain.cut_lines(docs, 1, 20)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in lines.own_documents(frame).collect()) == sorted(plain.own_documents(docs, cut, 20))
+
+
+@pytest.mark.parametrize("rows", [10**4, 10**11, 10**15])
+def test_a_share_of_any_table_is_met(rows):
+    share = 8000 / rows
+    assert abs((hash_limit(share) + 2**63) / 2**64 - share) < share * 1e-3
+    assert hash_limit(1.0) == 2**63 - 1 and hash_limit(0.0) == -(2**63)
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .shared import arrow_map, picked
+from .shared import arrow_map, hash_limit, picked
 
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
@@ -107,9 +107,8 @@ def training_rows(docs: DataFrame, per_language: int, doc_id: str, text: str, la
     chosen = {r["lang"]: r["share"] for r in shares.collect()}
     if not chosen:
         return rows.select("text", "lang").limit(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]), F.col("lang"))
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    return rows.where(point < share).select("text", "lang")
+    limit = F.element_at(F.create_map(*[F.lit(x) for lang, share in chosen.items() for x in (lang, hash_limit(share))]), F.col("lang"))
+    return rows.where(F.xxhash64("doc_id") <= limit).select("text", "lang")
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

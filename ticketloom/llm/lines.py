@@ -223,19 +223,48 @@ def without_repeats(docs: DataFrame, threshold: int = 1, least: int = 20, doc_id
     neither lose lines nor make others lose any. Rows with equal ids count as one document: a line at the
     same place in both is one line.
     """
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "earlier")]
+    rows = _cut_rows(docs, kept, threshold, least, doc_id, text, max_broadcast_rows)
+    return rows.select(
+        *[F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept],
+        _size("lines").alias("n_lines"), (_size("lines") - _size("kept")).alias("n_removed"), "earlier")
+
+
+def _size(lines: str) -> Column:
+    return F.coalesce(F.when(F.col(lines).isNotNull(), F.size(lines)), F.lit(0)).cast("long")
+
+
+def _cut_rows(docs: DataFrame, columns: list[str], threshold: int, least: int, doc_id: str, text: str, max_broadcast_rows: int) -> DataFrame:
+    """(row, lines, kept, earlier) of each document; ``row`` holds its columns, which may have any name."""
     if not threshold < least or not 0 <= threshold <= 29:
         raise ValueError("least must exceed the threshold, and the band must fit a machine word")
-    own = picked(docs, doc_id=doc_id, text=text)
-    gone = dropped_lines(own, threshold, least, max_broadcast_rows)
-    # The row travels as one column, so that its own columns may have any name.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = dropped_lines(picked(docs, doc_id=doc_id, text=text), threshold, least, max_broadcast_rows)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     rows = rows.join(gone, F.col("row")[doc_id] == F.col("doc_id"), "left").select("row", "gone", "earlier")
     rows = once(rows, "lines", F.split(F.col("row")[text], "\n", -1))
-    kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", F.xxhash64(i, F.xxhash64(line))))
-    rows = once(rows, "kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
-    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return rows.select(
-        *[F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c)
-          for c in docs.columns if c not in ("n_lines", "n_removed", "earlier")],
-        size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_removed"),
-        F.coalesce("earlier", F.array().cast(gone.schema["earlier"].dataType)).alias("earlier"))
+    left = F.filter("lines", lambda line, i: ~F.array_contains("gone", F.xxhash64(i, F.xxhash64(line))))
+    rows = once(rows, "kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left))
+    return rows.select("row", "lines", "kept", F.coalesce("earlier", F.array().cast(gone.schema["earlier"].dataType)).alias("earlier"))
+
+
+def own_documents(docs: DataFrame, threshold: int = 1, least: int = 20, doc_id: str = "doc_id", text: str = "text",
+                  max_broadcast_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with repeated lines cut as by ``without_repeats``, and without the documents that have nothing of their own.
+
+    A document that lost a line goes when all that is left of it are blank lines and lines under ``least``
+    characters that a document with a smaller id has too, character by character. All columns stay as they
+    are but for the text, whatever they are called.
+    """
+    cut = stored(_cut_rows(docs, docs.columns, threshold, least, doc_id, text, max_broadcast_rows).select(
+        "row", F.array_join("kept", "\n").alias("left"), (_size("lines") > _size("kept")).alias("lost")), "cut")
+    filled = lambda c: F.filter(F.split(c, "\n", -1), lambda line: line.rlike(r"\S"))
+    whole = ~F.col("lost") | F.exists(filled("left"), lambda line: F.char_length(line) >= least)
+    doubtful = stored(cut.where(~whole).select(F.col("row")[doc_id].alias("id"), F.explode(filled("left")).alias("line")).distinct(), "doubtful")
+    short = picked(docs, id=doc_id, text=text).where("id is not null").select("id", F.explode(filled("text")).alias("line")).where(
+        F.char_length("line") < least)
+    first = stored(short.groupBy("line").agg(F.min("id").alias("first")).join(doubtful.select("line").distinct(), "line"), "first-short")
+    own = stored(doubtful.join(first, "line").where("id = first").select("id").distinct(), "own")
+    if own.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        own = F.broadcast(own)
+    rows = cut.join(own, F.col("row")[doc_id] == F.col("id"), "left").where(whole | F.col("id").isNotNull())
+    return rows.select(*[F.col("left").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

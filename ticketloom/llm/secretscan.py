@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import picked
+from .shared import hash_limit, picked
 
 # Fixed patterns: (kind, pattern, group whose length counts, least length).
 BASE = [
@@ -120,7 +120,7 @@ def labelled_strings(docs: DataFrame, most_docs: int = 8000, doc_id: str = "doc_
     """
     docs = picked(docs, doc_id=doc_id, text=text).where(F.col("text").isNotNull())
     share = min(1.0, most_docs / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = docs.where(F.xxhash64("doc_id", F.length("text")) <= F.lit(hash_limit(share)))
     kinds = _spans(F.col("text"))
     values = F.flatten(F.array(*[F.coalesce(s, F.array().cast("array<struct<start:int,end:int,value:string>>"))
                                  for s in kinds.values()]))

@@ -101,6 +101,14 @@ def except_for(docs: DataFrame, dropped: DataFrame, keys: dict[str, str], most:
     return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti")
 
 
+def hash_limit(share: float) -> int:
+    """The signed 64-bit number below which a hash lies with the probability ``share`` (from 0 to 1).
+
+    As fine as the hash, so that a sample of some thousand rows is one at any size of table.
+    """
+    return min(int(share * 2.0 ** 64), 2 ** 64 - 1) - 2 ** 63
+
+
 def lower_ascii(column):
     """A-Z in lower case and nothing else."""
     return F.translate(column, UPPER, LOWER)
