@@ -19,26 +19,17 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those between languages."""
-    judged = langid.with_language(docs, langid.fit(docs))
+    # The row travels as one column, so that its own columns may have any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    judged = langid.with_language(rows, langid.fit(docs))
     sure = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)
-    return judged.where(sure).select(*docs.columns)
+    return judged.where(sure).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated lines; a document that lost some goes when all that is left of it are blank lines and
-    short ones that earlier documents have too."""
-    least = 20
-    cut = stored(lines.without_repeats(docs, threshold=1, least=least), "cut")
-    filled = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"\S"))
-    whole = (F.col("n_removed") == 0) | F.exists(filled, lambda line: F.char_length(line) >= least)
-    doubtful = stored(cut.where(~whole).select("doc_id", F.explode(filled).alias("line")).distinct(), "doubtful")
-    short = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(filled).alias("line")).where(F.char_length("line") < least)
-    first = stored(short.groupBy("line").agg(F.min("doc_id").alias("first")).join(doubtful.select("line").distinct(), "line"), "first-short")
-    new = stored(doubtful.join(first, "line").where("doc_id = first").select("doc_id").distinct().withColumn("new", F.lit(True)), "new")
-    if new.limit(lines.MOST_BROADCAST_ROWS + 1).count() <= lines.MOST_BROADCAST_ROWS:
-        new = F.broadcast(new)
-    return cut.join(new, "doc_id", "left").where(whole | F.col("new").isNotNull()).select(
-        *[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Cuts repeated lines; a document that lost some goes when nothing of its own is left."""
+    cut = lines.own_documents(docs, threshold=1, least=20)
+    return cut.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
