@@ -72,7 +72,7 @@ def test_one_week_reads_its_partitions(spark):
     from ticketloom.plans import one_week
 
     rows = one_week.week_slice(CQ._landed(spark, SF), CQ.LANDED_WEEK)
-    filters = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan(rows))
+    filters = re.findall(r"PartitionFilters: \[(.+?), PushedFilters", plan(rows))
     assert filters and all(f for f in filters)
     assert any("week_start" in f for f in filters) and any("resolved_week" in f for f in filters)
 

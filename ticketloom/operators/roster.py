@@ -131,9 +131,10 @@ def reconciliation(tickets: DataFrame, roster: DataFrame,
     """The boards as shown, added up, and the tickets without an agent, against attendance per week."""
     zero = F.lit(0).cast("long")
     total = attendance(tickets).groupBy("resolved_week").agg(F.count(F.lit(1)).alias("attendance"))
+    shown = scale.settle(boards(tickets, roster, policy, **kw))
     parts = [
-        tier1_board(tickets, roster, policy, **kw).groupBy("resolved_week").agg(F.sum("tickets_completed").alias("board")),
-        specialist_board(tickets, roster, policy, **kw).groupBy("resolved_week").agg(F.sum("tickets_completed").alias("specialist")),
+        ranked(shown.where("is_tier1")).groupBy("resolved_week").agg(F.sum("tickets_completed").alias("board")),
+        ranked(shown.where("not is_tier1")).groupBy("resolved_week").agg(F.sum("tickets_completed").alias("specialist")),
         unresolved(tickets, roster, **kw).groupBy("resolved_week").agg(F.count(F.lit(1)).alias("unresolved")),
     ]
     for part in parts:

@@ -125,8 +125,9 @@ def digest_rows(tickets: DataFrame, roster: DataFrame, policy: SupportPolicy = D
     section_rows = sections(TH.count_themes(tickets))
     figures = K.created_week_figures(tickets, policy)
     pairs = weekly_pairs(repeat_pairs(tickets, policy=policy))
-    board = R.top_of_board(R.tier1_board(tickets, roster, policy), top)
-    specialists = R.specialist_board(tickets, roster, policy).groupBy("resolved_week").agg(F.count(F.lit(1)).alias("agents"))
+    boards = scale.settle(R.boards(tickets, roster, policy))
+    board = R.top_of_board(R.ranked(boards.where("is_tier1").drop("is_tier1")), top)
+    specialists = boards.where("not is_tier1").groupBy("resolved_week").agg(F.count(F.lit(1)).alias("agents"))
     todo = actions(section_rows, figures, pairs, rules.other)
     before = figures.select(F.date_add("week_start", 7).alias("week_start"), F.col("volume").alias("previous_volume"))
     volumes = figures.join(before, "week_start", "left").select(
