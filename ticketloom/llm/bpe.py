@@ -27,11 +27,11 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 # Texts whose letters all lie below this code point are cut by plain classes of characters.
 NEAR = 0x250
 # Words whose tokens a worker remembers at least; it holds up to twice as many, and those used of late stay.
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 # Bytes at the end of a prefix by which the lengths of tokens that may end it are looked up.
 TAIL = 4
 # Pairs of neighbouring tokens whose fit a worker remembers.
-MOST_PAIRS = 300_000
+MOST_PAIRS = 150_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -81,6 +81,11 @@ class Codec:
         self.before: dict[str, bytes] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
 
+    def rest(self) -> None:
+        """Give back at a task's end what is least likely to be needed again."""
+        self.before = {}
+        pa.default_memory_pool().release_unused()
+
     def ending(self, tail: bytes) -> tuple[int, ...]:
         """Lengths of the tokens that may end a prefix with these last bytes, longest first."""
         longer = self.longer.get(tail, ()) if len(tail) == TAIL else ()
@@ -226,6 +231,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), 4), ids, coder.texts(ids)],
                 names=["doc_id", "n_tokens", "ids", "decoded"])
+        coder.rest()
 
     return arrow_map(picked(docs, doc_id=doc_id, text=text), run, schema)
 
@@ -241,6 +247,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             ids = [np.frombuffer(i, "<i4") for i in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        coder.rest()
 
     return arrow_map(picked(docs, doc_id=doc_id, text=text), run, schema)
 

@@ -31,11 +31,15 @@ def _gate(kind: str, text: Column) -> Column:
             "hex": text.rlike(r"[0-9a-f]{24}"), "random": text.rlike(RUN)}[kind]
 
 
+# Matches that are gathered one by one before the list goes to the whole.
+PART = 256
+
+
 def matches(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     """Array of (start, end, value) of leftmost non-overlapping matches, in characters, end exclusive.
 
     Matches whose ``group`` is shorter than ``least`` are dropped after matching. Texts between the
-    matches give the positions.
+    matches give the positions. They are gathered in parts, since each append copies what is there.
     """
     found = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
@@ -50,7 +54,19 @@ def matches(text: Column, pattern: str, group: int = 0, least: int = 1) -> Colum
         ).otherwise(s["out"]).alias("out"))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+    def collected(all_found):
+        def part(s, k):
+            done = F.aggregate(F.slice(all_found, k * PART + 1, PART), F.struct(s["at"].alias("at"), none.alias("out")), step)
+            return F.get(F.transform(F.array(done), lambda d: F.struct(
+                d["at"].alias("at"), F.array_append(s["out"], d["out"]).alias("out"))), F.lit(0))
+
+        parts = F.sequence(F.lit(0), F.floor((F.size(all_found) - 1) / PART).cast("int"))
+        nothing = F.array().cast("array<array<struct<start:int,end:int,value:string>>>")
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing.alias("out")), part)["out"])
+
+    # An array of one element names a value that is used several times.
+    return F.get(F.transform(F.array(found), collected), F.lit(0))
 
 
 def _spans(text: Column) -> dict[str, Column]:
