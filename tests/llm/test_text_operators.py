@@ -1,9 +1,11 @@
 """Passages, lines, near-duplicates and benchmark passages against plain Python, and their odd cases."""
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from ticketloom.llm import decontaminate, lines, setsketch, substring
+from ticketloom.llm import decontaminate, lines, secretscan, setsketch, substring
 
 from . import plain
 
@@ -207,3 +209,13 @@ def test_benchmark_passages_in_odd_tables(spark):
     got = decontaminate.contamination(frame(spark, rows), item).collect()
     assert len(got) == 4 and {r.doc_id for r in got if r.n_hit} == {1, None}
     assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), item).collect()} == {None, 2}
+
+
+@pytest.mark.parametrize("n", [0, 1, secretscan.PART - 1, secretscan.PART, secretscan.PART + 1, 3 * secretscan.PART + 7])
+def test_matches_are_gathered_in_parts(spark, n):
+    pattern = r"[0-9a-f]{24,}"
+    text = " ".join("%024x" % (i * 7919) + ("é" if i % 3 else "") for i in range(n))
+    rows = spark.createDataFrame([(1, text), (2, None)], "id int, t string").select("id", secretscan.matches(F.col("t"), pattern).alias("m"))
+    got = {r.id: r.m for r in rows.collect()}
+    assert [tuple(m) for m in got[1]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, text)]
+    assert got[2] is None
