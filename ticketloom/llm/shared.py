@@ -134,21 +134,35 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
+# Two primes below 2**31 with a base each: products fit a machine word.
+_FIELDS = ((2_147_483_647, 1_103_515_249), (2_147_483_629, 1_812_433_253))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[which]
-    inverse = pow(base, -1, 1 << 64)
+@functools.lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
-    for out, factor in ((up, base), (down, inverse)):
+    for out, factor in ((up, _BASE), (down, pow(_BASE, -1, 1 << 64))):
         out[:] = np.uint64(factor)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
     return up, down
 
 
+@functools.lru_cache(maxsize=2)
+def _field_powers(field: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the field's base and of its inverse; ``size`` is a power of two."""
+    prime, base = _FIELDS[field]
+    both = []
+    for factor in (base, pow(base, -1, prime)):
+        out, have = np.ones(size, np.uint64), 1
+        while have < size:
+            out[have:2 * have] = out[:have] * np.uint64(pow(factor, have, prime)) % np.uint64(prime)
+            have *= 2
+        both.append(out)
+    return both[0], both[1]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the whole word."""
     x = x ^ (x >> np.uint64(30))
@@ -158,19 +172,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sums(words: np.ndarray, length: int, up: np.ndarray, down: np.ndarray, prime: int = 0) -> np.ndarray:
+    """Polynomial of each run of ``length`` values, modulo ``prime`` or 2**64."""
+    count = len(words) - length + 1
+    sums = np.zeros(len(words) + 1, np.uint64)
+    if not prime:
+        np.cumsum(words * down[:len(words)], out=sums[1:])
+        return (sums[length:] - sums[:count]) * up[:count]
+    p = np.uint64(prime)
+    np.cumsum(words % p * down[:len(words)] % p, out=sums[1:])  # fits for runs of up to 2**33 words
+    return (sums[length:] - sums[:count]) % p * up[:count] % p
+
+
 def window_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of ``length`` consecutive words, by a rolling polynomial modulo 2**64.
+    """Hash of each run of ``length`` consecutive words, by rolling polynomials.
 
-    ``which`` picks one of two independent polynomials; both together make 128 bits.
+    ``which`` is 0 for one polynomial modulo 2**64, 1 for a pair of polynomials modulo two primes of 31
+    bits. The moduli share no factor, so that a sequence of words that is bad for one is none for the others.
     """
-    count = len(words) - length + 1
-    if count <= 0:
+    if len(words) < length:
         return np.empty(0, np.uint64)
     size = 1 << max(12, int(len(words) + 1).bit_length())
-    up, down = _powers(which, size)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * down[:len(words)], out=sums[1:])
-    return mixed((sums[length:] - sums[:count]) * up[:count])
+    if which == 0:
+        return mixed(_sums(words, length, *_powers(size)))
+    one, two = (_sums(words ^ (words >> np.uint64(32)), length, *_field_powers(i, size), _FIELDS[i][0]) for i in (0, 1))
+    return mixed(one << np.uint64(32) | two)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
