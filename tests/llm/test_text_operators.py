@@ -2,6 +2,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,20 @@ def test_passages(spark, window):
     assert len(got) == len(rows)
 
 
+def test_second_window_hash_tells_apart_what_the_first_cannot():
+    """A Thue-Morse sequence of two words and its complement collide in any polynomial modulo a power of two."""
+    from ticketloom.llm.shared import window_hashes
+    words = np.random.default_rng(2).integers(0, 2**63, 2, dtype=np.uint64)
+    order = np.array([i.bit_count() % 2 for i in range(4096)])
+    one, other = words[order], words[1 - order]
+    assert (window_hashes(one, 4096) == window_hashes(other, 4096)).all()
+    assert (window_hashes(one, 4096, 1) != window_hashes(other, 4096, 1)).all()
+    text = np.random.default_rng(3).integers(0, 2**63, 5000, dtype=np.uint64)
+    for which in (0, 1):
+        every = window_hashes(text, 50, which)
+        assert (every[700:800] == window_hashes(text[700:849], 50, which)).all() and len(set(every.tolist())) == 4951
+
+
 def test_passages_in_odd_tables(spark):
     assert substring.without_repeats(frame(spark, [])).collect() == []
     rows = [(1, LONG), (2, "lead " + LONG + " end"), (2, "lead " + LONG + " end"), (None, LONG), (None, None)]
@@ -83,7 +98,7 @@ def test_lines(spark, monkeypatch, threshold, group, broadcast):
     assert {r.doc_id: r.text for r in got.collect()} == plain.cut_lines(rows, threshold, 18)
 
 
-@pytest.mark.parametrize("threshold", [1])
+@pytest.mark.parametrize("threshold", [1, 2])
 def test_many_lines_that_differ_by_insertions_at_one_place(spark, threshold):
     r = random.Random(threshold)
     ends = [str(i) for i in range(1, 100)] + ["字", "é9", "1é", "10é4", "9876", "abcdef", "bcdefa"]
@@ -95,6 +110,13 @@ def test_many_lines_that_differ_by_insertions_at_one_place(spark, threshold):
     assert {x.doc_id: x.text for x in got} == plain.cut_lines(docs, threshold, 18)
 
 
+def test_thousands_of_lines_that_differ_in_one_place(spark):
+    """All are one edit apart; each meets the earliest only, so the work is linear in their number."""
+    docs = [(i, f"See the appendix of this report, page {chr(0x4e00 + i)}") for i in range(4000)]
+    got = lines.without_repeats(frame(spark, docs)).groupBy("n_removed").agg({"doc_id": "min", "*": "count"}).collect()
+    assert sorted((x.n_removed, x["min(doc_id)"], x["count(1)"]) for x in got) == [(0, 0, 1), (1, 1, 3999)]
+
+
 def test_lines_in_odd_tables(spark):
     assert lines.without_repeats(frame(spark, [])).collect() == []
     one = "a line that is long enough to count"

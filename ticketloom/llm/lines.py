@@ -8,8 +8,10 @@ lines up to ``threshold`` characters shorter with the substrings at the places t
 Pairs are formed only in small groups. A larger group is cut on: its lines agree in the segment, so what
 is left of them must agree up to the same edits, and is cut into segments again. A group of variants of
 one line falls apart into groups by the place of their edits. Where too little is left of the indexed
-lines to be cut again, lines meet on what is left after up to ``threshold`` deletions more. Pairs are verified by a banded,
-bit-parallel edit distance: one machine word holds the band, one step per character.
+lines to be cut again, lines meet on the line without some of the characters left, marked as replaced or as
+superfluous: lines with the same marks are near for certain, so each meets only the earliest of them and no pairs
+are formed. Pairs are verified by a banded, bit-parallel edit distance: one machine word holds the band, one
+step per character.
 
 Everything is DataFrame expressions. Lines travel as hashes; texts travel only for lines in a group.
 Sums per key are stored before they are joined back, so that both sides of the join are shuffle reads
@@ -25,8 +27,8 @@ from .shared import picked, stored
 
 # Lines that may meet pair by pair; a larger group is cut into segments again.
 GROUP = 32
-# Up to this threshold rests meet on their deletion variants (C(2t, t) at most); beyond it, pair by pair.
-MOST_DELETIONS = 6
+# Up to this threshold rests are marked (5 ways at t = 1, 33 at 2); beyond it their lines meet pair by pair.
+MOST_MARKED = 2
 # A broadcast side has at most so many rows; beyond it the join shuffles.
 MOST_BROADCAST_ROWS = 500_000
 
@@ -123,28 +125,59 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(stored(groups.where("some and low <> high").select("key", "group_size", "least_rest"), "group-sizes"), "key")
 
 
-def deletions(rest: Column, threshold: int) -> Column:
-    """Array of what is left of ``rest`` when up to ``threshold`` characters are deleted.
+def markings(length: Column, threshold: int) -> Column:
+    """Ways to mark up to ``threshold`` of ``length`` places: arrays of (at, replaced) in order of ``at``."""
+    none = F.array(F.array().cast("array<struct<at:int,replaced:boolean>>"))
+
+    def appended(mark):
+        return lambda way: F.array_append(way, mark)
+
+    def with_place(ways, at):
+        more = F.filter(ways, lambda w: F.size(w) < threshold)
+        marks = [F.struct(at.alias("at"), F.lit(replaced).alias("replaced")) for replaced in (True, False)]
+        return F.concat(ways, *[F.transform(more, appended(m)) for m in marks])
+
+    places = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, none, with_place)
 
-    Two strings at most ``threshold`` edits apart have an element in common.
-    """
-    def without_one(s):
-        return F.transform(F.sequence(F.lit(1), F.char_length(s)),
-                           lambda p: F.concat(F.substring(s, F.lit(1), p - 1), F.substring(s, p + 1, F.char_length(s))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(threshold)), F.array(rest),
-                       lambda found, _: F.array_distinct(F.concat(found, F.flatten(F.transform(found, without_one)))))
+def marked(line: Column, marks: Column) -> Column:
+    """Hash of the line without the marked places and of the gaps that replaced ones leave in it."""
+    without = F.aggregate(F.reverse(marks), line, lambda s, m: F.concat(
+        F.substring(s, F.lit(1), m["at"]), F.substring(s, m["at"] + 2, F.char_length(s))))
+    gaps = F.transform(marks, lambda m, i: F.when(m["replaced"], m["at"] - i))
+    return F.xxhash64(without, F.array_compact(gaps))
 
 
-def _short(rows: DataFrame, threshold: int) -> DataFrame:
-    """Large groups with an indexed rest of at most ``threshold`` characters, divided by deletion variants.
+def _met_marked(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Ordered pairs of large groups whose rests are short: each line with the earliest of its likes.
 
-    The indexed rests of a group are its shortest, so that no rest is longer than twice the threshold.
+    Two lines that are the same without some characters, r of which leave the same gaps in both, are at most
+    r edits and one for each other character apart. Where an edit script leaves the parts that were cut out
+    alone, all its edits lie in the rests, so some marks of the two rests say the same as the script. The
+    indexed rests of a group are its shortest, hence no rest is longer than twice the threshold.
     """
-    if not 1 <= threshold <= MOST_DELETIONS:
-        return rows
-    return rows.select(F.explode(deletions(F.col("rest"), threshold)).alias("left"), "*").withColumn(
-        "key", F.xxhash64("key", "left")).drop("left")
+    whole = rows.join(texts.select("h", "c", "line"), ["h", "c"])
+    # Places in the rest become places in the line by putting back what was cut out, last part first.
+    def place(m):
+        return F.struct(F.aggregate(F.reverse("cuts"), m["at"], lambda p, cut: p + F.when(
+            p >= cut["at"], cut["width"]).otherwise(0)).alias("at"), m["replaced"].alias("replaced"))
+
+    ways = whole.select("key", "h", "c", "first", "size", "line", "cuts", F.explode(
+        markings(F.char_length("rest"), threshold)).alias("way"))
+    ways = once(ways, "marks", F.transform("way", place)).select(
+        "key", marked(F.col("line"), F.col("marks")).alias("like"), "h", "c", "first", "size",
+        F.size(F.filter("marks", lambda m: m["replaced"])).alias("replaced"), F.size("marks").alias("n"))
+    ways = stored(ways.distinct(), "marked").withColumn("more", F.col("n") - F.col("replaced"))
+    earliest = stored(ways.groupBy("key", "like").agg(
+        F.min("h").alias("low"), F.max("h").alias("high"),
+        *[F.min(F.when(F.col("more") == e, F.struct("first", "h", "c", "size"))).alias(f"with_{e}") for e in range(threshold + 1)]
+    ).where("low <> high"), "earliest")
+    others = F.filter(F.array(*[F.when(F.col("n") + e <= threshold, F.col(f"with_{e}")) for e in range(threshold + 1)]),
+                      lambda o: o.isNotNull())
+    met = ways.join(earliest, ["key", "like"]).withColumn("other", F.array_min(others)).where("other.first < first")
+    return met.select(F.col("other.h").alias("a_h"), F.col("other.c").alias("a_c"), F.col("h").alias("b_h"), F.col("c").alias("b_c"),
+                      F.col("other.size").alias("a_size"), F.col("size").alias("b_size"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -168,20 +201,24 @@ def similar_earlier(lines: DataFrame, docs: DataFrame, threshold: int, least: in
         _line_rows(docs, least).join(wanted, ["h", "c"], "left_semi").groupBy("h", "c", "size", "line")
         .agg(F.min(F.struct("doc_id", "pos")).alias("first")), "lines")
     rest = F.concat(F.expr("substring(line, 1, at)"), F.expr("substring(line, at + width + 1)"))
-    rows = stored(_grouped(met.join(texts, ["h", "c"]).select("key", "h", "c", "first", "size", "indexed", rest.alias("rest"))), "groups")
+    rows = stored(_grouped(met.join(texts, ["h", "c"]).select(
+        "key", "h", "c", "first", "size", "indexed", rest.alias("rest"), F.array(F.struct("at", "width")).alias("cuts"))), "groups")
     pairs = None
     while True:
         small, short = F.col("group_size") <= GROUP, F.col("least_rest") <= threshold
-        found = _pairs(rows.where(small)).unionByName(_pairs(stored(_short(rows.where(~small & short), threshold), "short")))
+        brief = rows.where(~small & short)
+        found = _pairs(rows.where(small)).unionByName(
+            _met_marked(brief, texts, threshold) if 1 <= threshold <= MOST_MARKED else _pairs(brief))
         pairs = found if pairs is None else pairs.unionByName(found)
         large = rows.where(~small & ~short)
         if large.limit(1).count() == 0:
             break
         cut = once(large, "parts", segment_keys(F.col("rest"), F.char_length("rest"), threshold)).select(
-            F.col("key").alias("outer"), "h", "c", "first", "size", "rest", F.col("indexed").alias("was_indexed"), F.inline("parts"))
+            F.col("key").alias("outer"), "h", "c", "first", "size", "rest", "cuts", F.col("indexed").alias("was_indexed"), F.inline("parts"))
         cut = cut.select(F.xxhash64("outer", "key").alias("key"), "h", "c", "first", "size",
                          (F.col("indexed") & F.col("was_indexed")).alias("indexed"),
-                         F.concat(F.expr("substring(rest, 1, at)"), F.expr("substring(rest, at + width + 1)")).alias("rest"))
+                         F.concat(F.expr("substring(rest, 1, at)"), F.expr("substring(rest, at + width + 1)")).alias("rest"),
+                         F.array_append("cuts", F.struct("at", "width")).alias("cuts"))
         rows = stored(_grouped(stored(cut.distinct(), "cut")), "groups")
     pairs = pairs.where(F.abs(F.col("a_size") - F.col("b_size")) <= threshold).distinct()
     one = texts.select(F.col("h").alias("a_h"), F.col("c").alias("a_c"), F.col("line").alias("a_line"), F.col("first").alias("a_first"))
