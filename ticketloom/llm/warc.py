@@ -20,8 +20,10 @@ from .shared import arrow_map, picked, raw_bytes, shared_folder, stored
 
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-# Captures in one archive, so that a reader can hold it.
-CAPTURES = 2000
+# An archive holds at most so many captures, and at most so many bytes of payload (a larger payload fills its own).
+CAPTURES, ARCHIVE_BYTES = 2000, 1 << 28
+# Bytes that a reader takes in and inflates at a time, and bytes of payload in a batch that leaves it.
+FEED, CHUNK, BATCH_BYTES = 1 << 16, 1 << 20, 1 << 25
 RECORD = ("record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, "
           "declared_digest string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary")
 
@@ -91,45 +93,98 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, page_id: str = "pag
     written alike. An empty table gives no archive.
     """
     kind = pages.schema[page_id].dataType.simpleString()
-    rows = arrow_map(picked(pages, page_id=page_id, url=url, html=html).select("page_id", "url", "html"),
-                     _digested, f"page_id {kind}, url string, payload binary, digest string")
+    own = picked(pages, page_id=page_id, url=url, html=html).withColumn("octets", F.coalesce(F.octet_length("html"), F.lit(0)))
+
+    def digested(pages):
+        return arrow_map(pages.select("page_id", "url", "html"), _digested, f"page_id {kind}, url string, payload binary, digest string")
+
+    rows = digested(own)
     last = stored(rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(
         F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last"), "equal-payloads")
-    marked = rows.join(last, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("last"))
-    arrow_map(marked, _written, "value binary").select(F.col("value").cast("string")).write.option(
-        "lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES).text(path)
+    most = own.agg(F.max("octets")).first()[0] or 0
+    for i, (low, high, captures) in enumerate(size_classes(most)):
+        marked = digested(own.where(F.col("octets").between(low, high))).join(last, "digest", "left").select(
+            "page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("last"))
+        arrow_map(marked, _written, "value binary").select(F.col("value").cast("string")).write.option(
+            "lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", captures).text(f"{path}/{i:02d}")
+
+
+def size_classes(most: int) -> list[tuple[int, int, int]]:
+    """(least bytes, most bytes, captures an archive) of the classes in which payloads up to ``most`` bytes are written.
+
+    The captures of a class times its most bytes are ARCHIVE_BYTES, so that archives are bounded by bytes, and few
+    large pages do not make the archives of all others small.
+    """
+    low, captures, classes = 0, CAPTURES, []
+    while True:
+        high = ARCHIVE_BYTES // captures
+        if captures == 1 or most <= high:
+            return [*classes, (low, max(high, most), captures)]
+        classes.append((low, high, captures))
+        low, captures = high + 1, max(1, captures // 16)
+
+
+def inflated(archive: bytes):
+    """Chunks of an archive, plain or gzip of one or several members."""
+    if archive[:2] != b"\x1f\x8b":
+        yield from (archive[at:at + CHUNK] for at in range(0, len(archive), CHUNK))
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(archive), FEED):
+        piece = archive[at:at + FEED]
+        while piece:
+            yield member.decompress(piece, CHUNK)
+            if member.eof:
+                piece, member = member.unused_data, zlib.decompressobj(31)
+            else:
+                piece = member.unconsumed_tail
 
 
 def parsed(archive: bytes):
-    """(headers, block) of each record of an archive, plain or gzip; records follow Content-Length."""
-    data = archive
-    if archive[:2] == b"\x1f\x8b":
-        parts, rest = [], archive
-        while rest:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(parts)
-    at = 0
+    """(headers, block) of each record of an archive; records follow Content-Length.
+
+    The archive is inflated piece by piece: no more than a record and a piece is held at a time.
+    """
+    chunks, held = inflated(archive), bytearray()
+
+    def more() -> bool:
+        chunk = next(chunks, None)
+        held.extend(chunk or b"")
+        return chunk is not None
+
     while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        end = data.index(END, at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:max(0, len(held) - 4)]  # a mark may begin here
+            if not more():
+                return
+        del held[:at]
+        looked = 0
+        while (end := held.find(END, looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not more():
+                raise ValueError("archive ends inside the headers of a record")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(headers["content-length"])
-        yield headers, data[end + 4:end + 4 + size]
-        at = end + 4 + size
+        while len(held) < end + 4 + size:
+            if not more():
+                raise ValueError("archive ends inside a record")
+        yield headers, bytes(held[end + 4:end + 4 + size])
+        del held[:end + 4 + size]
 
 
 def _records(payloads: bool):
+    types = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    names = [c.split()[0] for c in RECORD.split(", ")]
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
     def run(batches):
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
-                rows: list[tuple] = []
-                for headers, block in parsed(archive):
+            for place in range(batch.num_rows):
+                rows, held = [], 0
+                for headers, block in parsed(batch.column(0)[place].as_py()):
                     kind = headers.get("warc-type")
                     body = block.partition(END)[2] if headers.get("content-type", "").startswith("application/http") else block
                     fields = {}
@@ -140,15 +195,17 @@ def _records(payloads: bool):
                         headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"),
                         headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-payload-digest", "").rpartition(":")[2] or None,
                         len(body) if has else None, digest(body) if has else None, list(fields.items()), body if has and payloads else None))
-                types = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                names = [c.split()[0] for c in RECORD.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                    held += len(body) if has and payloads else 0
+                    if held > BATCH_BYTES:
+                        yield packed(rows)
+                        rows, held = [], 0
+                yield packed(rows)
     return run
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records of all archives in ``path``; payloads only on demand, their length and digest always."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return arrow_map(files, _records(payloads), RECORD)
 
 
