@@ -1,6 +1,9 @@
 """Plain Python versions of the operators, for small inputs."""
+import collections
 import hashlib
+import math
 import re
+import zlib
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -114,3 +117,46 @@ def hits(docs, items, window):
                     found |= own
         out[d] = (len(w), len(hit), sorted(found))
     return out
+
+
+def language_model(rows, most):
+    """Prediction (language, share) learnt from (doc_id, text, lang) rows: known words, else the longest known n-grams."""
+    def words(text):
+        return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+    def pieces(word, n):
+        if n == 0:
+            return [word]
+        word = word if n == 1 else f" {word} "
+        return [word[i:i + n] for i in range(len(word)) if len(word[i:i + n]) == n]
+
+    counts = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))  # length -> language -> term
+    for doc, text, lang in rows:
+        if zlib.crc32(str(doc).encode()) % 4 != 2:
+            for n in range(6):
+                counts[n][lang].update(p for w in words(text) for p in pieces(w, n))
+    languages = sorted(counts[0])
+    for by_language in counts.values():
+        for lang, terms in by_language.items():
+            by_language[lang] = dict(sorted(terms.items(), key=lambda t: (-t[1], t[0].encode()))[:most])
+    known = {n: set().union(*counts[n].values()) for n in counts}
+
+    def frequency(n, term, lang):
+        own = counts[n].get(lang, {})
+        return math.log((own.get(term, 0) + 0.5) / (sum(own.values()) + 0.5 * (len(known[n]) + 1)))
+
+    def word_score(word, lang):
+        for n in (0, 5, 4, 3, 2, 1):
+            found = [frequency(n, p, lang) for p in pieces(word, n) if p in known[n]]
+            if found:
+                return sum(found) / len(found)
+        return 0.0
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        scores = {lang: sum(word_score(w, lang) for w in words(text)) for lang in languages}
+        best = max(languages, key=lambda lang: (round(scores[lang], 9), -languages.index(lang)))
+        return best, 1 / sum(math.exp(s - scores[best]) for s in scores.values())
+
+    return predict

@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 
 from ticketloom.llm import balltree, bpe, chat, graph, langid, secretscan, warc
 
+from . import plain
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -85,6 +87,39 @@ def test_warc(spark, tmp_path, least):
         assert r.request is not None and r.n_metadata >= 1
 
 
+def test_warc_size_classes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    r = random.Random(9)
+    bodies = {i: "".join(r.choices("abcé<>", k=r.choice([3, 30, 300, 900, 30_000]))) for i in range(150)}
+    bodies |= {200: bodies[0], 201: "x" * 60_000, 202: "x" * 60_000}
+    warc.write(spark.createDataFrame([(i, "u", b) for i, b in bodies.items()], "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = warc.with_payload_facts(warc.assemble(warc.read(spark, f"{tmp_path}/w", payloads=True))).collect()
+    assert sorted(int(x.metadata.fields["pageId"]) for x in got) == sorted(bodies)
+    for x in got:
+        body = bodies[int(x.metadata.fields["pageId"])].encode()
+        assert x.payload_bytes == len(body) and (x.response.payload is None or bytes(x.response.payload) == body)
+    for file in tmp_path.rglob("*.gz"):
+        sizes = [len(b) for h, b in warc.parsed(file.read_bytes()) if h["warc-type"] == "response"]
+        assert len(sizes) <= 1 or sum(sizes) <= 40_000 + 200 * len(sizes)
+    assert [c[2] for c in warc.size_classes(10**9)] == [2000, 125, 7, 1]
+    assert warc.size_classes(0) == [(0, 20, 2000)]
+
+
+def test_archives_are_read_piece_by_piece(monkeypatch):
+    records = [warc.record([("WARC-Type", "response"), ("X", str(i))], bytes([i]) * (i * 977 % 5000) + b"WARC/" * (i % 3)) for i in range(60)]
+    plainly = b"".join(x + warc.END for x in records)
+    want = [(str(i), bytes([i]) * (i * 977 % 5000) + b"WARC/" * (i % 3)) for i in range(60)]
+    import gzip
+    members = b"".join(gzip.compress(x + warc.END) for x in records)
+    for feed, chunk in ((1, 1), (7, 3), (64, 1000), (1 << 16, 1 << 20)):
+        monkeypatch.setattr(warc, "FEED", feed)
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        for archive in (plainly, members, gzip.compress(plainly), b""):
+            assert [(h["x"], b) for h, b in warc.parsed(archive)] == (want if archive else [])
+    with pytest.raises(ValueError):
+        list(warc.parsed(plainly[:-2000]))
+
+
 def test_warc_without_pages(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(none, f"{tmp_path}/w")
@@ -159,6 +194,37 @@ def test_markov_ratio(spark):
     assert secretscan.train(spark.createDataFrame([], "text string, random boolean")) == [0.0] * secretscan.WIDTH**2
 
 
+def test_planted_keys_are_found(spark):
+    """Keys of several alphabets in documents of the given table, none of which the models have learnt from."""
+    r = random.Random(14)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base62": (upper + lower + digits, 24), "base64": (upper + lower + digits + "+/", 40), "url": (upper + lower + digits + "-_", 43),
+             "base32": (upper + "234567", 32), "HEX": (digits + "ABCDEF", 40)}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    rows = docs.collect()
+    cut = len(rows) // 2
+    table = secretscan.train(secretscan.labelled_strings(spark.createDataFrame(rows[:cut], docs.schema)))
+    planted, where = [], {}
+    for i, row in enumerate(rows[cut:]):
+        kind = sorted(kinds)[i % len(kinds)]
+        key = "".join(r.choices(kinds[kind][0], k=kinds[kind][1]))
+        gaps = [p for p, c in enumerate(row.text) if c == " "]
+        at = r.choice(gaps) + 1 if gaps else 0
+        planted.append((row.doc_id, f"{row.text[:at]}{key} {row.text[at:]}"))
+        where[row.doc_id] = (kind, at, at + len(key))
+    found = dict.fromkeys(kinds, 0)
+    others = 0
+    for x in secretscan.scan(spark.createDataFrame(planted, docs.schema), table).select("doc_id", "added").collect():
+        kind, start, end = where[x.doc_id]
+        hits = [s for s in x.added if s.start <= start and end <= s.end]
+        found[kind] += bool(hits)
+        others += len(x.added) - len(hits)
+    size = sum(len(t) for _, t in planted)
+    print(found, "of", len(planted) / len(kinds), "each; other spans a million characters:", others / size * 1e6)
+    assert all(n >= 0.9 * (len(planted) // len(kinds)) for n in found.values()), found
+    assert others / size * 1e6 < 20
+
+
 def test_secret_spans(spark):
     secret = "q7Xz9Lw2Kd8Rt4Vb6Ny1"
     table = secretscan.train(spark.createDataFrame(
@@ -212,6 +278,23 @@ def test_chat_in_odd_tables(spark):
     assert got == {1: ["a", "b", "b"], None: ["x" * 300_000, "y"]}
 
 
+def test_backoff_equals_plain_python(spark):
+    r = random.Random(12)
+    stems = {"en": ["the", "cat", "dog", "water", "house"], "de": ["der", "hund", "wasser", "haus", "straße"], "fr": ["le", "chien", "eau", "maison", "été"]}
+    rows = [(i, " ".join(r.choice(stems[lang]) + r.choice(["", "s", "en"]) for _ in range(r.randint(1, 12))), lang)
+            for i in range(150) for lang in [r.choice(sorted(stems))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = ["", "?", "Wasserhaus CATDOG", "xyz", "Ж", "q" * 30, "THE²", "été maisons", "hauses dogen chienwater 12", None]
+    for most in (8000, 5):
+        predict = plain.language_model(rows, most)
+        model = langid.fit(docs, most_terms=most)
+        texts = [t for _, t, _ in rows] + odd
+        got = langid.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+        for x in got:
+            lang, score = predict(texts[x.doc_id])
+            assert x.lang_pred == lang and abs(x.score - score) < 1e-9, texts[x.doc_id]
+
+
 def test_languages(spark):
     rows = [(i, "the cat and the dog", "en", 1) for i in range(40)] + [(100 + i, "der Hund und die Katze", "de", 1) for i in range(40)]
     docs = spark.createDataFrame(rows + [(None, "und", "xx", 1), (500, None, "yy", 1), (501, "die", None, 1)],
