@@ -5,7 +5,7 @@ looked at first, and only those that repeat are extended to the full length. On
 not every position is needed: among the half windows inside a full window the one with the smallest
 hash stands for it, wherever that window occurs, so that about one position in fourteen is sent out
 and still no repeat can be missed. Positions whose stand-in repeats survive to the next level, where
-each full window is told apart by 128 bits; the search ends early when no candidate is left.
+each full window is told apart by 126 bits; the search ends early when no candidate is left.
 
 Rows that travel are hashes with document ids. Both levels are sums per hash (the smallest and
 largest document), combined before the shuffle and stored before they are joined back to the rows: both
