@@ -45,6 +45,7 @@ def resolve(frame: DataFrame, roster: DataFrame, agent: str, day: str,
         return joined.withColumn("entry", F.when(
             hit.isNotNull(), F.struct(*[hit[a].alias(a) for a in _ATTRS]))).drop("_spans")
 
+    frame = scale.settle(frame)
     asked = scale.settle(frame.where(F.col(day).isNotNull()).select(agent, day).distinct())
     low, high = asked.agg(F.min(day), F.max(day)).first()
     if low is None:
@@ -60,7 +61,8 @@ def resolve(frame: DataFrame, roster: DataFrame, agent: str, day: str,
         .groupBy(agent, "level", "node").agg(F.max("_top").alias("_top"))
     )
     days = asked.select(agent, day, F.inline(scale.holding_nodes(F.datediff(day, F.lit(low)), levels)))
-    found = days.join(best, [agent, "level", "node"]).groupBy(agent, day).agg(F.max("_top").alias("_top")).select(
+    # The optimizer takes rows made by a generator for one each, and would broadcast millions of them.
+    found = days.join(best.hint("merge"), [agent, "level", "node"]).groupBy(agent, day).agg(F.max("_top").alias("_top")).select(
         agent, day, F.struct(*[F.col(f"_top.{c}").alias(c) for c in _ATTRS]).alias("entry"))
     return scale.spread_join(frame, found, [agent, day], frame.columns, "left")
 

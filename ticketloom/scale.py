@@ -52,14 +52,15 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[
     """Shuffle join in which hot keys of the facts are cut into parts, and only those.
 
     A fact of a hot key goes to the part that a hash of its ``spread`` columns names; the dim rows of
-    that key are repeated once per part. All other rows of either side are joined as they are.
+    that key are repeated once per part. All other rows of either side are joined as they are. Neither side is
+    broadcast, however small the optimizer takes it for.
     """
     hot = F.broadcast(hot_keys(facts, keys, least))
     parts = F.coalesce("_parts", F.lit(1))
     salted = facts.join(hot, keys, "left").withColumn("_salt", F.pmod(F.hash(*spread), parts)).drop("_parts")
     repeated = dim.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def previous_row(df: DataFrame, group: str, buckets: list[Column], order: list[str],
