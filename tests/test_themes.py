@@ -168,6 +168,17 @@ def test_emerging_needs_a_baseline(spark, before):
     assert TM.emerging_terms(weekly_texts(spark, ["aa bb cc"] * 5, before), "week", "text", 7).collect() == []
 
 
+def test_words_too_rare_for_the_vocabulary_leave_before_terms_are_made(spark):
+    texts = [(i, "g", f"aa bb once{i} cc aa tie") for i in range(6)] + [(9, "even", "xx yy zz ww vv uu tt")]
+    worded = TM._worded(spark.createDataFrame(texts, "id long, grp string, text string"), "text", [], TM.TOKEN)
+    counts = TM.unpack(worded.select("grp", "words"), "words", "term").groupBy("grp", "term").agg(F.count(F.lit(1)).alias("n"))
+    frequent = TM._frequent_words(counts, ["grp"], 3)
+    # Equal counts stay; where they are more than twice the cap, all terms are counted.
+    assert sorted((r.grp, r.term) for r in frequent.collect()) == [("g", w) for w in ("aa", "bb", "cc", "tie")]
+    made = {r.id: r.terms for r in TM._frequent_terms(worded, frequent, ["grp"], "id").collect()}
+    assert made[0] == ["aa", "bb", "cc", "aa", "tie", "aa bb", "cc aa", "aa tie"] and made[9] == grams(texts[-1][2], set())
+
+
 def test_combined_searches_find_what_each_pattern_finds(spark):
     """Rules that share beginnings, texts inside one another, and forms that no search covers."""
     import random

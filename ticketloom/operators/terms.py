@@ -15,8 +15,10 @@ def english_stop_words() -> list[str]:
 
 
 def _run(words: Column, n: int):
-    """Joins a word with the ``n - 1`` words after it."""
-    return lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)])
+    """Joins a word with the ``n - 1`` words after it; NULL where one of them is NULL."""
+    def joined(w, i):
+        return F.concat(w, *[part for j in range(1, n) for part in (F.lit(" "), F.get(words, i + j))])
+    return joined
 
 
 def _grams(words: Column, low: int, high: int) -> Column:
@@ -44,8 +46,12 @@ def bags(docs: DataFrame, text: str, stop_words: list[str], low: int = 1, high:
 
     Equal neighbours in the sorted term list form one run, so no shuffle is needed.
     """
-    ordered = terms(docs, text, stop_words, low, high, pattern).withColumn(
-        "_sorted", F.sort_array("terms")).drop("terms")
+    return _counted(terms(docs, text, stop_words, low, high, pattern))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Replace ``terms`` by ``bag``."""
+    ordered = docs.withColumn("_sorted", F.sort_array("terms")).drop("terms")
     runs = ordered.withColumn("_starts", F.filter(
         F.transform("_sorted", lambda t, i: F.when(
             (i == 0) | (t != F.coalesce(F.get("_sorted", i - 1), F.lit(""))), i)),
@@ -90,7 +96,8 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     ``cap`` terms with the highest corpus count. Weights are tf * (ln((1+n)/(1+df)) + 1), scaled to
     unit length per document, averaged over all documents of the group.
 
-    Texts are cut into terms once; the bags of terms are kept for the second reading. Term counts are
+    Texts are cut into words once. Words too rare for the vocabulary leave before terms are made of the others
+    (``_frequent_words``); the bags of terms are kept for the second reading. Term counts are
     combined before the shuffle. The vocabulary then comes to each document as one table of its group, so that weights
     and the document's length are computed inside its row: documents are not shuffled by id. Tables have at
     most ``cap`` terms per group; they are broadcast when the number of groups keeps them within the bound, and
@@ -102,7 +109,12 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     bound = scale.MAX_BROADCAST_ROWS
     groups = scale.row_count_within(sizes, bound)
     chosen = scale.lookup(docs.select(doc_id, *keys, text), sizes, keys, [doc_id], "inner", bound, groups)
-    counted = scale.settle(bags(chosen, text, stop, pattern=pattern))
+    worded = scale.settle(_worded(chosen, text, stop, pattern))
+    frequent = None
+    if pattern == TOKEN:
+        words = unpack(worded.select(*keys, "words"), "words", "term").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+        frequent = scale.settle(_frequent_words(words, keys, cap))
+    counted = scale.settle(_counted(_frequent_terms(worded, frequent, keys, doc_id)))
     occurrences = unpack(counted.select(*keys, "docs", "bag"), "bag", "b").select(
         *keys, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
 
@@ -114,7 +126,8 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
         .select(*keys, "term",
                 (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    weighed = _beside(counted, scale.settle(_term_tables(vocabulary, keys)), keys, doc_id, groups * cap, "inner")
+    tables = scale.settle(_term_tables(vocabulary, keys, F.struct("term", "idf")))
+    weighed = _beside(counted, tables, keys, doc_id, groups * cap, "inner")
     scores = (
         unpack(weighed.select(*keys, "docs", _unit_weights(F.col("bag"), F.col("slots")).alias("weights")), "weights", "x")
         .groupBy(*keys, F.col("x.term").alias("term"))
@@ -147,14 +160,45 @@ def _as_slots(filled: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda i: F.try_element_at(filled, i))
 
 
-def _term_tables(vocabulary: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: ``slots``, an array of _SLOTS short lists of (term, idf)."""
+def _term_tables(vocabulary: DataFrame, keys: list[str], entry: Column) -> DataFrame:
+    """One row per group: ``slots``, an array of _SLOTS short lists of the terms' entries."""
     entries = vocabulary.groupBy(*keys, _slot(F.col("term")).alias("_at")).agg(
-        F.collect_list(F.struct("term", "idf")).alias("_entries"))
+        F.collect_list(entry).alias("_entries"))
     filled = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_entries"))).alias("_filled"))
     return filled.select(*keys, _as_slots(F.col("_filled")).alias("slots"))
 
 
+def _worded(docs: DataFrame, text: str, stop_words: list[str], pattern: str) -> DataFrame:
+    return docs.withColumn("words", tokens(text, stop_words, pattern)).drop(text)
+
+
+def _frequent_words(words: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """(keys, term): the words that the ``cap`` most frequent terms of a group can be made of, from (keys, term, n).
+
+    A run of words occurs no more often than any of its words, and at least ``cap`` words occur as often as the
+    ``cap``-th does: a term with a rarer word is behind all of these. Words equal to the ``cap``-th stay.
+    A group in which these are too many has no rows, and all its terms are to be counted. This holds for words
+    without blanks only: others may give one term from different runs.
+    """
+    often = W.partitionBy(*keys).orderBy(F.desc("n"))
+    ranked = words.withColumn("_r", F.rank().over(often)).where(F.col("_r") <= cap)
+    return ranked.withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(
+        F.col("_all") <= 2 * cap).select(*keys, "term")
+
+
+def _frequent_terms(worded: DataFrame, frequent: DataFrame | None, keys: list[str], spread: str) -> DataFrame:
+    """Replace ``words`` by ``terms``: the words and pairs of neighbours that consist of the group's frequent words."""
+    if frequent is None:
+        return worded.withColumn("terms", _grams(F.col("words"), 1, 2)).drop("words")
+    tables = scale.settle(_term_tables(frequent, keys, F.col("term")))
+    entries = scale.row_count_within(frequent, scale.MAX_BROADCAST_ROWS)
+
+    def known(w):
+        return F.when(F.col("slots").isNull() | F.array_contains(F.get("slots", _slot(w)), w), w)
+    kept = _beside(worded, tables, keys, spread, entries, "left").withColumn("_known", F.transform("words", known))
+    return kept.drop("words", "slots").withColumn("terms", F.array_compact(_grams(F.col("_known"), 1, 2))).drop("_known")
+
+
 def _unit_weights(bag: Column, slots: Column) -> Column:
     """(term, w) of the bag's terms that the table knows: tf * idf, scaled to length 1."""
     def look_up(b):
