@@ -168,6 +168,38 @@ def test_emerging_needs_a_baseline(spark, before):
     assert TM.emerging_terms(weekly_texts(spark, ["aa bb cc"] * 5, before), "week", "text", 7).collect() == []
 
 
+def rising_terms(rows, step, k, cap, least_before, least):
+    """(period, rank, term, gain) in plain Python."""
+    texts, counts, out = {}, {}, []
+    for period, text in rows:
+        texts[period] = texts.get(period, 0) + 1
+        for term in grams(text, set()):
+            counts.setdefault(period, {}).setdefault(term, 0)
+            counts[period][term] += 1
+    for period in texts:
+        now, before = counts.get(period, {}), counts.get(period - step, {})
+        if texts.get(period - step, 0) < least_before:
+            continue
+        vocabulary = sorted({*now, *before}, key=lambda t: (-now.get(t, 0) - before.get(t, 0), t))[:cap]
+        gains = {t: now.get(t, 0) / texts[period] - before.get(t, 0) / texts[period - step] for t in vocabulary if now.get(t, 0) >= least}
+        best = sorted(((-round(g, 4), t) for t, g in gains.items() if g > 0))[:k]
+        out += [(period, i, t, -g) for i, (g, t) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+@pytest.mark.parametrize("cap,pool", [(3, 4), (12, 40), (15, 9), (60, 9), (2, 200)])
+def test_emerging_against_brute_force(spark, monkeypatch, bound, cap, pool):
+    """Caps below, near and above the number of words, and so many equal counts that no word may leave."""
+    from ticketloom import scale
+    monkeypatch.setattr(scale, "MAX_BROADCAST_ROWS", bound)
+    rng = random.Random(cap * pool)
+    words = [f"w{i}" for i in range(pool)]
+    rows = [(rng.choice([1, 3, 5, 9, 11]), " ".join(rng.choice(words[:rng.randint(1, pool)]) for _ in range(rng.randrange(9)))) for _ in range(120)]
+    got = TM.emerging_terms(spark.createDataFrame(rows, "period int, text string"), "period", "text", 2, [], 6, cap, 3, 2).collect()
+    assert sorted((r.period, r["rank"], r.term, r.gain) for r in got) == rising_terms(rows, 2, 6, cap, 3, 2)
+
+
 def test_words_too_rare_for_the_vocabulary_leave_before_terms_are_made(spark):
     texts = [(i, "g", f"aa bb once{i} cc aa tie") for i in range(6)] + [(9, "even", "xx yy zz ww vv uu tt")]
     worded = TM._worded(spark.createDataFrame(texts, "id long, grp string, text string"), "text", [], TM.TOKEN)

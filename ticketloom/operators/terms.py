@@ -224,6 +224,9 @@ def emerging_terms(docs: DataFrame, period: str, text: str, step: int,
     pair of periods: the ``cap`` terms most frequent over both. A term counts when it occurs at
     least ``min_count`` times now and its rate is higher. Periods whose predecessor has fewer
     than ``min_previous`` documents give nothing.
+
+    Texts are cut into words once. The words of a period that are too rare for the vocabulary of both of its pairs
+    leave before terms are made of the others (``_frequent_words``).
     """
     stop = english_stop_words() if stop_words is None else stop_words
     is_date = dict(docs.dtypes)[period] == "date"
@@ -237,17 +240,37 @@ def emerging_terms(docs: DataFrame, period: str, text: str, step: int,
         sizes.select(ahead(F.col(period)).alias(period), F.col("n").alias("n_before")), period
     ).where(F.col("n_before") >= min_previous)
 
-    counts = (
-        unpack(terms(dated, text, stop, pattern=pattern), "terms", "term")
-        .groupBy(period, "term").agg(F.count(F.lit(1)).alias("c"))
-    )
-    sided = counts.select("term", F.explode(F.array(
-        F.struct(F.col(period).alias("p"), F.col("c").alias("now"), F.lit(0).cast("long").alias("before")),
-        F.struct(ahead(F.col(period)).alias("p"), F.lit(0).cast("long").alias("now"), F.col("c").alias("before")),
-    )).alias("s")).groupBy(F.col("s.p").alias(period), "term").agg(
-        F.sum("s.now").alias("now"), F.sum("s.before").alias("before"))
+    def back(c):
+        return F.date_sub(c, step) if is_date else (c - step).cast(dict(docs.dtypes)[period])
+
+    def sided(counts):
+        """Counts (now, before) of each pair, which is named by its later period."""
+        return counts.select("term", F.explode(F.array(
+            F.struct(F.col(period).alias("p"), F.col("c").alias("now"), F.lit(0).cast("long").alias("before")),
+            F.struct(ahead(F.col(period)).alias("p"), F.lit(0).cast("long").alias("now"), F.col("c").alias("before")),
+        )).alias("s")).groupBy(F.col("s.p").alias(period), "term").agg(
+            F.sum("s.now").alias("now"), F.sum("s.before").alias("before"))
+
+    def counted(frame, array):
+        return unpack(frame, array, "term").groupBy(period, "term").agg(F.count(F.lit(1)).alias("c"))
+
+    worded = scale.settle(_worded(dated, text, stop, pattern))
+    words = None
+    if pattern == TOKEN:
+        of_pairs = _frequent_words(
+            sided(counted(worded, "words")).select(period, "term", (F.col("now") + F.col("before")).alias("n")), [period], cap)
+        # A period belongs to two pairs, and its terms are only cut where both have their words named.
+        each = of_pairs.select("term", F.explode(F.array(
+            F.struct(F.col(period).alias("p"), F.lit(True).alias("later"), F.lit(False).alias("earlier")),
+            F.struct(back(F.col(period)).alias("p"), F.lit(False).alias("later"), F.lit(True).alias("earlier")),
+        )).alias("s")).groupBy(F.col("s.p").alias(period), "term").agg(
+            F.max("s.later").alias("later"), F.max("s.earlier").alias("earlier"))
+        whole = W.partitionBy(period)
+        words = scale.settle(each.withColumn("_both", F.max("later").over(whole) & F.max("earlier").over(whole)).where(
+            "_both").select(period, "term"))
+    pair_counts = sided(counted(_frequent_terms(worded, words, [period], "words"), "terms"))
     frequent = W.partitionBy(period).orderBy(F.desc(F.col("now") + F.col("before")), "term")
-    kept = sided.withColumn("_r", F.row_number().over(frequent)).where(F.col("_r") <= cap)
+    kept = pair_counts.withColumn("_r", F.row_number().over(frequent)).where(F.col("_r") <= cap)
     rated = kept.join(pairs, period).select(
         period, "term", "now",
         (F.col("now") / F.col("n_now")).alias("rate_now"),
