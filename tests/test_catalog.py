@@ -82,6 +82,26 @@ def test_terms_need_no_shuffle_by_document(spark):
     assert "hashpartitioning(ticket_id" not in text.split("InMemoryRelation")[0]
 
 
+def test_ticket_cells_stay_within_what_the_jvm_compiles(spark):
+    from ticketloom.catalog import bindings
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(bindings.raw_tickets(spark, SF)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n.replace(",", "")) for n in re.findall(r"maxMethodCodeSize:([\d,]+)", text)]
+    # Methods of more than 8,000 bytes are interpreted.
+    assert sizes and max(sizes) <= 8000
+
+
+def test_audit_computes_the_pairs_once(spark, monkeypatch):
+    from ticketloom import scale
+    kept, settle = [], scale.settle
+    monkeypatch.setattr(scale, "settle", lambda frame: kept.append(frame.columns) or settle(frame))
+    QUERIES["factuality_audit"](spark, SF)
+    assert kept.count(["week_start", "repeat_ticket_id", "prior_ticket_id"]) == 1
+
+
 def test_unused_arrival_position_costs_nothing(spark):
     assert "Join" not in plan(QUERIES["weekly_volume"](spark, SF))
 

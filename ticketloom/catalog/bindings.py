@@ -117,8 +117,11 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_pick(NOTES, 'event_id')} AS agent_notes",
         "source_system",
     )
+    # With the messages, one generated method for all cells is larger than the JVM compiles. Beside a lambda each cell
+    # has a method of its own; steps that read no messages leave it out, and their cells stay in one method.
+    strips = {"customer_message": lambda c: F.get(F.transform(F.array(c), C.strip), F.lit(0))}
     text = [c for c in rows.columns if c != "raw_seq"]
-    return rows.select("raw_seq", *[C.strip(c).alias(c) for c in text]).withColumn("stable_row_key", row_key())
+    return rows.select("raw_seq", *[strips.get(c, C.strip)(c).alias(c) for c in text]).withColumn("stable_row_key", row_key())
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:

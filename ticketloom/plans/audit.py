@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .. import scale
 from ..functions import clean as C
 from ..operators import evaluation as E, repeat, roster as R, themes as TH, weekly as K
 from ..policy import DEFAULT_POLICY, DEFAULT_RULES, SupportPolicy, ThemeRules
@@ -61,7 +62,7 @@ def factuality_audit(tickets: DataFrame, roster: DataFrame, policy: SupportPolic
     shown_teams = R.boards(tickets, roster, policy).where("is_tier1").groupBy(
         F.col("resolved_week").alias("week_start")).agg(
         F.count_if(F.contains("team", F.lit(policy.tier2_marker))).alias("tier2"))
-    pairs = repeat.repeat_pairs(tickets, policy=policy)
+    pairs = scale.settle(repeat.repeat_pairs(tickets, policy=policy).select("week_start", "repeat_ticket_id", "prior_ticket_id"))
     ids = tickets.select("ticket_id")
     strays = pairs.select("week_start", F.explode(F.array("repeat_ticket_id", "prior_ticket_id")).alias("ticket_id")
                           ).join(ids, "ticket_id", "left_anti").groupBy("week_start").agg(
