@@ -1,4 +1,5 @@
 """Themes, digest and terms."""
+import collections
 import datetime as dt
 import math
 import random
@@ -233,3 +234,25 @@ def test_combined_searches_find_what_each_pattern_finds(spark):
     for r in frame.select("t", hit_counts(F.col("t"), patterns).alias("n")).collect():
         hits = iter([bool(p.search(r.t)) for p in plain])
         assert r.n == [sum(next(hits) for _ in each) for each in patterns.values()], r.t
+
+
+def test_group_numbers_and_term_lists(spark):
+    """Groups that differ in one of several columns stay apart, empty texts count as documents, no struct per term is built."""
+    week = [dt.date(2024, 1, 1), dt.date(2024, 1, 8)]
+    rows = [(i, week[i % 2], "gx" if i % 4 < 2 else "gy", f"aa bb aa w{i % 4}x" if i % 8 else "") for i in range(32)]
+    rows += [(100 + i, None, "gx", "lost words") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, week date, grp string, text string")
+    got = {}
+    for r in TM.group_top_terms(df, "id", ["week", "grp"], "text", [], k=20, cap=50).collect():
+        got.setdefault((r.week, r.grp), {})[r.term] = r.score
+    assert set(got) == {(w, g) for w in week for g in ("gx", "gy")}
+    for i, (w, g) in enumerate([(week[0], "gx"), (week[1], "gx"), (week[0], "gy"), (week[1], "gy")]):
+        docs = [t.split() for _, a, b, t in rows if (a, b) == (w, g)]
+        bags = [collections.Counter(d + [" ".join(p) for p in zip(d, d[1:])]) for d in docs]
+        idf = {t: math.log((1 + len(docs)) / (1 + sum(t in b for b in bags))) + 1 for t in set().union(*bags)}
+        length = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for b in bags]
+        assert f"w{i}x" in idf and got[w, g] == pytest.approx(
+            {t: sum(b[t] * idf[t] / n for b, n in zip(bags, length) if b) / len(docs) for t in idf}, abs=1e-8)
+    texts = spark.createDataFrame([(1, ["b", "a", "b", "b c", "b"]), (2, []), (3, ["z"])], "id long, terms array<string>")
+    assert {r.id: (r.terms, r.tfs) for r in TM._counted(texts).collect()} == {
+        1: (["a", "b", "b c"], [1, 3, 1]), 2: ([], []), 3: (["z"], [1])}

@@ -46,20 +46,24 @@ def bags(docs: DataFrame, text: str, stop_words: list[str], low: int = 1, high:
 
     Equal neighbours in the sorted term list form one run, so no shuffle is needed.
     """
-    return _counted(terms(docs, text, stop_words, low, high, pattern))
+    counted = _counted(terms(docs, text, stop_words, low, high, pattern))
+    return counted.withColumn("bag", F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).drop("terms", "tfs")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Replace ``terms`` by ``bag``."""
+    """Replace ``terms`` by the different ones in order, and add ``tfs``: how often each occurs.
+
+    Two lists, as building a struct per term takes several times as long.
+    """
     ordered = docs.withColumn("_sorted", F.sort_array("terms")).drop("terms")
-    runs = ordered.withColumn("_starts", F.filter(
-        F.transform("_sorted", lambda t, i: F.when(
-            (i == 0) | (t != F.coalesce(F.get("_sorted", i - 1), F.lit(""))), i)),
-        lambda i: i.isNotNull()))
-    return runs.withColumn("bag", F.transform("_starts", lambda s, k: F.struct(
-        F.get("_sorted", s).alias("term"),
-        (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - s).alias("tf"),
-    ))).drop("_sorted", "_starts")
+    # Last place of each run of equal terms. Places of an empty list read NULL twice and leave.
+    ends = ordered.withColumn("_ends", F.filter(
+        F.sequence(F.lit(0), F.size("_sorted") - 1),
+        lambda i: ~F.get("_sorted", i).eqNullSafe(F.get("_sorted", i + 1))))
+    return ends.withColumns({
+        "terms": F.transform("_ends", lambda e: F.get("_sorted", e)),
+        "tfs": F.transform("_ends", lambda e, k: e - F.coalesce(F.get("_ends", k - 1), F.lit(-1))),
+    }).drop("_sorted", "_ends")
 
 
 def unpack(df: DataFrame, array: str, name: str) -> DataFrame:
@@ -105,48 +109,49 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     """
     keys = _keys(group)
     stop = english_stop_words() if stop_words is None else stop_words
-    sizes = group_sizes(docs, keys, min_docs).where("scored").select(*keys, "docs")
+    sizes = scale.settle(scale.numbered(
+        group_sizes(docs, keys, min_docs).where("scored").select(*keys, "docs"), [F.col(c) for c in keys], "_group"))
     bound = scale.MAX_BROADCAST_ROWS
     groups = scale.row_count_within(sizes, bound)
-    chosen = scale.lookup(docs.select(doc_id, *keys, text), sizes, keys, [doc_id], "inner", bound, groups)
+    chosen = scale.lookup(docs.select(doc_id, *keys, text), sizes, keys, [doc_id], "inner", bound, groups).drop(*keys)
+    # All counts go by the group's number, which is shorter to hash, sort and send than its columns.
+    of_group = W.partitionBy("_group")
     worded = scale.settle(_worded(chosen, text, stop, pattern))
     frequent = None
     if pattern == TOKEN:
-        words = unpack(worded.select(*keys, "words"), "words", "term").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-        frequent = scale.settle(_frequent_words(words, keys, cap))
-    counted = scale.settle(_counted(_frequent_terms(worded, frequent, keys, doc_id)))
-    occurrences = unpack(counted.select(*keys, "docs", "bag"), "bag", "b").select(
-        *keys, "docs", F.col("b.term").alias("term"), F.col("b.tf").alias("tf"))
+        words = unpack(worded.select("_group", "words"), "words", "term").groupBy("_group", "term").agg(F.count(F.lit(1)).alias("n"))
+        frequent = scale.settle(_frequent_words(words, ["_group"], cap))
+    counted = scale.settle(_counted(_frequent_terms(worded, frequent, ["_group"], doc_id)))
+    occurrences = unpack(counted.select("_group", "docs", F.arrays_zip("terms", "tfs").alias("bag")), "bag", "b").select(
+        "_group", "docs", F.col("b.terms").alias("term"), F.col("b.tfs").alias("tf"))
 
-    corpus = occurrences.groupBy(*keys, "term").agg(
+    corpus = occurrences.groupBy("_group", "term").agg(
         F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.max("docs").alias("_n"))
-    common = W.partitionBy(*keys).orderBy(F.desc("ctf"), "term")
+    common = of_group.orderBy(F.desc("ctf"), "term")
     vocabulary = (
         corpus.withColumn("_r", F.row_number().over(common)).where(F.col("_r") <= cap)
-        .select(*keys, "term",
+        .select("_group", "term",
                 (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    tables = scale.settle(_term_tables(vocabulary, keys, F.struct("term", "idf")))
-    weighed = _beside(counted, tables, keys, doc_id, groups * cap, "inner")
+    tables = scale.settle(_term_tables(vocabulary, ["_group"], F.struct("term", "idf")))
+    weighed = _beside(counted, tables, ["_group"], doc_id, groups * cap, "inner")
     scores = (
-        unpack(weighed.select(*keys, "docs", _unit_weights(F.col("bag"), F.col("slots")).alias("weights")), "weights", "x")
-        .groupBy(*keys, F.col("x.term").alias("term"))
-        .agg((F.sum("x.w") / F.max("docs")).alias("raw_score"))
+        _unit_weights(weighed, ["_group", "docs"]).groupBy("_group", "term")
+        .agg((F.sum("w") / F.max("docs")).alias("raw_score"))
         .withColumn("score", round_exact(F.col("raw_score"), 9))
     )
-    best = W.partitionBy(*keys).orderBy(F.desc("score"), "term")
-    return (
-        scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select(*keys, "rank", "term", "score")
-    )
+    best = of_group.orderBy(F.desc("score"), "term")
+    ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scale.lookup(ranked, sizes.select("_group", *keys), ["_group"], ["term"], "inner", bound, groups).select(
+        *keys, "rank", "term", "score")
 
 
-# Slots of a group's term table; a look-up reads one of them.
-_SLOTS = 256
+# Slots of a group's term table, a power of two; a look-up reads one of them, which seldom has more than one entry.
+_SLOTS = 1024
 
 
 def _slot(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(_SLOTS)).cast("int")
+    return F.hash(term).bitwiseAND(_SLOTS - 1)
 
 
 def _beside(docs: DataFrame, tables: DataFrame, keys: list[str], doc_id: str, entries: int, how: str) -> DataFrame:
@@ -194,25 +199,29 @@ def _frequent_terms(worded: DataFrame, frequent: DataFrame | None, keys: list[st
     entries = scale.row_count_within(frequent, scale.MAX_BROADCAST_ROWS)
 
     def known(w):
-        return F.when(F.col("slots").isNull() | F.array_contains(F.get("slots", _slot(w)), w), w)
-    kept = _beside(worded, tables, keys, spread, entries, "left").withColumn("_known", F.transform("words", known))
-    return kept.drop("words", "slots").withColumn("terms", F.array_compact(_grams(F.col("_known"), 1, 2))).drop("_known")
-
-
-def _unit_weights(bag: Column, slots: Column) -> Column:
-    """(term, w) of the bag's terms that the table knows: tf * idf, scaled to length 1."""
-    def look_up(b):
-        entry = F.get(F.filter(F.get(slots, _slot(b["term"])), lambda e: e["term"] == b["term"]), F.lit(0))
-        return F.struct(b["term"].alias("term"), (b["tf"] * entry["idf"]).alias("w"))
-
-    def scaled(known):
-        length = F.sqrt(F.aggregate(known, F.lit(0.0), lambda total, x: total + x["w"] * x["w"]))
-        return F.transform(F.arrays_zip(known.alias("k"), F.array_repeat(length, F.size(known)).alias("n")), lambda x: F.struct(
-            x["k"]["term"].alias("term"), (x["k"]["w"] / x["n"]).alias("w")))
-
-    # An array of one element names a value that is used several times.
-    known = F.filter(F.transform(bag, look_up), lambda x: x["w"].isNotNull())
-    return F.flatten(F.transform(F.array(known), scaled))
+        return F.when(F.array_contains(F.get("slots", _slot(w)), w), w)
+
+    def pair(w, i):
+        return F.when(w.isNotNull(), F.concat(w, F.lit(" "), F.get("_known", i + 1)))
+    kept = _beside(worded, tables, keys, spread, entries, "left").withColumn(
+        "_known", F.when(F.col("slots").isNull(), F.col("words")).otherwise(F.transform("words", known)))
+    return kept.drop("words", "slots").withColumn(
+        "terms", F.array_compact(F.concat("_known", F.transform("_known", pair)))).drop("_known")
+
+
+def _unit_weights(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """(kept, term, w): the document's terms that its table knows, tf * idf scaled to length 1."""
+    def weight(term, tf):
+        entry = F.get(F.filter(F.get("slots", _slot(term)), lambda e: e["term"] == term), F.lit(0))
+        return tf * entry["idf"]
+
+    def add_square(total, w):
+        return total + F.coalesce(w * w, F.lit(0.0))
+    weighed = docs.select(*kept, "terms", F.zip_with("terms", "tfs", weight).alias("w")).withColumn(
+        "_length", F.sqrt(F.aggregate("w", F.lit(0.0), add_square)))
+    each = unpack(weighed.select(*kept, "_length", F.arrays_zip("terms", "w").alias("_all")), "_all", "x")
+    return each.where(F.col("x.w").isNotNull()).select(
+        *kept, F.col("x.terms").alias("term"), (F.col("x.w") / F.col("_length")).alias("w"))
 
 
 def emerging_terms(docs: DataFrame, period: str, text: str, step: int,
