@@ -256,3 +256,28 @@ def test_group_numbers_and_term_lists(spark):
     texts = spark.createDataFrame([(1, ["b", "a", "b", "b c", "b"]), (2, []), (3, ["z"])], "id long, terms array<string>")
     assert {r.id: (r.terms, r.tfs) for r in TM._counted(texts).collect()} == {
         1: (["a", "b", "b c"], [1, 3, 1]), 2: ([], []), 3: (["z"], [1])}
+
+
+def test_terms_as_codes(spark):
+    """Codes stand for the frequent words and their pairs, in the order of the texts, and give the same terms and scores."""
+    texts = [(i, "g", "aa ab rare%d aa \u00e9e aa0" % i) for i in range(4)]
+    worded = TM._worded(spark.createDataFrame(texts, "id long, grp string, text string"), "text", [], TM.TOKEN)
+    words = spark.createDataFrame([("g", w) for w in ("ab", "\u00e9e", "aa0", "aa")], "grp string, term string")
+    numbered = TM._numbered_words(words, ["grp"], 4)
+    coded = TM._coded_terms(worded.join(TM._term_tables(numbered, ["grp"], "code"), "grp"), 4)
+    made = {r.id: r.terms for r in coded.collect()}[2]
+    spelled = {r.term: r.c for r in TM._spelled(
+        spark.createDataFrame([("g", c, c) for c in set(made)], "grp string, term long, c long"), numbered, ["grp"], 4).collect()}
+    assert sorted(spelled) == sorted(spelled, key=spelled.get) == sorted(
+        ["aa", "ab", "\u00e9e", "aa0", "aa ab", "aa \u00e9e", "\u00e9e aa0"]) and len(made) == 8
+
+    rng = random.Random(5)
+    pool = [a + b for a in "abx_9\u00e9\u00df" for b in "ac1_z"]
+    rows = [(i, f"g{i % 3}", " ".join(rng.choice(pool[:rng.randint(1, len(pool))]) for _ in range(rng.randrange(12)))) for i in range(150)]
+    rows += [(1000 + i, "ties", f"one{i} two{i} three{i} four{i}") for i in range(4)] + [(2000 + i, "empty", "") for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, grp string, text string")
+    for cap in (3, 7, 40):
+        # Another way to write the pattern counts all terms as texts.
+        coded, plain = (sorted(map(tuple, TM.group_top_terms(df, "id", "grp", "text", [], 5, cap, pattern=p).collect()))
+                        for p in (TM.TOKEN, f"(?:{TM.TOKEN})"))
+        assert coded == plain and {g for g, *_ in coded} == {"g0", "g1", "g2", "ties"}

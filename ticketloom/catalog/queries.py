@@ -256,7 +256,7 @@ def other_watch(spark, d):
 def actions_weekly(spark, d):
     t = G.settled(_assigned(spark, d))
     return G.actions(G.sections(TH.count_themes(t)), K.created_week_figures(t),
-                     P.weekly_pairs(P.repeat_pairs(t)))
+                     P.weekly_pairs(P.repeat_pairs(t, hot=P.hot_customers(t))))
 
 
 def kpi_record(spark, d):
@@ -489,7 +489,7 @@ def review_sample(spark, d):
     from .. import scale
     t = G.settled(B.tickets(spark, d))
     themes = scale.settle(_theme_picks(spark, d))
-    pairs = scale.settle(S.pair_picks(P.repeat_pairs(t)))
+    pairs = scale.settle(S.pair_picks(P.repeat_pairs(t, hot=P.hot_customers(t))))
     refunds = scale.settle(S.refund_picks(t))
     ids = themes.select("ticket_id").unionByName(refunds.select("ticket_id")).unionByName(
         pairs.select(F.explode(F.array("prior_ticket_id", "repeat_ticket_id")).alias("ticket_id"))).distinct()

@@ -23,13 +23,20 @@ def _buckets() -> list[Column]:
     return [F.struct(moment.alias("at"), block.alias("block")), F.coalesce(F.unix_date(F.to_date("created_ts")), F.lit(-(2**31)))]
 
 
+def hot_customers(tickets: DataFrame) -> DataFrame:
+    """Customers with too many tickets for one task. Reads the tickets once more: for those that are settled."""
+    return scale.hot_keys(tickets, ["customer_key"])
+
+
 def repeat_pairs(tickets: DataFrame, window_days: int = 30, drop_blank_keys: bool = False,
-                 policy: SupportPolicy = DEFAULT_POLICY) -> DataFrame:
+                 policy: SupportPolicy = DEFAULT_POLICY, hot: DataFrame | None = None) -> DataFrame:
     """Consecutive tickets of a customer, the later one created within ``window_days`` of the
     earlier one's resolution. All weeks at once; ``week_start`` is the later ticket's week.
 
     Blank customer ids count as one customer unless ``drop_blank_keys``. Blank orders never
     match; blank products and categories match each other.
+
+    ``hot`` names the customers with very many tickets (``hot_customers``), and saves shuffles of all others' tickets.
     """
     rows = tickets.select(
         "ticket_id", "customer_key", "created_ts", "resolved_ts", "first_seq", "week_start",
@@ -40,7 +47,7 @@ def repeat_pairs(tickets: DataFrame, window_days: int = 30, drop_blank_keys: boo
     if drop_blank_keys:
         rows = rows.where("customer_key <> ''")
     chained = scale.previous_row(
-        rows, "customer_key", _buckets(), ["created_ts", "first_seq"], _CARRIED, "prior")
+        rows, "customer_key", _buckets(), ["created_ts", "first_seq"], _CARRIED, "prior", hot)
     gap = C.days_between("created_ts", "prior.resolved_ts")
     return (
         chained.withColumn("_gap", gap)

@@ -101,7 +101,8 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     unit length per document, averaged over all documents of the group.
 
     Texts are cut into words once. Words too rare for the vocabulary leave before terms are made of the others
-    (``_frequent_words``); the bags of terms are kept for the second reading. Term counts are
+    (``_frequent_words``), as codes; groups in which such words are too many count all terms as texts. The bags of
+    terms are kept for the second reading. Term counts are
     combined before the shuffle. The vocabulary then comes to each document as one table of its group, so that weights
     and the document's length are computed inside its row: documents are not shuffled by id. Tables have at
     most ``cap`` terms per group; they are broadcast when the number of groups keeps them within the bound, and
@@ -117,32 +118,45 @@ def group_top_terms(docs: DataFrame, doc_id: str, group: str | list[str], text:
     # All counts go by the group's number, which is shorter to hash, sort and send than its columns.
     of_group = W.partitionBy("_group")
     worded = scale.settle(_worded(chosen, text, stop, pattern))
-    frequent = None
-    if pattern == TOKEN:
+
+    def ranked(bagged: DataFrame) -> DataFrame:
+        """(_group, rank, term, score) of documents with ``terms``, as texts or as codes in the same order."""
+        counted = scale.settle(_counted(bagged))
+        occurrences = unpack(counted.select("_group", "docs", F.arrays_zip("terms", "tfs").alias("bag")), "bag", "b").select(
+            "_group", "docs", F.col("b.terms").alias("term"), F.col("b.tfs").alias("tf"))
+        corpus = occurrences.groupBy("_group", "term").agg(
+            F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.max("docs").alias("_n"))
+        common = of_group.orderBy(F.desc("ctf"), "term")
+        vocabulary = (
+            corpus.withColumn("_r", F.row_number().over(common)).where(F.col("_r") <= cap)
+            .select("_group", "term",
+                    (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        )
+        tables = scale.settle(_term_tables(vocabulary, ["_group"], "idf"))
+        weighed = _beside(counted, tables, ["_group"], doc_id, groups * cap, "inner")
+        scores = (
+            _unit_weights(weighed, ["_group", "docs"]).groupBy("_group", "term")
+            .agg((F.sum("w") / F.max("docs")).alias("raw_score"))
+            .withColumn("score", round_exact(F.col("raw_score"), 9))
+        )
+        best = of_group.orderBy(F.desc("score"), "term")
+        return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+            "_group", "rank", "term", "score")
+
+    bits = (2 * cap).bit_length()
+    if pattern == TOKEN and 2 * bits < 64:
         words = unpack(worded.select("_group", "words"), "words", "term").groupBy("_group", "term").agg(F.count(F.lit(1)).alias("n"))
-        frequent = scale.settle(_frequent_words(words, ["_group"], cap))
-    counted = scale.settle(_counted(_frequent_terms(worded, frequent, ["_group"], doc_id)))
-    occurrences = unpack(counted.select("_group", "docs", F.arrays_zip("terms", "tfs").alias("bag")), "bag", "b").select(
-        "_group", "docs", F.col("b.terms").alias("term"), F.col("b.tfs").alias("tf"))
-
-    corpus = occurrences.groupBy("_group", "term").agg(
-        F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.max("docs").alias("_n"))
-    common = of_group.orderBy(F.desc("ctf"), "term")
-    vocabulary = (
-        corpus.withColumn("_r", F.row_number().over(common)).where(F.col("_r") <= cap)
-        .select("_group", "term",
-                (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
-    tables = scale.settle(_term_tables(vocabulary, ["_group"], F.struct("term", "idf")))
-    weighed = _beside(counted, tables, ["_group"], doc_id, groups * cap, "inner")
-    scores = (
-        _unit_weights(weighed, ["_group", "docs"]).groupBy("_group", "term")
-        .agg((F.sum("w") / F.max("docs")).alias("raw_score"))
-        .withColumn("score", round_exact(F.col("raw_score"), 9))
-    )
-    best = of_group.orderBy(F.desc("score"), "term")
-    ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return scale.lookup(ranked, sizes.select("_group", *keys), ["_group"], ["term"], "inner", bound, groups).select(
+        frequent = scale.settle(_numbered_words(_frequent_words(words, ["_group"], cap), ["_group"], bits))
+        tables = scale.settle(_term_tables(frequent, ["_group"], "code"))
+        entries = scale.row_count_within(frequent, bound)
+        top = _spelled(ranked(_coded_terms(_beside(worded, tables, ["_group"], doc_id, entries, "inner"), bits)), frequent, ["_group"], bits)
+        rest = sizes.select("_group").join(tables.select("_group"), "_group", "left_anti")
+        if not rest.isEmpty():
+            rest = scale.settle(rest)
+            top = top.unionByName(ranked(_frequent_terms(_beside(worded, rest, ["_group"], doc_id, groups, "inner"), None, ["_group"], doc_id)))
+    else:
+        top = ranked(_frequent_terms(worded, None, ["_group"], doc_id))
+    return scale.lookup(top, sizes.select("_group", *keys), ["_group"], ["term"], "inner", bound, groups).select(
         *keys, "rank", "term", "score")
 
 
@@ -165,12 +179,26 @@ def _as_slots(filled: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda i: F.try_element_at(filled, i))
 
 
-def _term_tables(vocabulary: DataFrame, keys: list[str], entry: Column) -> DataFrame:
-    """One row per group: ``slots``, an array of _SLOTS short lists of the terms' entries."""
+def _term_tables(vocabulary: DataFrame, keys: list[str], value: str | None = None) -> DataFrame:
+    """One row per group: ``slots``, an array of _SLOTS short lists of terms; ``values``, the same of what belongs to each term.
+
+    Two lists, as looking for a struct takes a lambda per term.
+    """
+    columns = {"slots": "term"} | ({"values": value} if value else {})
     entries = vocabulary.groupBy(*keys, _slot(F.col("term")).alias("_at")).agg(
-        F.collect_list(entry).alias("_entries"))
+        F.collect_list(F.struct(*columns.values())).alias("_entries"))
     filled = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_entries"))).alias("_filled"))
-    return filled.select(*keys, _as_slots(F.col("_filled")).alias("slots"))
+
+    def listed(column):
+        return F.transform("_slots", lambda slot: slot[column])
+    return filled.select(*keys, _as_slots(F.col("_filled")).alias("_slots")).select(
+        *keys, *[listed(column).alias(name) for name, column in columns.items()])
+
+
+def _value(term: Column) -> Column:
+    """What the table beside the row has for the term, or NULL."""
+    at = F.array_position(F.get("slots", _slot(term)), term).cast("int")
+    return F.get(F.get("values", _slot(term)), at - 1)
 
 
 def _worded(docs: DataFrame, text: str, stop_words: list[str], pattern: str) -> DataFrame:
@@ -195,7 +223,7 @@ def _frequent_terms(worded: DataFrame, frequent: DataFrame | None, keys: list[st
     """Replace ``words`` by ``terms``: the words and pairs of neighbours that consist of the group's frequent words."""
     if frequent is None:
         return worded.withColumn("terms", _grams(F.col("words"), 1, 2)).drop("words")
-    tables = scale.settle(_term_tables(frequent, keys, F.col("term")))
+    tables = scale.settle(_term_tables(frequent, keys))
     entries = scale.row_count_within(frequent, scale.MAX_BROADCAST_ROWS)
 
     def known(w):
@@ -209,11 +237,35 @@ def _frequent_terms(worded: DataFrame, frequent: DataFrame | None, keys: list[st
         "terms", F.array_compact(F.concat("_known", F.transform("_known", pair)))).drop("_known")
 
 
+def _numbered_words(words: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """Add ``code``: the number of the word in its group, from 1, above ``bits`` zeros that the second word of a pair takes.
+
+    Codes sort as the terms they stand for: a blank is before all characters of a word.
+    """
+    return words.withColumn("code", F.shiftleft(F.row_number().over(W.partitionBy(*keys).orderBy("term")).cast("long"), bits))
+
+
+def _coded_terms(worded: DataFrame, bits: int) -> DataFrame:
+    """Replace ``words`` by ``terms`` as ``_frequent_terms`` does, in codes, which are shorter to join, sort and count."""
+    def pair(code, i):
+        return code + F.shiftright(F.get("_known", i + 1), bits)
+    known = worded.withColumn("_known", F.transform("words", _value)).drop("words", "slots", "values")
+    return known.withColumn("terms", F.array_compact(F.concat("_known", F.transform("_known", pair)))).drop("_known")
+
+
+def _spelled(terms_of: DataFrame, words: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """Codes in ``term`` as texts again."""
+    first = words.select(*keys, F.col("code").alias("_a"), F.col("term").alias("_first"))
+    second = words.select(*keys, F.shiftright("code", bits).alias("_b"), F.col("term").alias("_second"))
+    parts = terms_of.withColumn("_b", F.col("term").bitwiseAND((1 << bits) - 1)).withColumn("_a", F.col("term") - F.col("_b"))
+    return parts.join(first, [*keys, "_a"]).join(second, [*keys, "_b"], "left").withColumn(
+        "term", F.concat_ws(" ", "_first", "_second")).drop("_a", "_b", "_first", "_second")
+
+
 def _unit_weights(docs: DataFrame, kept: list[str]) -> DataFrame:
     """(kept, term, w): the document's terms that its table knows, tf * idf scaled to length 1."""
     def weight(term, tf):
-        entry = F.get(F.filter(F.get("slots", _slot(term)), lambda e: e["term"] == term), F.lit(0))
-        return tf * entry["idf"]
+        return tf * _value(term)
 
     def add_square(total, w):
         return total + F.coalesce(w * w, F.lit(0.0))

@@ -62,7 +62,8 @@ def factuality_audit(tickets: DataFrame, roster: DataFrame, policy: SupportPolic
     shown_teams = R.boards(tickets, roster, policy).where("is_tier1").groupBy(
         F.col("resolved_week").alias("week_start")).agg(
         F.count_if(F.contains("team", F.lit(policy.tier2_marker))).alias("tier2"))
-    pairs = scale.settle(repeat.repeat_pairs(tickets, policy=policy).select("week_start", "repeat_ticket_id", "prior_ticket_id"))
+    pairs = scale.settle(repeat.repeat_pairs(tickets, policy=policy, hot=repeat.hot_customers(tickets)).select(
+        "week_start", "repeat_ticket_id", "prior_ticket_id"))
     ids = tickets.select("ticket_id")
     strays = pairs.select("week_start", F.explode(F.array("repeat_ticket_id", "prior_ticket_id")).alias("ticket_id")
                           ).join(ids, "ticket_id", "left_anti").groupBy("week_start").agg(

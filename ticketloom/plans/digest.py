@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from .. import scale
 from ..functions import clean as C
 from ..operators import roster as R, themes as TH, weekly as K
-from ..operators.repeat import repeat_pairs, weekly_pairs
+from ..operators.repeat import hot_customers, repeat_pairs, weekly_pairs
 from ..policy import (
     DEFAULT_POLICY, DEFAULT_RULES, EMAIL_TAIL_TRIGGER, OTHER_GROWTH_TRIGGER_PP,
     OTHER_SHARE_TRIGGER_PCT, OTHER_THEME, REPEAT_TRIGGER, SPIKE_TRIGGER, SupportPolicy, ThemeRules,
@@ -98,7 +98,7 @@ def kpi_record(tickets: DataFrame, roster: DataFrame,
 
 def _kpi_record(tickets, roster, policy):
     figures = K.created_week_figures(tickets, policy).drop("email_breaches", "conflicts")
-    repeats = weekly_pairs(repeat_pairs(tickets, policy=policy))
+    repeats = weekly_pairs(repeat_pairs(tickets, policy=policy, hot=hot_customers(tickets)))
     days = R.daily_attendance(tickets, roster).withColumn(
         "tier1", F.col("entry.team").isin(*policy.tier1_teams))
     # One row per agent and side first, so that the agent counts need no distinct aggregate.
@@ -124,7 +124,7 @@ def digest_rows(tickets: DataFrame, roster: DataFrame, policy: SupportPolicy = D
     tickets = settled(TH.assign(tickets, rules))
     section_rows = sections(TH.count_themes(tickets))
     figures = K.created_week_figures(tickets, policy)
-    pairs = weekly_pairs(repeat_pairs(tickets, policy=policy))
+    pairs = weekly_pairs(repeat_pairs(tickets, policy=policy, hot=hot_customers(tickets)))
     boards = scale.settle(R.boards(tickets, roster, policy))
     board = R.top_of_board(R.ranked(boards.where("is_tier1").drop("is_tier1")), top)
     specialists = boards.where("not is_tier1").groupBy("resolved_week").agg(F.count(F.lit(1)).alias("agents"))

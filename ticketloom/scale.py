@@ -64,7 +64,7 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[
 
 
 def previous_row(df: DataFrame, group: str, buckets: list[Column], order: list[str],
-                 payload: list[str], out: str) -> DataFrame:
+                 payload: list[str], out: str, hot: DataFrame | None = None) -> DataFrame:
     """Add ``out``: a struct of the ``payload`` of the preceding row of the same group.
 
     ``buckets`` go from fine to coarse, and none may decrease along ``order``. Rows are compared inside
@@ -72,7 +72,17 @@ def previous_row(df: DataFrame, group: str, buckets: list[Column], order: list[s
     level, and so on up to the group. The widest task is one finest bucket, or two rows for each bucket
     inside the next one, never a whole group. The levels read one shuffle: the payload travels as one
     struct, so that none prunes it differently.
+
+    Where most buckets hold one row, nearly all rows go through every level. ``hot``, the groups with many rows
+    (``hot_keys``), limits that to them; all others are compared in one window, after one shuffle.
     """
+    if hot is not None:
+        named = F.broadcast(hot.select(F.col(group).alias("_hot")))
+        is_hot = F.col(group).eqNullSafe(F.col("_hot"))
+        many = previous_row(df.join(named, is_hot, "left_semi"), group, buckets, order, payload, out)
+        w = W.partitionBy(group).orderBy(*order)
+        few = df.join(named, is_hot, "left_anti").withColumn(out, F.lag(F.struct(*payload)).over(w))
+        return few.select(many.columns).unionByName(many)
     rest = [c for c in df.columns if c not in payload]
     names = [f"_bucket{i}" for i in range(len(buckets))]
     rows = df.select(*rest, *[b.alias(n) for b, n in zip(buckets, names)], F.struct(*payload).alias("_row"))
